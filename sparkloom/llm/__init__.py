@@ -1,11 +1,13 @@
 """Operators for training-data pipelines, and the queries that apply them."""
 
-from . import bpe, chat, quality, warc
+from . import bpe, chat, minhash, quality, suffix, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
+    "op8_suffix_array": suffix.op8_suffix_array,
     "op9_chat": chat.op9_chat,
+    "op10_minhash": minhash.op10_minhash,
 }
-SQL = {"op2_warc": warc.OP2_SQL, "op9_chat": chat.OP9_SQL}
+SQL = {"op2_warc": warc.OP2_SQL, "op8_suffix_array": suffix.OP8_SQL, "op9_chat": chat.OP9_SQL, "op10_minhash": minhash.OP10_SQL}
