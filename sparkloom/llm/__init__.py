@@ -1,6 +1,6 @@
 """Operators for training-data pipelines, and the queries that apply them."""
 
-from . import bpe, chat, forest, interpolated, kdtree, minhash, quality, suffix, warc
+from . import bpe, chat, forest, interpolated, kdtree, minhash, mixing, quality, suffix, warc
 
 QUERIES = {
     "op1_kdtree": kdtree.op1_kdtree,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_forest": forest.op3_forest,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
+    "op6_mixing": mixing.op6_mixing,
     "op7_interpolated_lm": interpolated.op7_interpolated_lm,
     "op8_suffix_array": suffix.op8_suffix_array,
     "op9_chat": chat.op9_chat,
