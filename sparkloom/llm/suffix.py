@@ -4,10 +4,10 @@ Every 50-byte window has a smallest 16-byte gram (its anchor); equal windows
 have equal anchors. Texts are packed into chunks. A first exchange of anchor
 hashes finds the anchors that occur in several documents. Only windows with
 such an anchor are sent on, as runs of consecutive windows, to the shard of
-their anchor. A shard sorts its runs by a Larsson-Sadakane suffix array,
+their anchor. A shard sorts its distinct runs by a Larsson-Sadakane suffix array,
 takes Kasai common prefixes, and so finds the smallest document of each
-window. Windows of an anchor that very many chunks hold are dealt out singly by
-a hash of the whole window. A shard that is larger than one suffix array should
+window. Windows of an anchor that many chunks hold are dealt out by a longer
+gram instead, those of an anchor that very many hold by the whole window. A shard that is larger than one suffix array should
 be is built in blocks, whose window lists are merged by binary search.
 """
 
@@ -27,8 +27,8 @@ GRAM = 16
 #: Bytes of text in a chunk, and of runs in one suffix array.
 CHUNK = 4 << 20
 BLOCK = 3 << 20
-#: An anchor held by more than this many chunks has its windows dealt out singly.
-HOT_CHUNKS = 24
+#: Beyond so many chunks an anchor's windows are dealt out by their smallest gram of this many bytes less than a window.
+HOT = ((64, 8), (1024, 0))
 _FAR = np.iinfo(np.int64).max
 
 
@@ -46,15 +46,17 @@ def _words8(text: np.ndarray) -> np.ndarray:
     return (w[:n] << np.uint64(32)) | w[4 : n + 4]
 
 
-def anchors(text: np.ndarray, width: int) -> np.ndarray:
-    """Smallest gram hash of each window of ``width`` bytes (one per window start)."""
+def anchors(text: np.ndarray, width: int, gram: int = GRAM) -> np.ndarray:
+    """Smallest hash of a gram in each window of ``width`` bytes (one per window start)."""
     n = len(text)
     if n < width:
         return np.zeros(0, np.uint64)
     w = _words8(text)
-    m = n - GRAM + 1
-    h = _mix(w[:m] * np.uint64(0xD6E8FEB86659FD93) + _mix(w[8 : 8 + m]))
-    span, have, out = width - GRAM + 1, 1, h
+    m = n - gram + 1
+    h = np.zeros(m, np.uint64)
+    for o in [*range(0, gram - 8, 8), gram - 8]:
+        h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + w[o : o + m])
+    span, have, out = width - gram + 1, 1, h
     while have * 2 <= span:
         out = np.minimum(out[: len(out) - have], out[have:])
         have *= 2
@@ -153,7 +155,7 @@ def kasai(text: np.ndarray, sa: np.ndarray, limit: int, lanes: int = 4096) -> np
     return plcp[sa]
 
 
-def window_minima(text: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+def window_minima(text: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int, block: int = BLOCK) -> np.ndarray:
     """For each window start, the smallest ``doc`` among equal windows.
 
     ``text`` holds the runs end to end; windows lie within their run, so the
@@ -161,11 +163,11 @@ def window_minima(text: np.ndarray, start: np.ndarray, doc: np.ndarray, width: i
     """
     blocks, at = [], 0
     n = len(text)
-    if n <= BLOCK:
+    if n <= block:
         return _block_minima(text, start, doc, width)[0]
     cuts = [0]
-    while cuts[-1] < len(start):  # blocks of about BLOCK bytes of windows
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(start, start[cuts[-1]] + BLOCK))))
+    while cuts[-1] < len(start):  # blocks of windows
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(start, start[cuts[-1]] + block))))
     out = np.empty(len(start), np.int64)
     for s, e in zip(cuts, cuts[1:]):
         lo, hi = start[s], start[e - 1] + width
@@ -210,18 +212,25 @@ def _block_minima(text, start, doc, width, want_keys=False):
     return out, _window_keys(text, start[w[cut]], width), low
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    """Rows of about CHUNK bytes: chunk, ids (int64), lens (int64), z (texts, zstd)."""
+def _pack(docs: DataFrame, rest: list[str] | None, limit: int) -> DataFrame:
+    """Rows of about ``limit`` bytes: chunk, ids (int64), lens (int64), z (texts,
+    zstd), and rest (an Arrow stream of the columns of that list and ``text is null``)."""
 
     def run(batches):
         from pyspark import TaskContext
 
         zip_ = zstandard.ZstdCompressor(level=3)
-        ids, raw, size, no = [], [], 0, TaskContext.get().partitionId() << 24
+        ids, raw, size, no, kept = [], [], 0, TaskContext.get().partitionId() << 24, []
 
         def out():
-            cols = [pa.array([no], pa.int64())] + [pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array([len(r) for r in raw], np.int64).tobytes(), zip_.compress(b"".join(raw)))]
-            return pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "lens", "z"])
+            blobs = [np.array(ids, np.int64).tobytes(), np.array([len(r) for r in raw], np.int64).tobytes(), zip_.compress(b"".join(raw)), None]
+            if kept:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kept[0].schema) as w:
+                    for k in kept:
+                        w.write_batch(k)
+                blobs[3] = zip_.compress(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], ["chunk", "ids", "lens", "z", "rest"])
 
         for part in slices(batches, 64):
             for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -229,34 +238,36 @@ def _pack(docs: DataFrame) -> DataFrame:
                 ids.append(i)
                 raw.append(data)
                 size += len(data)
-                if size >= CHUNK:
-                    yield out()
-                    ids, raw, size, no = [], [], 0, no + 1
+            if rest is not None:
+                kept.append(pa.RecordBatch.from_arrays([*part.columns[2:], part.column(1).is_null()], [f"c{k}" for k in range(part.num_columns - 1)]))
+            if size >= limit:
+                yield out()
+                ids, raw, size, no, kept = [], [], 0, no + 1, []
         if ids:
             yield out()
 
-    return docs.mapInArrow(run, "chunk long, ids binary, lens binary, z binary")
+    return docs.mapInArrow(run, "chunk long, ids binary, lens binary, z binary, rest binary")
 
 
-def _runs(z: bytes, ids: bytes, lens: bytes, width: int):
-    """text, ends of documents, ids, and the runs of windows of one anchor: start, count, anchor, document no."""
+def _texts(z: bytes, ids: bytes, lens: bytes):
+    """text, document number of each byte, ids."""
     text = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
     size = np.frombuffer(lens, np.int64)
-    ids = np.frombuffer(ids, np.int64)
-    ends = np.cumsum(size)
-    a = anchors(text, width)
+    return text, np.repeat(np.arange(len(size)), size), np.frombuffer(ids, np.int64)
+
+
+def _runs(a: np.ndarray, use: np.ndarray, own: np.ndarray):
+    """Runs of windows in use that have one anchor and one document: start, count, anchor, document number."""
     if not len(a):
         e = np.zeros(0, np.int64)
-        return text, ends, ids, e, e, a, e
-    own = np.repeat(np.arange(len(size)), size)
-    valid = own[: len(a)] == own[width - 1 :]
+        return e, e, a, e
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (own[1 : len(a)] != own[: len(a) - 1])
+    new[1:] = (a[1:] != a[:-1]) | (own[1 : len(a)] != own[: len(a) - 1]) | (use[1:] != use[:-1])
     start = np.flatnonzero(new)
-    count = np.add.reduceat(valid, start)  # windows that cross into the next document come last in a document
-    ok = count > 0
+    count = np.diff(np.append(start, len(a)))
+    ok = use[start]
     start, count = start[ok], count[ok]
-    return text, ends, ids, start, count, a[start], own[start]
+    return start, count, a[start], own[start]
 
 
 def _split(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +279,10 @@ def _offer(chunks: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for chunk, ids, lens, z in zip(*[c.to_pylist() for c in b.columns]):
-                _, _, real, _, _, a, own = _runs(z, ids, lens, width)
+            for chunk, ids, lens, z in zip(*[b.column(c).to_pylist() for c in ("chunk", "ids", "lens", "z")]):
+                text, own, real = _texts(z, ids, lens)
+                a = anchors(text, width)
+                _, _, a, own = _runs(a, own[: len(a)] == own[width - 1 :] if len(a) else own, own)
                 doc = real[own]
                 bucket, h = _split(a, buckets)
                 order = np.lexsort((doc, h, bucket))
@@ -289,8 +302,8 @@ def _offer(chunks: DataFrame, buckets: int, width: int) -> DataFrame:
     return chunks.mapInArrow(run, "bucket int, chunk long, h binary, multi binary")
 
 
-def _shared(offers: DataFrame, parts: int) -> DataFrame:
-    """Per chunk and bucket, the anchors that several documents hold; hot ones apart."""
+def _shared(offers: DataFrame, parts: int, hot: tuple) -> DataFrame:
+    """Per chunk and bucket, the anchors that several documents hold (x) and the heat of each (y)."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -307,14 +320,13 @@ def _shared(offers: DataFrame, parts: int) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             n = np.diff(np.append(cut, len(g)))
             ok = np.repeat((n > 1) | np.logical_or.reduceat(multi[order], cut), n)
-            hot = np.repeat(n > HOT_CHUNKS, n)
-            flag, warm = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            flag[order], warm[order] = ok, hot
+            flag, heat = np.zeros(len(h), bool), np.zeros(len(h), np.uint8)
+            flag[order], heat[order] = ok, np.repeat(np.searchsorted([x for x, _ in hot], n), n)
             out = []
             for i, r in enumerate(rows):
                 s, e = np.searchsorted(who, [i, i + 1])
                 if flag[s:e].any():
-                    out.append((r[0], k, h[s:e][flag[s:e] & ~warm[s:e]].tobytes(), h[s:e][flag[s:e] & warm[s:e]].tobytes()))
+                    out.append((r[0], k, h[s:e][flag[s:e]].tobytes(), heat[s:e][flag[s:e]].tobytes()))
             if out:
                 c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["chunk", "bucket", "x", "y"])
@@ -324,118 +336,141 @@ def _shared(offers: DataFrame, parts: int) -> DataFrame:
 
 def _by_chunk(chunks: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
     """Notes and then the text of each chunk, in one partition and in that order."""
-    a = notes.select("chunk", F.lit(0).alias("kind"), "bucket", "x", "y", F.lit(None).cast("binary").alias("z"))
-    b = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.col("ids").alias("x"), F.col("lens").alias("y"), "z")
+    a = notes.select("chunk", F.lit(0).alias("kind"), "bucket", "x", "y", F.lit(None).cast("binary").alias("z"), F.lit(None).cast("binary").alias("rest"))
+    b = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.col("ids").alias("x"), F.col("lens").alias("y"), "z", "rest")
     return a.unionAll(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
 
 
 def _stream(batches):
-    """(chunk, notes, ids, lens, z) from the sorted stream of _by_chunk."""
+    """(chunk, notes, ids, lens, z, rest) from the sorted stream of _by_chunk."""
     notes: list = []
     for b in batches:
-        for chunk, kind, bucket, x, y, z in zip(*[c.to_pylist() for c in b.columns]):
+        for chunk, kind, bucket, x, y, z, rest in zip(*[c.to_pylist() for c in b.columns]):
             if kind == 0:
                 notes.append((bucket, x, y))
             else:
-                yield chunk, notes, x, y, z
+                yield chunk, notes, x, y, z, rest
                 notes = []
 
 
-def _pieces(rows: DataFrame, buckets: int, width: int) -> DataFrame:
+def _pieces(rows: DataFrame, buckets: int, width: int, heats: tuple) -> DataFrame:
     """Distinct runs of windows with a shared anchor, by shard."""
 
     def run(batches):
-        import xxhash
-
         zip_ = zstandard.ZstdCompressor(level=3)
-        for chunk, notes, ids, lens, z in _stream(batches):
+        for chunk, notes, ids, lens, z, _ in _stream(batches):
             if not notes:
                 continue
-            text, _, real, start, count, a, own = _runs(z, ids, lens, width)
+            text, own, real = _texts(z, ids, lens)
+            a = anchors(text, width)
             bucket, h = _split(a, buckets)
             key = (bucket.astype(np.uint64) << np.uint64(32)) | h
-            known = [np.concatenate([(np.uint64(k) << np.uint64(32)) | np.frombuffer(n[w], np.uint32).astype(np.uint64) for k, *n in notes] or [np.zeros(0, np.uint64)]) for w in (0, 1)]
-            plain, hot = np.isin(key, known[0]), np.isin(key, known[1])
+            known = np.concatenate([(np.uint64(k) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for k, x, _ in notes])
+            heat = np.concatenate([np.frombuffer(y, np.uint8) for _, _, y in notes])
+            order = np.argsort(known)
+            known, heat = known[order], heat[order]
+            valid = own[: len(a)] == own[width - 1 :]
+            runs = _runs(key, valid, own)
+            at = np.minimum(np.searchsorted(known, runs[2]), len(known) - 1)
+            shared = known[at] == runs[2]
+            level = np.where(shared, heat[at], 255)
+            todo = [[x[level == 0] for x in runs]]
+            for k, (_, less) in enumerate(heats):  # anchors that many chunks hold: longer grams
+                hot = np.zeros(len(a), bool)
+                s, n = runs[0][level == k + 1], runs[1][level == k + 1]
+                if len(s):
+                    hot[np.repeat(s, n) + _ramp(n)] = True
+                    b2, h2 = _split(anchors(text, width, width - less), buckets)
+                    todo.append(list(_runs((b2.astype(np.uint64) << np.uint64(32)) | h2, hot, own)))
+            start, count, key, doc = (np.concatenate(x) for x in zip(*todo))
             data = text.tobytes()
             found: dict[tuple, list] = {}
-            for s, n, k, hh, d in zip(start[plain].tolist(), count[plain].tolist(), bucket[plain].tolist(), h[plain].tolist(), real[own[plain]].tolist()):
+            for s, n, k, d in zip(start.tolist(), count.tolist(), key.tolist(), real[doc].tolist()):
                 for at in range(0, n, 4096):
-                    piece = data[s + at : s + min(n, at + 4096) + width - 1]
+                    piece = (k, data[s + at : s + min(n, at + 4096) + width - 1])
                     got = found.get(piece)
                     if got is None:
-                        found[piece] = [k, hh, d, [s + at]]
+                        found[piece] = [d, s + at]
                     else:
-                        got[2] = min(got[2], d)
-                        got[3].append(s + at)
-            for s, n, d in zip(start[hot].tolist(), count[hot].tolist(), real[own[hot]].tolist()):
-                for at in range(s, s + n):
-                    piece = data[at : at + width]
-                    got = found.get(piece)
-                    if got is None:
-                        w = xxhash.xxh3_64_intdigest(piece)
-                        found[piece] = [w % buckets, (w >> 32) & 0xFFFFFFFF, d, [at]]
-                    else:
-                        got[2] = min(got[2], d)
-                        got[3].append(at)
+                        got[0] = min(got[0], d)
+                        got.append(s + at)
             shards: dict[int, list] = {}
-            for piece, got in found.items():
-                shards.setdefault(got[0], []).append((got[1], piece, got[2], got[3]))
+            for (k, piece), got in found.items():
+                shards.setdefault(k >> 32, []).append((k & 0xFFFFFFFF, piece, got))
             for k, items in shards.items():
-                items.sort(key=lambda x: (x[0], x[1]))
-                blobs = [zip_.compress(b"".join([x[1] for x in items])), np.array([[len(x[1]), x[0], len(x[3])] for x in items], np.int64).astype(np.uint32).tobytes(), np.array([x[2] for x in items], np.int64).tobytes(), np.array([p for x in items for p in x[3]], np.int64).astype(np.uint32).tobytes()]
+                blobs = [zip_.compress(b"".join([x[1] for x in items])), zip_.compress(np.array([[len(x[1]), x[0], len(x[2]) - 1] for x in items], np.int64).astype(np.uint32).T.tobytes()), zip_.compress(np.array([x[2][0] for x in items], np.int64).tobytes()), zip_.compress(np.array([p for x in items for p in x[2][1:]], np.int64).astype(np.uint32).tobytes())]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], ["shard", "chunk", "z", "meta", "docs", "at"])
 
     return rows.mapInArrow(run, "shard int, chunk long, z binary, meta binary, docs binary, at binary")
 
 
-def _minima(pieces: DataFrame, parts: int, width: int) -> DataFrame:
+def _minima(pieces: DataFrame, parts: int, width: int, block: int) -> DataFrame:
     """Per chunk, where the smallest document of a window may be another one: position, windows, document."""
 
     def shard(rows):
         unzip = zstandard.ZstdDecompressor().decompress
-        text = np.concatenate([np.frombuffer(unzip(r[1]), np.uint8) for r in rows])
-        meta = np.concatenate([np.frombuffer(r[2], np.uint32).reshape(-1, 3) for r in rows]).astype(np.int64)
-        docs = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
-        at = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
-        who = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
-        size, key, occ = meta.T
-        begin, occ0 = np.cumsum(size) - size, np.cumsum(occ) - occ
-        order = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        done = np.cumsum(size[order])
-        out: dict[int, list] = {}
+        meta = np.concatenate([np.frombuffer(unzip(r[2]), np.uint32).reshape(3, -1) for r in rows], 1).astype(np.int64)
+        docs = np.concatenate([np.frombuffer(unzip(r[3]), np.int64) for r in rows])
+        at = np.concatenate([np.frombuffer(unzip(r[4]), np.uint32) for r in rows]).astype(np.int64)
+        who = np.repeat(np.arange(len(rows)), [len(unzip(r[3])) // 8 for r in rows])
+        size, key, occ = meta
+        # equal runs of different chunks are one from here on
+        seen: dict[tuple, int] = {}
+        same = np.empty(len(size), np.int64)
+        no = 0
+        for r in rows:
+            data, p = unzip(r[1]), 0
+            for n in size[no : no + len(unzip(r[3])) // 8].tolist():
+                same[no] = seen.setdefault((int(key[no]), data[p : p + n]), len(seen))
+                p += n
+                no += 1
+        texts = list(seen)
+        count = len(texts)
+        low_doc = np.full(count, _FAR)
+        np.minimum.at(low_doc, same, docs)
+        ukey = np.array([k for k, _ in texts], np.int64)
+        usize = np.array([len(t) for _, t in texts], np.int64)
+        order = np.argsort(ukey, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(ukey[order]) != 0]))
+        many = np.repeat(np.diff(np.append(edge, count)) > 1, np.diff(np.append(edge, count)))
+        alone, order = order[~many], order[many]
+        segs = [(alone, np.zeros(len(alone), np.int64), usize[alone] - width + 1, low_doc[alone])]
+        if len(order):
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(ukey[order]) != 0]))
+            done = np.cumsum(usize[order])
+            ends = np.append(edge[1:], len(order))
         lo = 0
         while lo < len(order):  # whole anchors, as many as fit a suffix array
-            limit = (done[lo - 1] if lo else 0) + BLOCK
-            ends = np.append(edge, len(order))
-            ends = ends[ends > lo]
-            fit = ends[done[ends - 1] <= limit]
-            hi = int(fit[-1]) if len(fit) else int(ends[0])
-            pick = order[lo:hi]
-            lo = hi
-            part = text[np.repeat(begin[pick], size[pick]) + _ramp(size[pick])]
-            n = size[pick] - width + 1
-            p0 = np.cumsum(size[pick]) - size[pick]
-            starts = np.repeat(p0, n) + _ramp(n)
-            low = window_minima(part, starts, np.repeat(docs[pick], n), width)
-            row = np.repeat(np.arange(len(pick)), n)
-            offset = _ramp(n)
+            rest = ends[ends > lo]
+            fit = rest[done[rest - 1] <= (done[lo - 1] if lo else 0) + block]
+            hi = int(fit[-1]) if len(fit) else int(rest[0])
+            pick, lo = order[lo:hi], hi
+            part = np.frombuffer(b"".join([texts[i][1] for i in pick.tolist()]), np.uint8)
+            n = usize[pick] - width + 1
+            starts = np.repeat(np.cumsum(usize[pick]) - usize[pick], n) + _ramp(n)
+            low = window_minima(part, starts, np.repeat(low_doc[pick], n), width, block)
+            row, offset = np.repeat(np.arange(len(pick)), n), _ramp(n)
             cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])]))
-            length = np.diff(np.append(cut, len(low)))
-            seg_row, seg_off, seg_low = row[cut], offset[cut], low[cut]
-            piece = pick[seg_row]
-            need = (seg_low < docs[piece]) | (occ[piece] > 1)
-            piece, seg_off, seg_low, length = piece[need], seg_off[need], seg_low[need], length[need]
-            if not len(piece):
-                continue
-            times = occ[piece]
-            pos = at[np.repeat(occ0[piece], times) + _ramp(times)] + np.repeat(seg_off, times)
-            owner, ln, lw = np.repeat(who[piece], times), np.repeat(length, times), np.repeat(seg_low, times)
-            by = np.argsort(owner, kind="stable")
-            for i, s, e in zip(*(lambda u: (u[0], u[1], np.append(u[1][1:], len(by))))(np.unique(owner[by], return_index=True))):
-                out.setdefault(int(i), []).append((pos[by[s:e]], ln[by[s:e]], lw[by[s:e]]))
-        for i, got in out.items():
-            yield rows[i][0], np.stack([np.concatenate([g[k] for g in got]) for k in (0, 1)], 1).astype(np.uint32).tobytes(), np.concatenate([g[2] for g in got]).tobytes()
+            segs.append((pick[row[cut]], offset[cut], np.diff(np.append(cut, len(low))), low[cut]))
+        piece, off, length, low = (np.concatenate(x) for x in zip(*segs))
+        by = np.argsort(piece, kind="stable")
+        piece, off, length, low = piece[by], off[by], length[by], low[by]
+        first, times = np.searchsorted(piece, np.arange(count)), np.bincount(piece, minlength=count)
+        reps = times[same]  # a run of a chunk takes the segments of its equal
+        own = np.repeat(np.arange(len(same)), reps)
+        seg = np.repeat(first[same], reps) + _ramp(reps)
+        need = (low[seg] < docs[own]) | (occ[own] > 1)
+        own, seg = own[need], seg[need]
+        if not len(own):
+            return
+        reps = occ[own]
+        pos = at[np.repeat((np.cumsum(occ) - occ)[own], reps) + _ramp(reps)] + np.repeat(off[seg], reps)
+        chunk, ln, lw = np.repeat(who[own], reps), np.repeat(length[seg], reps), np.repeat(low[seg], reps)
+        by = np.argsort(chunk, kind="stable")
+        names, starts = np.unique(chunk[by], return_index=True)
+        for i, s, e in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)]):
+            b = by[s:e]
+            yield rows[i][0], np.stack([pos[b], ln[b]], 1).astype(np.uint32).tobytes(), lw[b].tobytes()
 
     def run(batches):
         held: dict[int, list] = {}
@@ -451,31 +486,31 @@ def _minima(pieces: DataFrame, parts: int, width: int) -> DataFrame:
     return pieces.repartition(parts, "shard").mapInArrow(run, "chunk long, bucket int, x binary, y binary")
 
 
+def _removed(notes, ids: bytes, lens: bytes, z: bytes, width: int):
+    """text, ids, and per document its start, end and mask of removed bytes."""
+    data = zstandard.ZstdDecompressor().decompress(z)
+    real, size = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64)
+    ends = np.cumsum(size)
+    mark = np.zeros(len(data) + 1, np.int32)
+    for _, x, y in notes:
+        seg, low = np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.int64), np.frombuffer(y, np.int64)
+        seg = seg[low < real[np.searchsorted(ends, seg[:, 0], "right")]]
+        np.add.at(mark, seg[:, 0], 1)
+        np.add.at(mark, seg[:, 0] + seg[:, 1] + width - 1, -1)
+    gone = np.cumsum(mark[:-1]) > 0
+    for i, e, n in zip(real.tolist(), ends.tolist(), size.tolist()):
+        g = gone[e - n : e]
+        part = data[e - n : e]
+        yield i, n, g, np.frombuffer(part, np.uint8)[~g].tobytes() if g.any() else part
+
+
 def _cut(rows: DataFrame, width: int, with_kept: bool) -> DataFrame:
     def run(batches):
-        for _, notes, ids, lens, z in _stream(batches):
-            data = zstandard.ZstdDecompressor().decompress(z)
-            real, size = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64)
-            ends = np.cumsum(size)
-            mark = np.zeros(len(data) + 1, np.int32)
-            for _, x, y in notes:
-                seg, low = np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.int64), np.frombuffer(y, np.int64)
-                own = real[np.searchsorted(ends, seg[:, 0], "right")]
-                seg = seg[low < own]
-                np.add.at(mark, seg[:, 0], 1)
-                np.add.at(mark, seg[:, 0] + seg[:, 1] + width - 1, -1)
-            gone = np.cumsum(mark[:-1]) > 0
+        for _, notes, ids, lens, z, _ in _stream(batches):
             out: list[list] = [[] for _ in range(7)]
-            for i, e, n in zip(real.tolist(), ends.tolist(), size.tolist()):
-                g = gone[e - n : e]
-                removed = int(g.sum())
-                spans: list[dict] = []
-                kept = data[e - n : e]
-                if removed:
-                    d = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-                    spans = d.reshape(-1, 2).tolist()
-                    kept = np.frombuffer(kept, np.uint8)[~g].tobytes()
-                for c, v in zip(out, (i, n, removed, len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, spans if with_kept else None)):
+            for i, n, g, kept in _removed(notes, ids, lens, z, width):
+                spans = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))).reshape(-1, 2).tolist() if g.any() else []
+                for c, v in zip(out, (i, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, spans if with_kept else None)):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
@@ -486,7 +521,35 @@ def _cut(rows: DataFrame, width: int, with_kept: bool) -> DataFrame:
     return rows.mapInArrow(run, schema + ", kept binary, spans array<array<long>>" * with_kept)
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, with_kept: bool = False) -> DataFrame:
+def _shortened(rows: DataFrame, width: int, schema, columns: list[str]) -> DataFrame:
+    """The documents again: text as kept (bytes of cut characters go), n_chars as its length."""
+
+    def run(batches):
+        for _, notes, ids, lens, z, rest in _stream(batches):
+            blob = zstandard.ZstdDecompressor().decompress(rest)
+            table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            null = table.column(table.num_columns - 1).to_pylist()
+            texts = [None if x else kept.decode(errors="ignore") for x, (_, _, _, kept) in zip(null, _removed(notes, ids, lens, z, width))]
+            cols = {c: table.column(k) for k, c in enumerate(columns)}
+            cols["doc_id"] = pa.array(np.frombuffer(ids, np.int64))
+            cols["text"] = pa.array(texts, pa.string())
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
+            yield from pa.table([cols[f.name] for f in schema.fields], [f.name for f in schema.fields]).to_batches(max_chunksize=512)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _found(scratch: Scratch, base: DataFrame, width: int, rest: list[str] | None, sizes: tuple) -> DataFrame:
+    parts, (chunk, block, hot) = partitions(scratch.spark), sizes
+    chunks = scratch.write(_pack(base, rest, chunk), "chunks")
+    shared = _shared(_offer(chunks, parts, width), parts, hot)
+    pieces = _pieces(_by_chunk(chunks.withColumn("rest", F.lit(None).cast("binary")), shared, parts), parts, width, hot)
+    minima = scratch.write(_minima(pieces, parts, width, block), "minima")
+    return _by_chunk(chunks, minima, parts)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, with_kept: bool = False, sizes: tuple = (CHUNK, BLOCK, HOT)) -> DataFrame:
     """Removes bytes covered by a ``width``-byte string that also starts in a
     document of a smaller doc_id, of every whole text of ``docs(doc_id, text)``.
 
@@ -494,23 +557,34 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, with_k
     kept (binary) and spans ([start, end) pairs). Null texts count as empty;
     texts shorter than ``width`` bytes are kept whole; repeated rows of one
     doc_id do not remove each other; rows with a null doc_id are kept whole and
-    remove nothing; an empty table gives no rows.
+    remove nothing; an empty table gives no rows. ``sizes``: bytes of a chunk and of
+    a suffix array, and the heats; they change speed and memory only.
     """
     if width < GRAM + 1:
         raise ValueError(f"width must be over {GRAM}")
-    scratch, parts = Scratch(spark, "suffix"), partitions(spark)
+    scratch = Scratch(spark, "suffix")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = scratch.write(_pack(base.where("doc_id is not null")), "chunks")
-    shared = _shared(_offer(chunks, parts, width), parts)
-    pieces = _pieces(_by_chunk(chunks, shared, parts), parts, width)
-    minima = scratch.write(_minima(pieces, parts, width), "minima")
-    out = _cut(_by_chunk(chunks, minima, parts), width, with_kept)
+    out = _cut(_found(scratch, base.where("doc_id is not null"), width, None, sizes), width, with_kept)
     whole = base.where("doc_id is null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
     size = F.octet_length("kept").cast("long")
     whole = whole.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *([F.col("kept"), F.array().cast("array<array<long>>").alias("spans")] if with_kept else []))
     return out.unionByName(whole)
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, width: int = 50) -> DataFrame:
+    """The rows of ``docs``, texts without what ``remove_repeats`` removes.
+
+    All columns stay; n_chars, if there is one, becomes the length of the text
+    that is left. A text that goes entirely is left empty; null texts stay null.
+    """
+    scratch = Scratch(spark, "repeats")
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select(*docs.columns)
+    base = whole.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *columns)
+    out = _shortened(_found(scratch, base, width, columns, (CHUNK, BLOCK, HOT)), width, base.select(*docs.columns).schema, columns)
+    return out.unionByName(whole.where("doc_id is null"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
