@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, partitions, slices
 
-BANDS, ROWS = 24, 6
-K = BANDS * ROWS
-BATCH = 24
+#: Values of a signature, and how many are compared at a time.
+K, BATCH = 144, 24
 #: A pair is dropped when P(similarity >= threshold | matches so far) is below this.
 MISS = 1e-5
 #: Rows of a block; larger buckets are dealt out as pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -79,9 +78,10 @@ def exact_sets(text: str | None, size: int = 5) -> frozenset:
 def signature(hashes: np.ndarray) -> np.ndarray:
     """K minima of the hashes under K multiply-add permutations, 32 bits each."""
     out = np.full(K, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        out = np.minimum(out, np.array([((part * m + a) >> np.uint64(32)).min() for m, a in zip(_MUL, _ADD)], np.uint64))
+    for at in range(0, len(hashes), 256):  # blocks that stay in cache
+        part = hashes[None, at : at + 256] * _MUL[:, None]
+        part += _ADD[:, None]
+        np.minimum(out, part.min(1) >> np.uint64(32), out=out)
     return out.astype(np.uint32)
 
 
@@ -98,7 +98,7 @@ def need(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = np.zeros(len(i), np.int32)
     for b, m in enumerate(least):
         got = got + (sig[i, b * BATCH : (b + 1) * BATCH] == sig[j, b * BATCH : (b + 1) * BATCH]).sum(1, dtype=np.int32)
@@ -106,7 +106,7 @@ def _surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int])
         i, j, got = i[ok], j[ok], got[ok]
         if not len(i):
             break
-    return i, j
+    return i, j, got
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -136,11 +136,16 @@ def _arrays(held) -> dict[str, np.ndarray]:
     out = {}
     for name in t.column_names:
         c = t.column(name)
-        out[name] = np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, K) if name == "sig" else c.to_numpy()
+        out[name] = np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, K) if name == "sig" else c.to_pylist() if name == "z" else c.to_numpy()
     return out
 
 
-def _sign(docs: DataFrame) -> DataFrame:
+def band_rows(threshold: float) -> int:
+    """Rows of a band: 24 bands of 6 miss a pair at 0.85 once in 80,000 times, 28 of 5 a pair at 0.8 once in 65,000."""
+    return 6 if threshold >= 0.85 else 5 if threshold >= 0.8 else 4
+
+
+def _sign(docs: DataFrame, rows: int) -> DataFrame:
     def run(batches):
         table = _Words()
         for part in slices(batches):
@@ -155,78 +160,104 @@ def _sign(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 s = signature(h) if len(h) else np.zeros(0, np.uint32)
                 sig.append((s & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-                keys.append([xxhash.xxh3_64_intdigest(s[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)] if len(h) else [])
+                keys.append([xxhash.xxh3_64_intdigest(s[i * rows : (i + 1) * rows].tobytes(), seed=i) - (1 << 63) for i in range(K // rows)] if len(h) else [])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "sig", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary, bands array<long>")
 
 
-def _in_buckets(rows: DataFrame, least: list[int], ratio: float, cross: bool) -> DataFrame:
-    """Candidate pairs (a, b) of each bucket or pair of blocks that survive pruning.
-
-    Without ``cross``: members against the block's centre, the row that agrees
-    most with the block's most frequent signature values. With it: all pairs of
-    different components, each in the first band that the two share.
+def _centre_pairs(g: dict, least: list[int], ratio: float):
+    """Members of a block against its centre, the row that agrees most with the
+    block's most frequent signature values."""
+    sig, doc, n = g["sig"], g["doc"], g["n"]
+    size, c = len(doc), 0
+    if size > 2:
+        srt = np.sort(sig[:, ::4], axis=0)  # every fourth value suffices to find a centre
+        votes = np.zeros(size, np.int32)
+        for col in range(srt.shape[1]):
+            cut = np.flatnonzero(np.concatenate([[True], srt[1:, col] != srt[:-1, col]]))
+            mode = srt[cut[np.diff(np.append(cut, size)).argmax()], col]
+            votes += sig[:, 4 * col] == mode
+        c = int(np.lexsort((doc, -votes))[0])
+    j = np.delete(np.arange(size), c)
+    j = j[(np.minimum(n[c], n[j]) >= ratio * np.maximum(n[c], n[j])) & (doc[j] != doc[c])]
+    i, j, _ = _surviving(sig, np.full(len(j), c), j, least)
+    return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+
+
+def _cross_links(g: dict, least: list[int], ratio: float, num: int, den: int, rows: int):
+    """Links between different components of a block or pair of blocks.
+
+    A pair is looked at in the first band that it shares. Survivors of the
+    pruning are verified on their words, the likeliest first, unless links
+    found here already join their components: a link less changes nothing.
     """
+    sig, doc, n, own, z = g["sig"], g["doc"], g["n"], g["comp"], g["z"]
+    blk, bi, bj, band = g["block"], g["bi"][0], g["bj"][0], int(g["band"][0])
+    left = np.flatnonzero(blk == bi)
+    right = left if bi == bj else np.flatnonzero(blk == bj)
+    found = []
+    for at in range(0, len(left), 128):
+        part = left[at : at + 128]
+        ok = own[part][:, None] != own[right][None, :]
+        ok &= np.minimum(n[part][:, None], n[right][None, :]) >= ratio * np.maximum(n[part][:, None], n[right][None, :])
+        if bi == bj:
+            ok &= part[:, None] < right[None, :]
+        x, y = np.nonzero(ok)
+        i, j, got = _surviving(sig, part[x], right[y], least)
+        if band and len(i):
+            new = ~(sig[i, : band * rows] == sig[j, : band * rows]).reshape(len(i), band, rows).all(2).any(1)
+            i, j, got = i[new], j[new], got[new]
+        if len(i):
+            found.append((i, j, got))
+    if not found:
+        return [], []
+    i, j, got = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-got, kind="stable")
+    unzip, ids = zstandard.ZstdDecompressor().decompress, {}
+    sets: dict[int, set] = {}
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (p := root.get(c, c)) != c:
+            root[c] = c = root.get(p, p)
+        return c
+
+    def set_of(r: int) -> set:
+        if r not in sets:
+            sets[r] = {ids.setdefault(s, len(ids)) for s in exact_sets(unzip(z[r]).decode())}
+        return sets[r]
+
+    a, b = [], []
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        cx, cy = find(int(own[x])), find(int(own[y]))
+        if cx == cy:
+            continue
+        sx, sy = set_of(x), set_of(y)
+        both = len(sx & sy)
+        if both and den * both >= num * (len(sx) + len(sy) - both):
+            root[cx] = cy
+            a.append(int(doc[x]))
+            b.append(int(doc[y]))
+    return a, b
 
-    def pairs_of(g):
-        sig, doc, n = g["sig"], g["doc"], g["n"]
-        size = len(doc)
-        if not cross:
-            if size == 2:
-                c = 0
-            else:
-                srt = np.sort(sig, axis=0)
-                votes = np.zeros(size, np.int32)
-                for col in range(0, K, 4):  # modes of every fourth value suffice to find a centre
-                    v, cnt = np.unique(srt[:, col], return_counts=True)
-                    votes += sig[:, col] == v[cnt.argmax()]
-                c = int(np.lexsort((doc, -votes))[0])
-            j = np.delete(np.arange(size), c)
-            i = np.full(size - 1, c)
-            blocks = [(i, j)]
-        else:
-            own, blk, bi, bj = g["comp"], g["block"], g["bi"][0], g["bj"][0]
-            left = np.flatnonzero(blk == bi)
-            right = left if bi == bj else np.flatnonzero(blk == bj)
-            blocks = []
-            for at in range(0, len(left), 128):
-                part = left[at : at + 128]
-                ok = own[part][:, None] != own[right][None, :]
-                ok &= np.minimum(n[part][:, None], n[right][None, :]) >= ratio * np.maximum(n[part][:, None], n[right][None, :])
-                if bi == bj:
-                    ok &= part[:, None] < right[None, :]
-                x, y = np.nonzero(ok)
-                if len(x):
-                    blocks.append((part[x], right[y]))
-        for i, j in blocks:
-            if not cross:
-                ok = np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])
-                i, j = i[ok], j[ok]
-            i, j = _surviving(sig, i, j, least)
-            if cross and len(i):
-                band = int(g["band"][0])
-                if band:
-                    same = (sig[i, : band * ROWS] == sig[j, : band * ROWS]).reshape(len(i), band, ROWS).all(2).any(1)
-                    i, j = i[~same], j[~same]
-            if len(i):
-                yield np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+
+def _in_buckets(rows: DataFrame, work) -> DataFrame:
+    """Pairs (a, b) that ``work`` finds in each bucket or pair of blocks."""
 
     def run(batches):
-        out_a, out_b, held_n = [], [], 0
+        out_a, out_b = [], []
         for held in _groups(batches, ("key", "bi", "bj")):
             if sum(b.num_rows for b in held) < 2:
                 continue
-            for a, b in pairs_of(_arrays(held)):
-                ok = a != b
-                out_a.append(a[ok])
-                out_b.append(b[ok])
-                held_n += len(a)
-            if held_n > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-                out_a, out_b, held_n = [], [], 0
+            a, b = work(_arrays(held))
+            out_a += [int(x) for x in a]
+            out_b += [int(x) for x in b]
+            if len(out_a) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                out_a, out_b = [], []
         if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -235,7 +266,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame
     """Pairs whose full shingle sets reach num/den, on the words themselves."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb")
+    rows = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "za", "zb")
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor().decompress
@@ -264,18 +295,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     null doc_id link with nothing and are kept; an empty table gives no rows.
     """
     scratch = Scratch(spark, "minhash")
-    least, ratio, parts = need(num / den), num / den, partitions(spark)
+    least, ratio, parts, per_band = need(num / den), num / den, partitions(spark), band_rows(num / den)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(_sign(base), "signed")
+    signed = scratch.write(_sign(base, per_band), "signed")
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = scratch.write(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top").select("k1", "k2", "rep"), "classes")
-    members = scratch.write(signed.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = linkable.join(classes, ["k1", "k2"], "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("doc"), "n", "sig", "bands")
+    members = scratch.write(signed.select("doc_id", "k1", "k2", "n").join(classes.hint("merge"), ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    reps = linkable.join(classes.hint("merge"), ["k1", "k2"], "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("doc"), "n", "sig", "bands")
     reps = scratch.write(reps, "reps")
     scratch.drop("signed")
     rows = reps.select("doc", F.posexplode("bands").alias("band", "key"))
     full = scratch.write(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    inside = scratch.write(rows.join(full, ["band", "key"]), "inside")
+    inside = scratch.write(rows.join(full.hint("merge"), ["band", "key"]), "inside")
     texts = _texts(spark, base, inside.select(F.col("doc").alias("doc_id")).distinct(), scratch)
 
     def dealt(part: DataFrame, *more: str) -> DataFrame:
@@ -290,17 +321,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
         return part.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
     sigs = reps.select("doc", "n", "sig")
-    first = scratch.write(_in_buckets(dealt(inside.join(sigs, "doc")), least, ratio, False), "first")
+    first = scratch.write(_in_buckets(dealt(inside.join(sigs.hint("merge"), "doc")), lambda g: _centre_pairs(g, least, ratio)), "first")
     links = scratch.write(_verify(first, texts, num, den), "links1")
     comp = scratch.write(components(spark, links, scratch), "comp1")
-    now = inside.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    now = inside.join(comp.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     now = scratch.write(now, "now")
     open_ = scratch.write(now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key"), "open")
-    rest = now.join(open_, ["band", "key"]).join(sigs, "doc")
-    second = scratch.write(_in_buckets(dealt(rest, "comp"), least, ratio, True), "second")
-    more = scratch.write(_verify(second, texts, num, den), "links2")
+    both = sigs.join(texts.withColumnRenamed("doc_id", "doc").hint("merge"), "doc")
+    rest = now.join(open_.hint("merge"), ["band", "key"]).join(both.hint("merge"), "doc")
+    more = scratch.write(_in_buckets(dealt(rest, "comp", "z"), lambda g: _cross_links(g, least, ratio, num, den, per_band)), "links2")
     comp = scratch.write(components(spark, links.unionAll(more), scratch), "comp2").withColumnRenamed("node", "rep")
-    done = members.join(comp, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    done = members.join(comp.hint("merge"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     done = done.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -314,7 +345,7 @@ def _texts(spark: SparkSession, base: DataFrame, ids: DataFrame, scratch: Scratc
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zip_((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
 
     packed = base.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, z binary")
-    return scratch.write(packed.join(ids, "doc_id").select("doc_id", "z"), "texts")
+    return scratch.write(packed.join(ids.hint("merge"), "doc_id").select("doc_id", "z"), "texts")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
