@@ -1,0 +1,5 @@
+"""Functions by name: operators, scalars and aggregates."""
+
+from .registry import AGGREGATES, OPERATORS, SCALARS, call, normalise
+
+__all__ = ["AGGREGATES", "OPERATORS", "SCALARS", "call", "normalise"]

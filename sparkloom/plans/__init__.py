@@ -1,0 +1,5 @@
+"""Declared plans."""
+
+from .fragment import build
+
+__all__ = ["build"]

@@ -1,15 +1,30 @@
-"""Registered queries of the engine and the SQL they are compared with."""
+"""Registered queries of the engine and the SQL that they are compared with.
+
+Keys of sorts and limits are made unique, sums of doubles are rounded, and
+counts are cast, so that both engines give the same values and types.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from .functions import call
+from .operators import Agg, Domain, Range, Relation
+from .plans import build
+from .sources import sinks
+from .streaming import run_available, windowed
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    def add(f):
+    def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -18,7 +33,466 @@ def query(sql: str | None = None):
     return add
 
 
+def rel(spark: SparkSession, d: str, name: str) -> Relation:
+    return Relation(spark.read.parquet(f"{d}/{name}.parquet"))
+
+
+# scans, values, projections
+
+
 @query("select r_name, count(*) as nation_cnt from nation join region on n_regionkey = r_regionkey group by r_name order by r_name")
 def nations_per_region(spark, d):
-    nation, region = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(F.count(F.lit(1)).alias("nation_cnt")).orderBy("r_name")
+    rows = rel(spark, d, "nation").join(rel(spark, d, "region"), "inner", [("n_regionkey", "r_regionkey")])
+    return rows.aggregate(["r_name"], {"nation_cnt": Agg("count", ["1"])}).sort([("r_name", "ASC_NULLS_LAST")]).output(["r_name", "nation_cnt"]).df
+
+
+_ABC = [(i, 5 * i, day) for i, day in enumerate(["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"])]
+_ABC_SQL = "(values " + ", ".join(f"(cast({a} as bigint), cast({b} as bigint), '{c}')" for a, b, c in _ABC) + ") as t(a, b, dow)"
+
+
+@query(f"select a + b as s, 2 * a + b % 3 as m, concat(upper(substr(dow, 1, 1)), substr(dow, 2, 2)) as short from {_ABC_SQL}")
+def values_project(spark, d):
+    rows = Relation.values(spark, _ABC, "a long, b long, dow string")
+    return rows.project({"s": "a + b", "m": "2 * a + b % 3", "short": "concat(upper(substr(dow, 1, 1)), substr(dow, 2, 2))"}).df
+
+
+@query(f"select cast(sum(a) as bigint) as sum_a, avg(a) as avg_a, cast(sum(b) as bigint) as sum_b, avg(b) as avg_b from {_ABC_SQL}")
+def values_aggregate(spark, d):
+    return Relation.values(spark, _ABC, "a long, b long, dow string").aggregate([], {"sum_a": "sum(a)", "avg_a": "avg(a)", "sum_b": "sum(b)", "avg_b": "avg(b)"}).df
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey % 7 = 0")
+def filter_mod(spark, d):
+    return rel(spark, d, "lineitem").filter("l_orderkey % 7 = 0").output(["l_orderkey", "l_linenumber"]).df
+
+
+@query("select p_partkey as k, p_retailprice as price from part where p_size >= 10 and p_size < 20")
+def scan_assignments(spark, d):
+    source = spark.read.parquet(f"{d}/part.parquet")
+    return Relation.scan(source, {"k": "p_partkey", "price": "p_retailprice"}, {"p_size": Domain(ranges=[Range(10, 20, True, False)])}).df
+
+
+@query("select o_orderkey, o_orderstatus, o_custkey from orders where (o_orderstatus in ('F', 'P')) and ((o_custkey between 10 and 200) or o_custkey > 1000) and o_orderpriority not in ('1-URGENT')")
+def domain_predicates(spark, d):
+    domains = {"o_orderstatus": Domain(["F", "P"]), "o_custkey": Domain(ranges=[Range(10, 200), Range(1000, None, False)]), "o_orderpriority": Domain(["1-URGENT"], inclusive=False)}
+    return Relation.scan(spark.read.parquet(f"{d}/orders.parquet"), None, domains).output(["o_orderkey", "o_orderstatus", "o_custkey"]).df
+
+
+# operators
+
+
+@query("select l_orderkey, l_linenumber, l_orderkey + l_partkey as a, l_orderkey - l_partkey as s, l_orderkey * 3 as m, l_orderkey // 7 as d, (-l_orderkey) % 7 as r, -l_orderkey as n from lineitem")
+def ops_arith(spark, d):
+    df = rel(spark, d, "lineitem").df
+    f = lambda name, *a: call(df, f"$operator${name}", *a)
+    return df.select("l_orderkey", "l_linenumber", f("add", "l_orderkey", "l_partkey").alias("a"), f("subtract", "l_orderkey", "l_partkey").alias("s"), f("multiply", "l_orderkey", "3").alias("m"), f("divide", "l_orderkey", "7").alias("d"), f("modulus", "-l_orderkey", "7").alias("r"), f("negation", "l_orderkey").alias("n"))
+
+
+@query("select o_orderkey, o_totalprice = 1000 as eq, o_totalprice <> 1000 as ne, o_totalprice > 1000 as gt, o_totalprice >= 1000 as ge, o_totalprice < 1000 as lt, o_totalprice <= 1000 as le, o_totalprice between 1000 and 90000 as bt from orders")
+def ops_compare(spark, d):
+    df = rel(spark, d, "orders").df
+    f = lambda name, *a: call(df, name, "o_totalprice", *a)
+    return df.select("o_orderkey", *[f(n, "1000").alias(o) for o, n in (("eq", "equal"), ("ne", "not_equal"), ("gt", "greater_than"), ("ge", "greater_than_or_equal"), ("lt", "less_than"), ("le", "less_than_or_equal"))], f("between", "1000", "90000").alias("bt"))
+
+
+@query("select c_custkey, o_orderkey, nullif(o_orderstatus, 'F') is distinct from 'O' as x, o_orderkey is not distinct from null as n from customer left join orders on c_custkey = o_custkey")
+def ops_distinct_from(spark, d):
+    df = rel(spark, d, "customer").join(rel(spark, d, "orders"), "left", [("c_custkey", "o_custkey")]).df
+    return df.select("c_custkey", "o_orderkey", call(df, "is_distinct_from", "nullif(o_orderstatus, 'F')", "'O'").alias("x"), (~call(df, "is_distinct_from", "o_orderkey", "cast(null as bigint)")).alias("n"))
+
+
+@query("select vec_id, embedding[1] as first, embedding[3] as third, map {'a': vec_id}['a'] as a, map {'a': vec_id}['b'] as b from embeddings")
+def ops_subscript(spark, d):
+    df = rel(spark, d, "embeddings").df
+    m = F.create_map(F.lit("a"), F.col("vec_id"))
+    return df.select("vec_id", call(df, "subscript", "embedding", "1").alias("first"), call(df, "subscript", "embedding", "3").alias("third"), call(df, "subscript", m, "'a'").alias("a"), call(df, "subscript", m, "'b'").alias("b"))
+
+
+@query("select p_partkey, case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as size_class, coalesce(nullif(p_size, 1), -1) as c, p_size in (1, 2, 3) as i, not (p_size > 5 and p_retailprice > 1000) or p_size = 7 as l, cast(p_size as varchar) as t from part")
+def ops_logic(spark, d):
+    df = rel(spark, d, "part").df
+    cond = call(df, "or", call(df, "not", call(df, "and", "p_size > 5", "p_retailprice > 1000")), "p_size = 7")
+    return df.select("p_partkey", call(df, "switch", "p_size < 10", "'small'", "p_size < 30", "'medium'", "'large'").alias("size_class"), call(df, "coalesce", call(df, "nullif", "p_size", "1"), "-1").alias("c"), call(df, "in", "p_size", F.lit(1), F.lit(2), F.lit(3)).alias("i"), cond.alias("l"), F.col("p_size").cast("string").alias("t"))
+
+
+@query()
+def ops_random(spark, d):
+    df = rel(spark, d, "nation").df
+    return df.select("n_nationkey", call(df, "random").between(0, 1).alias("within"))
+
+
+# aggregation
+
+
+@query("select count(*) as n, cast(sum(l_linenumber) as bigint) as lines, round(avg(l_quantity), 6) as avg_qty, min(l_shipdate) as first_ship, max(l_shipdate) as last_ship from lineitem")
+def global_agg(spark, d):
+    return rel(spark, d, "lineitem").aggregate([], {"n": "count(1)", "lines": "sum(l_linenumber)", "avg_qty": "round(avg(l_quantity), 6)", "first_ship": "min(l_shipdate)", "last_ship": "max(l_shipdate)"}).df
+
+
+@query("select count(*) as n, cast(sum(n_nationkey) as bigint) as s, max(n_name) as m from nation where n_nationkey > 99")
+def global_agg_empty(spark, d):
+    return rel(spark, d, "nation").filter("n_nationkey > 99").aggregate([], {"n": "count(1)", "s": "sum(n_nationkey)", "m": "max(n_name)"}).df
+
+
+@query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem group by all")
+def pricing_summary(spark, d):
+    return rel(spark, d, "lineitem").aggregate(["l_returnflag", "l_linestatus"], {"sum_qty": "round(sum(l_quantity), 2)", "revenue": "round(sum(l_extendedprice * (1 - l_discount)), 2)", "avg_disc": "round(avg(l_discount), 6)", "n": "count(1)"}).df
+
+
+@query("select l_returnflag, count(distinct l_suppkey) as suppliers, count(*) filter (where l_discount > 0.05) as discounted, cast(sum(distinct l_linenumber) as bigint) as s from lineitem group by l_returnflag")
+def agg_distinct_filter(spark, d):
+    return rel(spark, d, "lineitem").aggregate(["l_returnflag"], {"suppliers": Agg("count", ["l_suppkey"], distinct=True), "discounted": Agg("count", [], filter="l_discount > 0.05"), "s": Agg("sum", ["l_linenumber"], distinct=True)}).df
+
+
+@query("select o_orderpriority, count(distinct o_custkey) as customers from orders group by 1")
+def agg_mask(spark, d):
+    rows = rel(spark, d, "orders").mark_distinct("is_first", ["o_orderpriority", "o_custkey"])
+    return rows.aggregate(["o_orderpriority"], {"customers": Agg("count", ["o_custkey"], mask="is_first")}).df
+
+
+@query("select n_regionkey, string_agg(n_name, ',' order by n_name desc) as names, list(n_nationkey order by n_name asc) as keys from nation group by 1")
+def agg_ordered(spark, d):
+    return rel(spark, d, "nation").aggregate(["n_regionkey"], {"names": Agg("listagg", ["n_name", "','"], order_by=[("n_name", "DESC_NULLS_LAST")]), "keys": Agg("array_agg", ["n_nationkey"], order_by=[("n_name", "ASC_NULLS_LAST")])}).df
+
+
+@query("select distinct o_orderstatus, o_orderpriority from orders")
+def agg_distinct_rows(spark, d):
+    return rel(spark, d, "orders").aggregate(["o_orderstatus", "o_orderpriority"]).df
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n, max(o_custkey) as top from orders group by grouping sets ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+def grouping_sets(spark, d):
+    return rel(spark, d, "orders").grouping_sets([["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], []], {"n": "count(1)", "top": "max(o_custkey)"}).df
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
+def rollup(spark, d):
+    return rel(spark, d, "orders").rollup(["o_orderstatus", "o_orderpriority"], {"n": "count(1)"}).df
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)")
+def cube(spark, d):
+    return rel(spark, d, "orders").cube(["o_orderstatus", "o_orderpriority"], {"n": "count(1)"}).df
+
+
+@query("select n_regionkey, cast(0 as bigint) as g, count(*) as n from nation group by 1 union all select n_regionkey, 1, count(*) from nation group by 1 union all select null, 2, count(*) from nation")
+def grouping_sets_repeated(spark, d):
+    return rel(spark, d, "nation").grouping_sets([["n_regionkey"], ["n_regionkey"], []], {"n": "count(1)"}, "g").df
+
+
+@query("select cast(null as integer) as n_regionkey, count(*) as n from nation where n_nationkey > 99")
+def grouping_sets_empty(spark, d):
+    return rel(spark, d, "nation").filter("n_nationkey > 99").grouping_sets([["n_regionkey"], []], {"n": "count(1)"}).df
+
+
+@query("select n_regionkey as r, n_nationkey, cast(0 as bigint) as g from nation union all select null, n_nationkey, 1 from nation")
+def group_id(spark, d):
+    return rel(spark, d, "nation").group_id([["r"], []], {"r": "n_regionkey"}, ["n_nationkey"], "g").output(["r", "n_nationkey", "g"]).df
+
+
+# order and limits
+
+_PAIRS = "select c_custkey, o_orderkey, o_totalprice from customer left join orders on c_custkey = o_custkey"
+
+
+def _pairs(spark, d):
+    return rel(spark, d, "customer").join(rel(spark, d, "orders"), "left", [("c_custkey", "o_custkey")]).output(["c_custkey", "o_orderkey", "o_totalprice"])
+
+
+def _nulls(name: str, order: str) -> None:
+    def run(spark, d):
+        return _pairs(spark, d).top_n(100, [("o_totalprice", order), ("c_custkey", "ASC_NULLS_LAST"), ("o_orderkey", "ASC_NULLS_LAST")]).df
+
+    run.__name__ = name
+    query(f"{_PAIRS} order by o_totalprice {order.replace('_', ' ', 1).replace('_', ' ')}, c_custkey, o_orderkey limit 100")(run)
+
+
+for _order in ("ASC_NULLS_FIRST", "ASC_NULLS_LAST", "DESC_NULLS_FIRST", "DESC_NULLS_LAST"):
+    _nulls(f"sort_{_order.lower()}", _order)
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls last, o_orderkey")
+def sort_total(spark, d):
+    return rel(spark, d, "orders").output(["o_orderkey", "o_totalprice"]).sort([("o_totalprice", "DESC_NULLS_LAST"), ("o_orderkey", "ASC_NULLS_FIRST")]).df
+
+
+@query("select o_orderkey, o_custkey from orders")
+def sort_partial(spark, d):
+    return rel(spark, d, "orders").output(["o_orderkey", "o_custkey"]).hash_partition(["o_custkey"]).sort([("o_custkey", "ASC_NULLS_LAST")], partial=True).df
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
+def top_n(spark, d):
+    return rel(spark, d, "orders").output(["o_orderkey", "o_totalprice"]).top_n(25, [("o_totalprice", "DESC_NULLS_LAST"), ("o_orderkey", "ASC_NULLS_LAST")]).df
+
+
+@query("select p_partkey, p_size from (select *, rank() over (order by p_size desc nulls last) as r from part) where r <= 10")
+def limit_ties(spark, d):
+    return rel(spark, d, "part").output(["p_partkey", "p_size"]).limit(10, ties=[("p_size", "DESC_NULLS_LAST")]).df
+
+
+@query("select count(*) as n from (select * from orders limit 37)")
+def limit_rows(spark, d):
+    return rel(spark, d, "orders").limit(37).aggregate([], {"n": "count(1)"}).df
+
+
+@query("select o_orderkey from orders order by o_orderkey desc offset 10 limit 20")
+def offset_limit(spark, d):
+    return rel(spark, d, "orders").output(["o_orderkey"]).offset_limit(10, 20, [("o_orderkey", "DESC_NULLS_LAST")]).df
+
+
+@query("select count(*) as n, count(distinct (o_orderstatus, o_orderpriority)) as k from (select distinct o_orderstatus, o_orderpriority from orders limit 4)")
+def distinct_limit(spark, d):
+    return rel(spark, d, "orders").distinct_limit(4, ["o_orderstatus", "o_orderpriority"]).aggregate([], {"n": "count(1)", "k": "count(distinct o_orderstatus, o_orderpriority)"}).df
+
+
+# joins
+
+
+def _join(name: str, how: str, on: str, criteria, residual=None, **more) -> None:
+    def run(spark, d):
+        left, right = rel(spark, d, "customer"), rel(spark, d, "supplier").filter("s_suppkey % 3 = 0")
+        return left.join(right, how, criteria, residual, ["c_custkey", "c_nationkey"], ["s_suppkey", "s_acctbal"], **more).df
+
+    run.__name__ = name
+    query(f"select c_custkey, c_nationkey, s_suppkey, s_acctbal from customer {how} join (select * from supplier where s_suppkey % 3 = 0) on {on}")(run)
+
+
+for _how in ("inner", "left", "right", "full"):
+    _join(f"join_{_how}", _how, "c_nationkey = s_nationkey", [("c_nationkey", "s_nationkey")])
+    _join(f"join_residual_{_how}", _how, "c_nationkey = s_nationkey and c_acctbal < s_acctbal", [("c_nationkey", "s_nationkey")], "l.c_acctbal < r.s_acctbal")
+
+
+@query("select a.r_name as a, b.n_name as b from region a cross join nation b")
+def join_cross(spark, d):
+    return rel(spark, d, "region").project({"a": "r_name"}).join(rel(spark, d, "nation").project({"b": "n_name"}), "inner", []).df
+
+
+@query("select l_orderkey, l_linenumber, l_suppkey, s_name, s_nationkey from lineitem join (select s_suppkey, s_nationkey, s_name from supplier) on l_suppkey = s_suppkey and l_linenumber = s_nationkey % 7 + 1")
+def join_multi_key(spark, d):
+    right = rel(spark, d, "supplier").project({"s_suppkey": "s_suppkey", "line": "s_nationkey % 7 + 1", "s_name": "s_name", "s_nationkey": "s_nationkey"})
+    return rel(spark, d, "lineitem").join(right, "inner", [("l_suppkey", "s_suppkey"), ("l_linenumber", "line")], None, ["l_orderkey", "l_linenumber", "l_suppkey"], ["s_name", "s_nationkey"]).df
+
+
+def _distribution(name: str, how: str) -> None:
+    def run(spark, d):
+        return rel(spark, d, "lineitem").join(rel(spark, d, "part"), "inner", [("l_partkey", "p_partkey")], distribution=how).aggregate(["p_brand"], {"n": "count(1)", "qty": "round(sum(l_quantity), 2)"}).df
+
+    run.__name__ = name
+    query("select p_brand, count(*) as n, round(sum(l_quantity), 2) as qty from lineitem join part on l_partkey = p_partkey group by 1")(run)
+
+
+for _name, _how in (("join_broadcast", "REPLICATED"), ("join_partitioned", "PARTITIONED"), ("join_merge", "MERGE")):
+    _distribution(_name, _how)
+
+
+@query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
+def join_semi(spark, d):
+    return rel(spark, d, "customer").join(rel(spark, d, "orders").filter("o_totalprice > 200000"), "semi", [("c_custkey", "o_custkey")], None, ["c_custkey", "c_name"]).df
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def join_anti(spark, d):
+    return rel(spark, d, "customer").join(rel(spark, d, "orders"), "anti", [("c_custkey", "o_custkey")], None, ["c_custkey"]).df
+
+
+@query("select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from region join nation on r_regionkey = n_regionkey join supplier on s_nationkey = n_nationkey join lineitem on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey and c_nationkey = s_nationkey where r_name = (select min(r_name) from region) and o_orderdate >= timestamp '1995-01-01' group by 1")
+def local_supplier_volume(spark, d):
+    region = rel(spark, d, "region")
+    first = region.aggregate([], {"first": "min(r_name)"}).enforce_single_row()
+    region = region.join(first, "inner", [("r_name", "first")], None, ["r_regionkey"], [])
+    nation = rel(spark, d, "nation").join(region, "inner", [("n_regionkey", "r_regionkey")], None, ["n_nationkey", "n_name"], [])
+    supplier = rel(spark, d, "supplier").join(nation, "inner", [("s_nationkey", "n_nationkey")], None, ["s_suppkey", "s_nationkey"], ["n_name"])
+    orders = rel(spark, d, "orders").filter("o_orderdate >= timestamp_ntz'1995-01-01'")
+    lines = rel(spark, d, "lineitem").join(supplier, "inner", [("l_suppkey", "s_suppkey")], None, ["l_orderkey", "l_extendedprice", "l_discount"], ["n_name", "s_nationkey"])
+    lines = lines.join(orders, "inner", [("l_orderkey", "o_orderkey")], None, None, ["o_custkey"])
+    lines = lines.join(rel(spark, d, "customer"), "inner", [("o_custkey", "c_custkey"), ("s_nationkey", "c_nationkey")], None, None, [])
+    return lines.aggregate(["n_name"], {"revenue": "round(sum(l_extendedprice * (1 - l_discount)), 2)"}).df
+
+
+# unions, exchanges, sets
+
+
+@query("select c_name as name, c_acctbal as bal from customer union all select s_name, s_acctbal from supplier")
+def union_all_mapped(spark, d):
+    return rel(spark, d, "customer").union_all(rel(spark, d, "supplier"), inputs=[["c_name", "c_acctbal"], ["s_name", "s_acctbal"]], outputs=["name", "bal"]).df
+
+
+@query("select c_nationkey as k from customer union select s_nationkey from supplier")
+def union_distinct(spark, d):
+    return rel(spark, d, "customer").union(rel(spark, d, "supplier"), inputs=[["c_nationkey"], ["s_nationkey"]], outputs=["k"]).df
+
+
+@query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
+def set_intersect(spark, d):
+    return rel(spark, d, "customer").project({"k": "c_nationkey"}).intersect(rel(spark, d, "supplier").project({"k": "s_nationkey"})).df
+
+
+@query("select c_nationkey as k from customer except all select s_nationkey from supplier")
+def set_except_all(spark, d):
+    return rel(spark, d, "customer").project({"k": "c_nationkey"}).except_(rel(spark, d, "supplier").project({"k": "s_nationkey"}), all=True).df
+
+
+@query("select o_orderstatus, count(*) as n from orders group by 1")
+def exchange_kinds(spark, d):
+    rows = rel(spark, d, "orders").round_robin(4).hash_partition(["o_orderstatus", F.lit(1)], 4)
+    return rows.aggregate(["o_orderstatus"], {"n": "count(1)"}).gather().df
+
+
+# nested values
+
+
+@query("select vec_id, i as pos, embedding[i] as x from embeddings, range(1, 4) as t(i)")
+def unnest(spark, d):
+    return Relation(rel(spark, d, "embeddings").df.select("vec_id", F.slice("embedding", 1, 3).alias("e"))).unnest(["vec_id"], {"e": ["x"]}, "pos").df.select("vec_id", "pos", "x")
+
+
+@query("select count(distinct id) = count(*) as unique_ids, count(*) as n from (select row_number() over () as id from orders)")
+def assign_unique_id(spark, d):
+    return rel(spark, d, "orders").assign_unique_id("id").aggregate([], {"unique_ids": "count(distinct id) = count(1)", "n": "count(1)"}).df
+
+
+@query("select event_id, cast(props->>'$.k' as bigint) as k from events")
+def json_extract(spark, d):
+    df = rel(spark, d, "events").df
+    return df.select("event_id", call(df, "json_extract_scalar", "props", "'$.k'").cast("long").alias("k"))
+
+
+@query("select vec_id, len(embedding) as n, list_min(embedding) as lo, list_max(embedding) as hi, list_position(embedding, embedding[2]) as pos, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)), 4) as norm, list_contains(embedding, embedding[5]) as has, len(list_filter(embedding, lambda x: x > 0)) as positive from embeddings")
+def array_fns(spark, d):
+    df = rel(spark, d, "embeddings").df
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return df.select("vec_id", call(df, "cardinality", "embedding").cast("long").alias("n"), F.array_min("embedding").alias("lo"), F.array_max("embedding").alias("hi"), F.array_position("embedding", F.element_at("embedding", 2)).cast("int").alias("pos"), F.round(norm, 4).alias("norm"), call(df, "contains", "embedding", F.element_at("embedding", 5)).alias("has"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("positive"))
+
+
+@query("select n_nationkey, map_keys(m) as k, map_values(m) as v, cast(cardinality(m) as bigint) as n from (select n_nationkey, map {'key': n_nationkey, 'region': n_regionkey} as m from nation)")
+def map_fns(spark, d):
+    rows = rel(spark, d, "nation").project({"n_nationkey": "n_nationkey", "m": "map('key', n_nationkey, 'region', n_regionkey)"})
+    return rows.project({"n_nationkey": "n_nationkey", "k": "map_keys(m)", "v": "map_values(m)", "n": "cast(cardinality(m) as bigint)"}).df
+
+
+# scalar functions
+
+
+@query("select n_nationkey, lower(n_name) as lo, upper(n_name) as up, length(n_name) as len, reverse(n_name) as rev, substr(n_name, 2, 3) as sub, lpad(n_name, 12, '*') as lp, rpad(n_name, 12, '-') as rp, replace(n_name, 'A', 'x') as rep, instr(n_name, 'A') as pos, concat(n_name, '/', n_nationkey) as cc, split_part(n_name, 'A', 1) as part, trim('  ' || n_name || ' ') as t, translate(n_name, 'AE', 'ae') as tr, levenshtein(n_name, 'CHINA') as lev, repeat(left(n_name, 1), 3) as r3 from nation")
+def string_fns(spark, d):
+    df = rel(spark, d, "nation").df
+    return df.selectExpr("n_nationkey", "lower(n_name) lo", "upper(n_name) up", "cast(length(n_name) as bigint) len", "reverse(n_name) rev", "substr(n_name, 2, 3) sub", "lpad(n_name, 12, '*') lp", "rpad(n_name, 12, '-') rp", "replace(n_name, 'A', 'x') rep", "cast(locate('A', n_name) as bigint) pos", "concat(n_name, '/', n_nationkey) cc", "split_part(n_name, 'A', 1) part", "trim('  ' || n_name || ' ') t", "translate(n_name, 'AE', 'ae') tr", "cast(levenshtein(n_name, 'CHINA') as bigint) lev", "repeat(left(n_name, 1), 3) r3")
+
+
+@query("select page_id, regexp_matches(url, 'https?://[^/]*example') as ex, regexp_extract(url, '://([^/]+)', 1) as host, regexp_replace(url, '[0-9]+', '#', 'g') as masked, cast(len(regexp_extract_all(url, '[0-9]')) as integer) as digits from pages")
+def regex_fns(spark, d):
+    df = rel(spark, d, "pages").df
+    return df.select("page_id", call(df, "regexp_like", "url", F.lit("https?://[^/]*example")).alias("ex"), F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.regexp_replace("url", "[0-9]+", "#").alias("masked"), F.size(F.regexp_extract_all("url", F.lit("([0-9])"))).alias("digits"))
+
+
+@query("select doc_id, md5(text) as m, sha256(text) as s, hex(encode(left(text, 4))) as h, base64(encode(left(text, 5))) as b from documents where text is not null")
+def hash_fns(spark, d):
+    df = rel(spark, d, "documents").df.filter("text is not null")
+    return df.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"), F.hex(F.encode(F.left("text", F.lit(4)), "UTF-8")).alias("h"), F.base64(F.encode(F.left("text", F.lit(5)), "UTF-8")).alias("b"))
+
+
+@query("select o_orderkey, abs(o_totalprice - 1000) as a, ceil(o_totalprice) as c, floor(o_totalprice) as f, round(sqrt(o_totalprice), 6) as s, round(ln(o_totalprice), 6) as l, round(log10(o_totalprice), 6) as l10, round(pow(o_totalprice, 0.5), 6) as p, sign(o_totalprice - 50000) as g, greatest(o_orderkey, o_custkey) as gr, least(o_orderkey, o_custkey) as le, o_orderkey & 255 as ba, o_orderkey | 1 as bo, xor(o_orderkey, 3) as bx from orders")
+def math_fns(spark, d):
+    df = rel(spark, d, "orders").df
+    return df.select("o_orderkey", *[F.expr(e).alias(n) for n, e in {"a": "abs(o_totalprice - 1000)", "c": "cast(ceil(o_totalprice) as double)", "f": "cast(floor(o_totalprice) as double)", "s": "round(sqrt(o_totalprice), 6)", "l": "round(ln(o_totalprice), 6)", "l10": "round(log10(o_totalprice), 6)", "p": "round(pow(o_totalprice, 0.5), 6)", "g": "cast(sign(o_totalprice - 50000) as tinyint)", "gr": "greatest(o_orderkey, o_custkey)", "le": "least(o_orderkey, o_custkey)"}.items()], call(df, "bitwise_and", "o_orderkey", F.lit(255)).alias("ba"), call(df, "bitwise_or", "o_orderkey", F.lit(1)).alias("bo"), call(df, "bitwise_xor", "o_orderkey", F.lit(3)).alias("bx"))
+
+
+@query("select event_id, cast(year(ts) as integer) as y, cast(month(ts) as integer) as m, cast(day(ts) as integer) as dd, cast(hour(ts) as integer) as h, cast(quarter(ts) as integer) as q, cast(dayofyear(ts) as integer) as doy, date_trunc('hour', ts) as hr, cast(ts as date) as dt, strftime(ts, '%Y-%m-%d %H:%M') as f, last_day(ts) as ld, date_diff('day', date '2020-01-01', cast(ts as date)) as days from events")
+def date_parts(spark, d):
+    return rel(spark, d, "events").df.selectExpr("event_id", "year(ts) y", "month(ts) m", "day(ts) dd", "hour(ts) h", "quarter(ts) q", "dayofyear(ts) doy", "cast(date_trunc('hour', ts) as timestamp_ntz) hr", "cast(ts as date) dt", "date_format(ts, 'yyyy-MM-dd HH:mm') f", "last_day(ts) ld", "cast(datediff(cast(ts as date), date'2020-01-01') as bigint) days")
+
+
+@query("select o_orderkey, o_orderdate + interval 3 day as d3, o_orderdate - interval 2 hour as h2, o_orderdate + interval 1 month as m1 from orders")
+def interval_add(spark, d):
+    return rel(spark, d, "orders").df.selectExpr("o_orderkey", "o_orderdate + interval '3' day d3", "o_orderdate - interval '2' hour h2", "o_orderdate + interval '1' month m1")
+
+
+@query("select l_orderkey, l_linenumber, cast(l_extendedprice as decimal(18,2)) as p, cast(l_extendedprice as decimal(18,2)) + cast(l_tax as decimal(18,2)) as s from lineitem")
+def decimal_ops(spark, d):
+    return rel(spark, d, "lineitem").df.selectExpr("l_orderkey", "l_linenumber", "cast(l_extendedprice as decimal(18,2)) p", "cast(l_extendedprice as decimal(18,2)) + cast(l_tax as decimal(18,2)) s")
+
+
+# aggregate functions
+
+
+@query("select l_returnflag, round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_quantity), 6) as vp, round(corr(l_quantity, l_extendedprice), 6) as co, round(covar_pop(l_quantity, l_discount), 6) as cv, round(skewness(l_quantity), 4) as sk, median(l_quantity) as med, bool_and(l_quantity > 0) as ba, bool_or(l_discount > 0.09) as bo, bit_and(l_orderkey) as bia, bit_or(l_orderkey) as bio, bit_xor(l_orderkey) as bix, cast(count_if(l_tax > 0.04) as bigint) as ci, min_by(l_orderkey, l_orderkey * 10 + l_linenumber) as mib, max_by(l_orderkey, l_orderkey * 10 + l_linenumber) as mab from lineitem group by 1")
+def agg_fns(spark, d):
+    return rel(spark, d, "lineitem").aggregate(["l_returnflag"], {"sd": "round(stddev_samp(l_quantity), 6)", "vp": "round(var_pop(l_quantity), 6)", "co": "round(corr(l_quantity, l_extendedprice), 6)", "cv": "round(covar_pop(l_quantity, l_discount), 6)", "sk": "round(skewness(l_quantity) * sqrt(count(1) * (count(1) - 1)) / (count(1) - 2), 4)", "med": "median(l_quantity)", "ba": "bool_and(l_quantity > 0)", "bo": "bool_or(l_discount > 0.09)", "bia": Agg("bitwise_and_agg", ["l_orderkey"]), "bio": Agg("bitwise_or_agg", ["l_orderkey"]), "bix": Agg("bitwise_xor_agg", ["l_orderkey"]), "ci": "count_if(l_tax > 0.04)", "mib": "min_by(l_orderkey, l_orderkey * 10 + l_linenumber)", "mab": "max_by(l_orderkey, l_orderkey * 10 + l_linenumber)"}).df
+
+
+@query("select n_regionkey, list_sort(list(n_name)) as names, len(list_distinct(list(n_regionkey))) as k from nation group by 1")
+def agg_collections(spark, d):
+    return rel(spark, d, "nation").aggregate(["n_regionkey"], {"names": "array_sort(array_agg(n_name))", "k": "cast(size(collect_set(n_regionkey)) as bigint)"}).df
+
+
+@query()
+def agg_approximate(spark, d):
+    rows = rel(spark, d, "lineitem").aggregate([], {"exact": "count(distinct l_orderkey)", "approx": Agg("approx_distinct", ["l_orderkey"]), "sketch": "hll_sketch_estimate(hll_sketch_agg(l_orderkey))", "p50": "approx_percentile(l_quantity, 0.5)"})
+    return rows.project({"close": "abs(approx - exact) <= 0.15 * exact and abs(sketch - exact) <= 0.15 * exact", "p50": "p50"}).df
+
+
+# writing and reading back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for a query's files: shared between executors on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="sparkloom-")
+    return f"{root}/sparkloom-engine-{uuid.uuid4().hex}"
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from orders")
+def write_roundtrip(spark, d):
+    rows, path = rel(spark, d, "orders").output(["o_orderkey", "o_custkey", "o_orderstatus"]).df, _folder(spark)
+    sinks.write_files(rows.filter("o_orderkey % 2 = 0"), path, "orc", partitioned_by=["o_orderstatus"])
+    sinks.write_files(rows.filter("o_orderkey % 2 = 1"), path, "orc", mode="append", partitioned_by=["o_orderstatus"])
+    return spark.read.schema(rows.schema).orc(path)
+
+
+@query("select count(*) as rows, min(o_custkey) as lo, max(o_custkey) as hi, count(o_orderstatus) as present, max(octet_length(encode(o_orderpriority))) as longest from orders")
+def write_stats(spark, d):
+    stats = sinks.column_statistics(rel(spark, d, "orders").df, ["o_custkey", "o_orderstatus", "o_orderpriority"])
+    return stats.select("rows", F.col("`o_custkey$min`").alias("lo"), F.col("`o_custkey$max`").alias("hi"), F.col("`o_orderstatus$non_null`").alias("present"), F.col("`o_orderpriority$max_size`").alias("longest"))
+
+
+# a declared plan
+
+
+@query("select n_regionkey as r, count(*) as n from nation where n_nationkey > 3 group by 1 order by r desc nulls last limit 3")
+def declared_plan(spark, d):
+    scan = {"@type": "tableScan", "table": {"name": "nation"}, "outputSymbols": ["k", "r"], "assignments": {"k": "n_nationkey", "r": "n_regionkey"}}
+    agg = {"@type": ".AggregationNode", "source": {"@type": ".FilterNode", "source": scan, "predicate": "k > 3"}, "groupingSets": [["r"]], "aggregations": {"n": {"function": "count"}}, "step": "SINGLE"}
+    top = {"@type": "topN", "source": agg, "count": 3, "orderingScheme": {"orderBy": ["r"], "orderings": {"r": "DESC_NULLS_LAST"}}}
+    return build(spark, {"@type": "output", "source": top, "columns": ["r", "n"], "outputs": ["r", "n"]}, lambda t: spark.read.parquet(f"{d}/{t['name']}.parquet")).df
+
+
+# extensions: windows, streams, user functions
+
+
+@query("select o_orderkey, row_number() over w as rn, rank() over (partition by o_custkey order by o_orderdate) as rk, lag(o_orderkey) over w as prev, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as run, ntile(4) over w as nt, first_value(o_orderkey) over w as f from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+def window_fns(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    df = rel(spark, d, "orders").df
+    return df.select("o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.rank().over(Window.partitionBy("o_custkey").orderBy("o_orderdate")).cast("long").alias("rk"), F.lag("o_orderkey").over(w).alias("prev"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("run"), F.ntile(4).over(w).cast("long").alias("nt"), F.first("o_orderkey").over(w).alias("f"))
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def stream_daily_counts(spark, d):
+    source = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_available(windowed(stream, "ts", "1 day", {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 4)}, ["event_type"]))
+    return out.select(F.to_utc_timestamp("window_start", F.current_timezone()).cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+
+
+@query("select s_suppkey, round(s_acctbal * 1.1 + 1, 4) as x from supplier")
+def pandas_udf_scalar(spark, d):
+    @F.pandas_udf("double")
+    def grown(x):
+        return x * 1.1 + 1
+
+    return rel(spark, d, "supplier").df.select("s_suppkey", F.round(grown("s_acctbal"), 4).alias("x"))

@@ -1,0 +1 @@
+"""Tables: catalogs, readers and writers."""
