@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices
+from .common import ship, slices
 
 _M = (1 << 64) - 1
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -173,6 +173,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, in
     table gives an empty result. Columns other than doc_id and text are ignored.
     The vocabulary (fixed size) is the only thing broadcast.
     """
+    ship(spark)
     model = spark.sparkContext.broadcast(Codec(ranks, pattern))
 
     def run(batches):

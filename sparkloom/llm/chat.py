@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN = re.compile(r"<(\\*)\|")
@@ -88,6 +88,7 @@ def format_conversations(spark: SparkSession, turns: DataFrame, with_text: bool
     row per turn instead: conv_id, turn_no, rendered, loss_start, loss_end
     (offsets in ``rendered``, null outside the loss mask).
     """
+    ship(spark)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -4,14 +4,35 @@ size-based partition counts, chunked Arrow iteration and component search."""
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LIVE: list[Scratch] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="sparkloom-package-"))  # executors fetch it from the driver when they need it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/{package.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, f"{package.name}/{file.relative_to(package)}")
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(app)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,6 +58,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/sparkloom-{label}-{uuid.uuid4().hex}"
         _LIVE.append(self)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, ship, slices
 
 BITS = 15
 #: At most about this many labelled rows are learned from (a documented sample bound).
@@ -77,6 +77,7 @@ def fit_domains(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domai
     and domains are left out; of several domains of an id the smallest counts.
     Without labelled rows there is one domain, the empty name.
     """
+    ship(spark)
     known = labelled.where(F.col("doc_id").isNotNull() & F.col(domain).isNotNull()).groupBy("doc_id").agg(F.min(F.col(domain).cast("string")).alias("domain"))
     total = known.count()
     if not total:

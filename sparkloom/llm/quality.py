@@ -16,7 +16,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ship, slices
 
 BITS = 16
 RANK = 6
@@ -129,6 +129,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_
     the id; a doc_id with several labels counts as 1 only if all are 1; null
     labels and ids are left out. Without any label every score is 0.5.
     """
+    ship(spark)
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(fold != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
@@ -161,6 +162,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: FactorisationMach
     repeated rows. With ``keep``, the named columns of ``docs`` come instead,
     for rows that are predicted 1 only.
     """
+    ship(spark)
     sent = spark.sparkContext.broadcast((model.b, model.w.astype("f4"), model.v.astype("f4")))
 
     def run(batches):

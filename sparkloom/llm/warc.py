@@ -15,7 +15,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
@@ -24,7 +24,9 @@ from .common import Scratch, partitions
 ROLL_BYTES = 16 << 20
 #: Smallest payload that may be stored as a revisit of an equal one.
 REVISIT_BYTES = 100
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 16 << 20
+#: Ranges of page_id that the shards are made of; at most so many shards.
+RANGES = 16_384
 _NS = uuid.UUID("6f1c7a52-5a0c-5b7e-9a51-4a2f0b6f8d11")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,37 +62,47 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def plan_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to.
+def _digests(pages: DataFrame) -> DataFrame:
+    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, payload_digest, refers_to of the pages that revisit another one.
 
     The response of equal payloads of at least REVISIT_BYTES is the one with
     the smallest page_id (rows that share it are all responses; a null page_id
-    refers to the smallest non-null one, if there is any). Only digests that occur
-    on several ids are joined back, and a revisit leaves its payload behind.
+    refers to the smallest non-null one, if there is any). Only ids and digests
+    are moved for this, and only digests of several ids are joined back.
     """
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    groups = base.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    out = base.join(groups, "payload_digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return out.withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).drop("first")
+    slim = _digests(pages).where(F.col("payload_bytes") >= REVISIT_BYTES)
+    groups = slim.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
+    found = slim.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return found.select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
 
 
-def shard_bounds(slim: DataFrame, buckets: int = 2048) -> list[int]:
-    """Upper page_ids of the shards, from an exact histogram of stored bytes (at most ``buckets`` rows)."""
+def shard_of(slim: DataFrame) -> tuple[Column, int]:
+    """The shard of a page_id as a column, and the number of shards.
+
+    Page ids fall into RANGES equal ranges; neighbouring ranges make up a shard
+    until it has its share of the bytes, by an exact histogram (at most RANGES
+    rows). A range is found by a division and its shard by one array access.
+    """
     lo, hi, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
     if lo is None or not total or lo == hi:
-        return []
-    want = max(1, min(buckets, -(-total // SHARD_BYTES), hi - lo))
-    want = max(want, min(8, hi - lo))
-    width = -(-(hi - lo + 1) // buckets)
-    rows = slim.where("page_id is not null").groupBy(F.floor((F.col("page_id") - F.lit(lo)) / F.lit(width)).cast("long").alias("b")).agg(F.sum("size").alias("size")).collect()
-    bounds, run = [], 0
-    for b, size in sorted((r[0], r[1]) for r in rows):
-        run += size
-        if run * want >= total * (len(bounds) + 1) and len(bounds) < want - 1:
-            bounds.append(lo + (b + 1) * width - 1)
-    return bounds
+        return F.lit(0), 1
+    want = max(-(-total // SHARD_BYTES), 8)
+    width = -(-(hi - lo + 1) // RANGES)
+    number = F.floor((F.col("page_id") - F.lit(lo)) / F.lit(width)).cast("int")
+    sizes = dict(map(tuple, slim.where("page_id is not null").groupBy(number.alias("r")).agg(F.sum("size").alias("size")).collect()))
+    shards, run, no = [], 0, 0
+    for r in range((hi - lo) // width + 1):
+        shards.append(no)
+        run += sizes.get(r, 0)
+        if run * want >= total * (no + 1) and no < want - 1:
+            no += 1
+    table = F.split(F.lit(",".join(map(str, shards))), ",").cast("array<int>")  # folded to a constant
+    return F.when(F.col("page_id").isNull(), 0).otherwise(F.get(table, number)).cast("int"), no + 1
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest: str, roll_bytes: int = ROLL_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -101,16 +113,17 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest:
     url leaves out the header, null page_ids come first; columns of other names
     are ignored; an empty table gives an empty manifest.
     """
-    bounds = shard_bounds(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 400).cast("long").alias("size")))
-    plan = plan_pages(pages)
-    shard = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<long>"), lambda b: b < F.col("page_id"))) if bounds else F.lit(0)
-    plan = plan.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard).cast("int"))
-    plan = plan.repartition(max(len(bounds) + 1, 1), "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "url")
+    shard, shards = shard_of(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 400).cast("long").alias("size")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha2(F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8"), 256).alias("payload_digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"))
+    notes = revisits(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_digest", F.lit(0).alias("kind"), "refers_to")
+    plan = rows.unionAll(notes).withColumn("shard", shard)
+    plan = plan.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "kind", "url")
 
     def run(batches):
         store, root = _store(target)
         store.create_dir(root, recursive=True)
         cur, part, out, temp = None, 0, None, None
+        note: tuple = (object(), None, None)
         done: list[tuple] = []
         count = size = 0
         digest = hashlib.sha256()
@@ -131,9 +144,14 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest:
             out, part, count, size, digest = None, part + 1, 0, 0, hashlib.sha256()
 
         for b in batches:
-            cols = [b.column(c) for c in ("shard", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")]
+            cols = [b.column(c) for c in ("shard", "page_id", "url", "html", "payload_digest", "kind", "refers_to")]
             for i in range(b.num_rows):
-                s, page, url, payload, n, dig, ref = [c[i].as_py() for c in cols]
+                s, page, url, html, dig, kind, ref = [c[i].as_py() for c in cols]
+                if kind == 0:  # goes ahead of the rows that it is about
+                    note = (page, dig, ref)
+                    continue
+                ref = note[2] if note[:2] == (page, dig) else None
+                payload = html.encode()
                 if s != cur:
                     if out:
                         close()
@@ -141,7 +159,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest:
                 if out is None:
                     temp = f"{root}/_temporary-{uuid.uuid4().hex}"
                     out = store.open_output_stream(temp, compression=None)
-                data = _gzip(record(page, url, payload or b"", n, dig, ref, ref is not None, date))
+                data = _gzip(record(page, url, payload, len(payload), dig, ref, ref is not None, date))
                 out.write(data)
                 digest.update(data)
                 count, size = count + 1, size + len(data)
@@ -154,7 +172,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5])], ["shard", "part", "name", "records", "bytes", "sha256"])
 
     schema = "shard int, part int, name string, records long, bytes long, sha256 string"
-    plan.select("shard", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, schema).write.mode("overwrite").parquet(manifest)
+    plan.select("shard", "page_id", "url", "html", "payload_digest", "kind", "refers_to").mapInArrow(run, schema).write.mode("overwrite").parquet(manifest)
     return spark.read.schema(schema).parquet(manifest)
 
 
