@@ -25,11 +25,11 @@ class Catalog:
             raise ValueError(f"catalog {name} lacks connector.name")
         self.name, self.properties = name, properties
 
-    def path(self, schema: str, table: str) -> str:
-        return f"{self.properties['warehouse'].rstrip('/')}/{schema}/{table}"
+    def path(self, database: str, table: str) -> str:
+        return f"{self.properties['warehouse'].rstrip('/')}/{database}/{table}"
 
-    def read(self, spark: SparkSession, schema: str, table: str, **more) -> DataFrame:
-        return read_files(spark, self.path(schema, table), self.properties.get("format", "PARQUET"), **more)
+    def read(self, spark: SparkSession, database: str, table: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
+        return read_files(spark, self.path(database, table), self.properties.get("format", "PARQUET"), schema, **options)
 
 
 def load_catalogs(folder: str) -> dict[str, Catalog]:
