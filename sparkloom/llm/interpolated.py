@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, slices
 
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 ROUNDS = 60
 _NULL = -(1 << 63)
 _END = np.uint64(0x5851F42D4C957F2D)

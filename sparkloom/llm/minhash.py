@@ -300,7 +300,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     signed = scratch.write(_sign(base, per_band), "signed")
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = scratch.write(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top").select("k1", "k2", "rep"), "classes")
-    members = scratch.write(signed.select("doc_id", "k1", "k2", "n").join(classes.hint("merge"), ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = scratch.write(signed.select("doc_id", "k1", "k2", "n").join(classes.hint("merge"), ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
     reps = linkable.join(classes.hint("merge"), ["k1", "k2"], "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("doc"), "n", "sig", "bands")
     reps = scratch.write(reps, "reps")
     scratch.drop("signed")

@@ -26,7 +26,7 @@ from .common import Scratch, partitions, slices
 GRAM = 16
 #: Bytes of text in a chunk, and of runs in one suffix array.
 CHUNK = 4 << 20
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 #: Beyond so many chunks an anchor's windows are dealt out by their smallest gram of this many bytes less than a window.
 HOT = ((64, 8), (1024, 0))
 _FAR = np.iinfo(np.int64).max
