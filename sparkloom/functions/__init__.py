@@ -1,5 +1,6 @@
 """Functions by name: operators, scalars and aggregates."""
 
+from . import library
 from .registry import AGGREGATES, OPERATORS, SCALARS, call, normalise
 
-__all__ = ["AGGREGATES", "OPERATORS", "SCALARS", "call", "normalise"]
+__all__ = ["AGGREGATES", "OPERATORS", "SCALARS", "call", "library", "normalise"]
