@@ -210,12 +210,10 @@ class Relation:
         left, right = self.df.alias("l"), other.df.alias("r")
         if distribution == "REPLICATED":
             right = right.hint("broadcast")
-        elif distribution == "PARTITIONED":
-            left, right = left.hint("shuffle_hash"), right
-        elif distribution not in (None, "MERGE"):
+        elif distribution in ("PARTITIONED", "MERGE"):
+            right = right.hint("merge")  # of the shuffled joins the one that spills
+        elif distribution is not None:
             raise ValueError(f"unknown distribution {distribution!r}")
-        if distribution == "MERGE":
-            right = right.hint("merge")
         on = None
         for a, b in criteria:
             c = F.col(f"l.`{a}`") == F.col(f"r.`{b}`")
