@@ -496,3 +496,52 @@ def pandas_udf_scalar(spark, d):
         return x * 1.1 + 1
 
     return rel(spark, d, "supplier").df.select("s_suppkey", F.round(grown("s_acctbal"), 4).alias("x"))
+
+
+@query("select o_orderstatus, round(max(o_totalprice) - min(o_totalprice), 2) as spread from orders group by 1")
+def pandas_udf_aggregate(spark, d):
+    def spread(x):
+        return float(x.max() - x.min())
+
+    udaf = F.pandas_udf(spread, "double", F.PandasUDFType.GROUPED_AGG)
+    return rel(spark, d, "orders").df.groupBy("o_orderstatus").agg(F.round(udaf("o_totalprice"), 2).alias("spread"))
+
+
+@query("select r_regionkey, i as step, r_regionkey * i as v from region, range(1, 4) as t(i)")
+def table_function(spark, d):
+    @F.udtf(returnType="step: bigint, v: bigint")
+    class Steps:
+        def eval(self, k: int):
+            for i in range(1, 4):
+                yield i, k * i
+
+    name = f"steps_{uuid.uuid4().hex}"
+    spark.udtf.register(name, Steps)
+    rel(spark, d, "region").df.createOrReplaceTempView(f"{name}_in")
+    return spark.sql(f"select r_regionkey, step, v from {name}_in, lateral {name}(r_regionkey)")
+
+
+@query("select a.event_id, max(b.event_id) as before from events a join events b on a.user_id = b.user_id and b.ts < a.ts and b.ts >= a.ts - interval 1 hour group by 1")
+def join_time_range(spark, d):
+    left, right = rel(spark, d, "events"), rel(spark, d, "events").project({"other": "event_id", "u": "user_id", "t": "ts"})
+    rows = left.join(right, "inner", [("user_id", "u")], "r.t < l.ts and r.t >= l.ts - interval '1' hour", ["event_id"], ["other"])
+    return rows.aggregate(["event_id"], {"before": "max(other)"}).df
+
+
+@query("select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as recent from events")
+def window_time_range(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "user_id", "count(1) over (partition by user_id order by ts range between interval '1' day preceding and current row) as recent")
+
+
+@query("select * from (select doc_id, lang, row_number() over (partition by lang order by n_chars desc, doc_id) as rn from documents where lang is not null) where rn <= 3")
+def top_n_per_group(spark, d):
+    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
+    rows = Relation(rel(spark, d, "documents").filter("lang is not null").df.select("doc_id", "lang", F.row_number().over(w).cast("long").alias("rn")))
+    return rows.filter("rn <= 3").df
+
+
+@query("select l_shipdate >= timestamp '1995-01-01' as late, round(sum(case when o_orderpriority in ('1-URGENT', '2-HIGH') then l_extendedprice else 0 end), 2) as urgent, count(*) as n from lineitem join orders on l_orderkey = o_orderkey group by 1")
+def priority_revenue(spark, d):
+    rows = rel(spark, d, "lineitem").join(rel(spark, d, "orders"), "inner", [("l_orderkey", "o_orderkey")], None, ["l_shipdate", "l_extendedprice"], ["o_orderpriority"])
+    rows = rows.project({"late": "l_shipdate >= timestamp_ntz'1995-01-01'", "urgent": "case when o_orderpriority in ('1-URGENT', '2-HIGH') then l_extendedprice else 0 end"})
+    return rows.aggregate(["late"], {"urgent": "round(sum(urgent), 2)", "n": "count(1)"}).df
