@@ -23,7 +23,7 @@ from .common import ship, slices
 _M = (1 << 64) - 1
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Entries of the pre-token memo of a worker; it is emptied when full.
-MEMO = 300_000
+MEMO = 250_000
 
 
 def _slot(h: int, d: int, n: int) -> int:

@@ -35,7 +35,7 @@ CELLS = 258
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word, seed=5)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 

@@ -31,7 +31,7 @@ CLOSE = 1e-5
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
         b = zlib.crc32(word) & ((1 << BITS) - 1)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = b
         return b
 

@@ -25,10 +25,10 @@ from .common import Scratch, partitions, slices
 
 GRAM = 16
 #: Bytes of text in a chunk, and of runs in one suffix array.
-CHUNK = 4 << 20
-BLOCK = 2 << 20
+CHUNK = 2 << 20
+BLOCK = 1 << 20
 #: Beyond so many chunks an anchor's windows are dealt out by their smallest gram of this many bytes less than a window.
-HOT = ((64, 8), (1024, 0))
+HOT = ((128, 8), (2048, 0))
 _FAR = np.iinfo(np.int64).max
 
 
@@ -253,7 +253,7 @@ def _texts(z: bytes, ids: bytes, lens: bytes):
     """text, document number of each byte, ids."""
     text = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
     size = np.frombuffer(lens, np.int64)
-    return text, np.repeat(np.arange(len(size)), size), np.frombuffer(ids, np.int64)
+    return text, np.repeat(np.arange(len(size), dtype=np.int32), size), np.frombuffer(ids, np.int64)
 
 
 def _runs(a: np.ndarray, use: np.ndarray, own: np.ndarray):
@@ -363,14 +363,14 @@ def _pieces(rows: DataFrame, buckets: int, width: int, heats: tuple) -> DataFram
                 continue
             text, own, real = _texts(z, ids, lens)
             a = anchors(text, width)
-            bucket, h = _split(a, buckets)
-            key = (bucket.astype(np.uint64) << np.uint64(32)) | h
             known = np.concatenate([(np.uint64(k) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for k, x, _ in notes])
             heat = np.concatenate([np.frombuffer(y, np.uint8) for _, _, y in notes])
             order = np.argsort(known)
             known, heat = known[order], heat[order]
             valid = own[: len(a)] == own[width - 1 :]
-            runs = _runs(key, valid, own)
+            runs = list(_runs(a, valid, own))
+            bucket, h = _split(runs[2], buckets)
+            runs[2] = (bucket.astype(np.uint64) << np.uint64(32)) | h
             at = np.minimum(np.searchsorted(known, runs[2]), len(known) - 1)
             shared = known[at] == runs[2]
             level = np.where(shared, heat[at], 255)
@@ -380,8 +380,9 @@ def _pieces(rows: DataFrame, buckets: int, width: int, heats: tuple) -> DataFram
                 s, n = runs[0][level == k + 1], runs[1][level == k + 1]
                 if len(s):
                     hot[np.repeat(s, n) + _ramp(n)] = True
-                    b2, h2 = _split(anchors(text, width, width - less), buckets)
-                    todo.append(list(_runs((b2.astype(np.uint64) << np.uint64(32)) | h2, hot, own)))
+                    s, n, h, d = _runs(anchors(text, width, width - less), hot, own)
+                    bucket, h = _split(h, buckets)
+                    todo.append([s, n, (bucket.astype(np.uint64) << np.uint64(32)) | h, d])
             start, count, key, doc = (np.concatenate(x) for x in zip(*todo))
             data = text.tobytes()
             found: dict[tuple, list] = {}
