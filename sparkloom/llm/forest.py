@@ -25,7 +25,7 @@ SPILL = 0.025
 #: Vectors of a leaf that the fit aims at, rows of the sample, and rows of a block of an oversized leaf.
 LEAF_ROWS = 1024
 SAMPLE_ROWS = 20_000
-BLOCK = 4096
+BLOCK = 1024
 
 
 def fit_tree(x: np.ndarray, rng: np.random.Generator, leaf: int) -> list:
@@ -123,39 +123,36 @@ def _route_all(reps: DataFrame, sent) -> DataFrame:
     return reps.mapInArrow(run, "leaf int, dim int, bi int, bj int, block int, c long, mult long, leaves binary, v binary")
 
 
-def _shared_before(ids: np.ndarray, i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether rows i and j of the padded leaf lists share a leaf before ``leaf``."""
-    out = np.zeros(len(i), bool)
-    a, b = ids[i], ids[j]
-    for k in range(ids.shape[1]):
-        x = a[:, k]
-        ok = (x >= 0) & (x < leaf)
-        if ok.any():
-            out[ok] |= (b[ok] == x[ok][:, None]).any(1)
+def _earlier(leaves: list[bytes], leaf: int) -> np.ndarray:
+    """Which leaves before ``leaf`` each row is in: rows by such leaves, ones and zeros."""
+    size = np.array([len(v) // 4 for v in leaves])
+    ids, row = np.frombuffer(b"".join(leaves), np.int32), np.repeat(np.arange(len(leaves)), size)
+    before = ids < leaf
+    names, col = np.unique(ids[before], return_inverse=True)
+    out = np.zeros((len(leaves), len(names)), np.float32)
+    out[row[before], col] = 1
     return out
 
 
 def compare_leaf(leaf: int, bi: int, bj: int, block: np.ndarray, c: np.ndarray, mult: np.ndarray, leaves: list[bytes], x: np.ndarray, threshold: float):
     """Per row the links counted here, and the smallest row its links lead to."""
     n = len(c)
-    ids = np.full((n, max(len(v) // 4 for v in leaves)), -1, np.int32)
-    for r, v in enumerate(leaves):
-        ids[r, : len(v) // 4] = np.frombuffer(v, np.int32)
+    before = _earlier(leaves, leaf)
     left = np.flatnonzero(block == bi)
     right = left if bi == bj else np.flatnonzero(block == bj)
     deg, label = np.zeros(n, np.int64), np.arange(n)
     ii, jj = [], []
     for at in range(0, len(left), 512):
         part = left[at : at + 512]
-        s = x[part] @ x[right].T
-        p, q = np.nonzero(s >= threshold)
+        link = x[part] @ x[right].T >= threshold
+        if bi == bj:
+            link &= part[:, None] < right[None, :]
+        if link.any():
+            link &= before[part] @ before[right].T == 0  # else counted in the earlier leaf
+        p, q = np.nonzero(link)
         i, j = part[p], right[q]
-        ok = (i < j) if bi == bj else np.ones(len(i), bool)
-        i, j = i[ok], j[ok]
-        new = ~_shared_before(ids, i, j, leaf)
-        i, j = i[new], j[new]
-        np.add.at(deg, i, mult[j])
-        np.add.at(deg, j, mult[i])
+        deg[part] += link @ mult[right]
+        deg[right] += mult[part] @ link
         ii.append(i)
         jj.append(j)
     i, j = np.concatenate(ii), np.concatenate(jj)
