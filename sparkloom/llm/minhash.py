@@ -26,7 +26,7 @@ from .common import Scratch, components, partitions, slices
 #: Values of a signature, and how many are compared at a time.
 K, BATCH = 144, 24
 #: A pair is dropped when P(similarity >= threshold | matches so far) is below this.
-MISS = 1e-5
+MISS = 1e-6
 #: Rows of a block; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
 _RNG = np.random.default_rng(20240229)
@@ -38,7 +38,7 @@ _POS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
