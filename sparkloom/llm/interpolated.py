@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, slices
 
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 ROUNDS = 60
 _NULL = -(1 << 63)
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -52,7 +52,7 @@ def _pack(docs: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=6)
         ids, raw, size, no = [], [], 0, TaskContext.get().partitionId() << 24
 
         def out():
@@ -99,7 +99,8 @@ class _Chunk:
         one = np.concatenate(parts)
         self.count = np.array(count, np.int64)
         self.first = np.cumsum(self.count) - self.count
-        self.doc = np.repeat(np.arange(len(count)), self.count)
+        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), self.count)
+        del parts, data
         before = np.empty_like(one)
         before[1:] = one[:-1]
         before[self.first] = _END
@@ -114,6 +115,7 @@ class _Chunk:
     def _distinct(key: np.ndarray, buckets: int, train: np.ndarray):
         short = ((key % np.uint64(buckets)) << np.uint64(48)) | ((key // np.uint64(buckets)) & np.uint64((1 << 48) - 1))
         u, inv = np.unique(short, return_inverse=True)
+        inv = inv.astype(np.int32)
         local = np.bincount(inv, train, minlength=len(u)).astype(np.int64)
         cut = np.searchsorted(u, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(48))
         return u, inv, local, cut
@@ -210,7 +212,7 @@ def _cell(ratio: np.ndarray) -> np.ndarray:
 
 def _own(doc: np.ndarray, inv: np.ndarray, size: int) -> np.ndarray:
     """How often each token's n-gram occurs in the token's own document."""
-    _, back, n = np.unique(doc * size + inv, return_inverse=True, return_counts=True)
+    _, back, n = np.unique(doc.astype(np.int64) * size + inv, return_inverse=True, return_counts=True)
     return n[back]
 
 
@@ -229,6 +231,7 @@ def _histogram(rows: DataFrame, buckets: int, n_all: int, v_all: int) -> DataFra
             c1, c2 = c.counts(notes, 0)[i1], c.counts(notes, 1)[i2]
             d1, d2 = _own(c.doc, i1, len(u1)), _own(c.doc, i2, len(u2))
             rest1, rest2 = c1 - d1, c2 - d2
+            del c1, c2, d1, d2, i1, i2, u1, u2
             ctx = np.empty_like(rest1)
             ctx[1:] = rest1[:-1]
             ctx[c.first] = rest1[c.first + c.count - 1]  # a text begins after an end
@@ -290,14 +293,15 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
     """
     scratch, parts = Scratch(spark, "lm"), partitions(spark)
+    buckets = 2 * parts  # halves what a task of the sums holds at a time
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = scratch.write(_pack(base), "chunks")
-    extras = scratch.write(_extras(_offers(chunks, parts), parts), "extras")
+    extras = scratch.write(_extras(_offers(chunks, buckets), parts), "extras")
     sums = [np.frombuffer(r[0], np.int64) for r in extras.where("chunk is null and kind = 0").select("y").collect()]
     v_all, n_all = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    cells = _histogram(_together(chunks, extras, parts), parts, n_all, v_all).collect()
+    cells = _histogram(_together(chunks, extras, parts), buckets, n_all, v_all).collect()
     weights = mixture_weights(np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], np.int64))
-    return _scores(_together(chunks, extras, parts), parts, n_all, v_all, weights)
+    return _scores(_together(chunks, extras, parts), buckets, n_all, v_all, weights)
 
 
 def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,14 @@ def shard_of(slim: DataFrame) -> tuple[Column, int]:
     return F.when(F.col("page_id").isNull(), 0).otherwise(F.get(table, number)).cast("int"), no + 1
 
 
+def _sweep(spark: SparkSession, target: str) -> None:
+    """Removes temporary files that lost or repeated attempts have left."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_temporary-*")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or []:
+        fs.delete(status.getPath(), False)
+
+
 def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest: str, roll_bytes: int = ROLL_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of ``pages(page_id, url, html)`` under ``target``.
 
@@ -173,6 +181,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest:
 
     schema = "shard int, part int, name string, records long, bytes long, sha256 string"
     plan.select("shard", "page_id", "url", "html", "payload_digest", "kind", "refers_to").mapInArrow(run, schema).write.mode("overwrite").parquet(manifest)
+    _sweep(spark, target)
     return spark.read.schema(schema).parquet(manifest)
 
 
