@@ -15,6 +15,8 @@ from .ordering import Keys, sort_columns
 
 _JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 _MAX = (1 << 31) - 1
+#: A side of more estimated bytes is never broadcast, even where a plan asks for it.
+BROADCAST_BYTES = 512 << 20
 
 
 def _rows(count: int) -> int:
@@ -202,14 +204,14 @@ class Relation:
         join (an outer row whose partners all fail it is kept).
 
         Without criteria and residual an inner join is a cross join.
-        ``distribution`` REPLICATED hints a broadcast of the right side,
-        PARTITIONED a shuffle; None leaves it to statistics.
+        ``distribution`` REPLICATED hints a broadcast of the right side as long
+        as that is ``small``, PARTITIONED a shuffle; None leaves it to statistics.
         """
         if how not in _JOINS:
             raise ValueError(f"join types are {list(_JOINS)}, not {how!r}")
         left, right = self.df.alias("l"), other.df.alias("r")
         if distribution == "REPLICATED":
-            right = right.hint("broadcast")
+            right = right.hint("broadcast" if other.small() else "merge")
         elif distribution in ("PARTITIONED", "MERGE"):
             right = right.hint("merge")  # of the shuffled joins the one that spills
         elif distribution is not None:
@@ -273,8 +275,12 @@ class Relation:
         return self.sort(keys)
 
     def replicate(self) -> Relation:
-        """Marks this side for a broadcast; use it only where its size is known."""
-        return Relation(F.broadcast(self.df))
+        """Marks this side for a broadcast; one that isn't ``small`` stays as it is."""
+        return Relation(F.broadcast(self.df)) if self.small() else self
+
+    def small(self, limit: int = BROADCAST_BYTES) -> bool:
+        """Whether Spark's estimate of the size, which without statistics is an upper one, is within ``limit`` bytes."""
+        return int(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
 
     def scaled(self, *keys: str) -> Relation:
         """Partitions of an even size, as many as the data needs (for writers)."""
