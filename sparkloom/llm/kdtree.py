@@ -26,6 +26,7 @@ LEAF_ROWS = 256
 QUERY_ROWS = 2048
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
+_FOUND = "q int, query_id long, vec_id long, score long"
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -147,20 +148,18 @@ def top_k(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: int
     shards_n = max(1, -(-candidates.count() // SHARD_ROWS))
     shards = scratch.write(_pack(slim(candidates).repartition(shards_n), SHARD_ROWS, True), "shards")
     blocks = scratch.write(_pack(slim(queries).repartition(max(1, -(-queries.count() // QUERY_ROWS))), QUERY_ROWS, False).withColumn("block", F.monotonically_increasing_id()), "queries")
-    found = None
+    found = spark.createDataFrame([], f"{_FOUND}, block long")
     for no in [r[0] for r in blocks.select("block").orderBy("block").toLocalIterator()]:
         block = blocks.where(F.col("block") == no).first()
         d = block["dim"]
         mine = shards.where(F.col("dim") == d)
         sent = spark.sparkContext.broadcast((bytes(block["ids"]), bytes(block["points"])))
-        pilot = mine.limit(1).mapInArrow(_searcher(sent, d, k, None), "q int, query_id long, vec_id long, score long")
+        pilot = mine.limit(1).mapInArrow(_searcher(sent, d, k, None), _FOUND)
         kth = {r[0]: r[1] for r in pilot.groupBy("q").agg(F.min("score"), F.count(F.lit(1)).alias("n")).where(f"n = {k}").collect()}
         floors = spark.sparkContext.broadcast(kth)
-        rows = mine.mapInArrow(_searcher(sent, d, k, floors), "q int, query_id long, vec_id long, score long").withColumn("block", F.lit(no))
-        rows = scratch.write(rows, f"found-{no}")
-        found = rows if found is None else found.unionAll(rows)
-    if found is None:
-        found = spark.createDataFrame([], "q int, query_id long, vec_id long, score long, block long")
+        rows = mine.mapInArrow(_searcher(sent, d, k, floors), _FOUND).withColumn("block", F.lit(no))
+        scratch.write(rows, f"found/{no}")
+        found = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(f"{scratch.path}/found")  # one table, however many blocks
     order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
