@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LIVE: list[Scratch] = []
@@ -95,9 +95,10 @@ def slices(batches, rows: int = 256) -> Iterator:
             yield batch.slice(at, rows)
 
 
-def base_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, as ``_``-free copies; others can't clash."""
-    return df.select(*[df[n] for n in names])
+def sampled(key: Column, rows: int, total: int) -> Column:
+    """True for about ``rows`` of ``total`` keys, by a hash of the key."""
+    fine = 10**15  # so many parts that a share of very many keys is not rounded to none
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(fine)) < F.lit(int(fine * min(1.0, rows / max(1, total))))
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions
+from .common import Scratch, components, partitions, sampled
 from .vectors import matrices
 
 TREES = 6
@@ -215,8 +215,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     keyed = scratch.write(_classes(base), "keyed")
     classes = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.any_value("v").alias("v")).select(F.xxhash64("k1", "k2").alias("c"), "k1", "k2", "rep", "mult", "v"), "classes")
     total = classes.count()
-    part = min(1.0, sample_rows / max(1, total))
-    sample = [np.frombuffer(r[0], np.float64) for r in classes.where(F.pmod("c", F.lit(1_000_000)) < int(part * 1_000_000)).orderBy("c").select("v").collect()]
+    sample = [np.frombuffer(r[0], np.float64) for r in classes.where(sampled(F.col("c"), sample_rows, total)).orderBy("c").select("v").collect()]
     dim = max([len(v) for v in sample], default=1)
     x = np.zeros((len(sample), dim))
     for i, v in enumerate(sample):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, slices
+from .common import Scratch, sampled, ship, slices
 
 BITS = 15
 #: At most about this many labelled rows are learned from (a documented sample bound).
@@ -82,8 +82,7 @@ def fit_domains(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domai
     total = known.count()
     if not total:
         return DomainModel([""], np.ones(1))
-    cut = int(1_000_000 * min(1.0, sample_rows / total))
-    known = F.broadcast(known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1_000_000)) < cut))
+    known = F.broadcast(known.where(sampled(F.col("doc_id").cast("long"), sample_rows, total)))
 
     def extract(batches):
         buckets = _Buckets()

@@ -16,7 +16,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import sampled, ship, slices
 
 BITS = 16
 RANK = 6
@@ -136,8 +136,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_
     model = FactorisationMachine()
     if not total:
         return model
-    cut = int(1_000_000 * min(1.0, sample_rows / total))
-    known = F.broadcast(known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000)) < cut))
+    known = F.broadcast(known.where(sampled(F.col("doc_id").cast("long"), sample_rows, total)))
     rows = docs.select("doc_id", "text", "n_chars").join(known, "doc_id").select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), F.col("quality").cast("int").alias("y"))
 
     def extract(batches):
