@@ -6,8 +6,9 @@ are compared batch by batch of the signature, and a pair is dropped once the
 posterior probability that its similarity reaches the threshold falls under
 the chosen miss probability. Survivors are verified on their full shingle
 sets. To stay linear in a bucket of near copies this is done in two passes:
-first every member against one centre of its bucket, then all pairs whose two
-documents are still in different components.
+first every member against one centre of its bucket, then the pairs whose two
+documents are still in different components: those outside a bucket's largest
+component meet all of the bucket, its members do not meet each other.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, partitions, slices
@@ -309,11 +310,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     inside = scratch.write(rows.join(full.hint("merge"), ["band", "key"]), "inside")
     texts = _texts(spark, base, inside.select(F.col("doc").alias("doc_id")).distinct(), scratch)
 
-    def dealt(part: DataFrame, *more: str) -> DataFrame:
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        part = part.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(0).cast("int"))
+    def dealt(part: DataFrame, own: Column, rest: Column, *more: str) -> DataFrame:
+        """Rows by pairs of blocks of their bucket. The first ``own`` rows of a
+        bucket meet all of it, the other ``rest`` rows meet those only."""
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        first, more_ = blocks(own), blocks(rest)
+        at = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(n, F.lit(1))).cast("int")
+        part = part.withColumn("block", F.when(F.col("meets_all"), at(first)).otherwise(first + at(more_)))
         if more:
-            part = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            part = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("meets_all"), first + more_).otherwise(first) - 1)))
             part = part.withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o"))
         else:
             part = part.withColumn("bi", F.col("block")).withColumn("bj", F.col("block"))
@@ -321,15 +326,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
         return part.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
     sigs = reps.select("doc", "n", "sig")
-    first = scratch.write(_in_buckets(dealt(inside.join(sigs.hint("merge"), "doc")), lambda g: _centre_pairs(g, least, ratio)), "first")
+    first = scratch.write(_in_buckets(dealt(inside.join(sigs.hint("merge"), "doc").withColumn("meets_all", F.lit(True)), F.col("size"), F.lit(0)), lambda g: _centre_pairs(g, least, ratio)), "first")
     links = scratch.write(_verify(first, texts, num, den), "links1")
     comp = scratch.write(components(spark, links, scratch), "comp1")
     now = inside.join(comp.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     now = scratch.write(now, "now")
-    open_ = scratch.write(now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key"), "open")
+    per = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    open_ = scratch.write(open_.select("band", "key", F.col("main.comp").alias("main"), F.col("main.n").alias("rest"), (F.col("size") - F.col("main.n")).alias("own")), "open")
     both = sigs.join(texts.withColumnRenamed("doc_id", "doc").hint("merge"), "doc")
-    rest = now.join(open_.hint("merge"), ["band", "key"]).join(both.hint("merge"), "doc")
-    more = scratch.write(_in_buckets(dealt(rest, "comp", "z"), lambda g: _cross_links(g, least, ratio, num, den, per_band)), "links2")
+    rest = now.drop("size").join(open_.hint("merge"), ["band", "key"]).withColumn("meets_all", F.col("comp") != F.col("main")).join(both.hint("merge"), "doc")
+    more = scratch.write(_in_buckets(dealt(rest, F.col("own"), F.col("rest"), "comp", "z"), lambda g: _cross_links(g, least, ratio, num, den, per_band)), "links2")
     comp = scratch.write(components(spark, links.unionAll(more), scratch), "comp2").withColumnRenamed("node", "rep")
     done = members.join(comp.hint("merge"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     done = done.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

@@ -46,6 +46,39 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, df.collect()), key=str) == oracle(name, df.columns)
 
 
+def test_minhash_in_small_blocks(spark, monkeypatch):
+    """Buckets of many blocks, whose rows are mostly in one component."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):  # near copies at distances round the threshold
+        w = list(words)
+        for j in rng.choice(60, rng.integers(0, 9), replace=False).tolist():
+            w[5 * j] = f"x{i}.{j}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [minhash.exact_sets(t) for _, t in rows]
+    assert {i: r.component_id for i, r in got.items()} == groups(sets, 85) and len({r.component_id for r in got.values()}) > 1
+
+
+def groups(sets, percent):
+    """The smallest member of each set's component, by comparing all pairs."""
+    low = list(range(len(sets)))
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if (n := len(sets[i] & sets[j])) and 100 * n >= percent * len(sets[i] | sets[j])]
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    return dict(enumerate(low))
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "QUERY_ROWS", 4)
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 90)
+    df = kdtree.op1_kdtree(spark, SMALL)
+    assert sorted(map(tuple, df.collect()), key=str) == oracle("op1_kdtree", df.columns)
+
+
 def test_bpe_against_tiktoken(spark, texts, docs):
     import tiktoken
 
@@ -246,15 +279,58 @@ def test_minhash_pieces():
 
 
 def test_pipeline(spark):
+    """Every stage on what its predecessor kept, against plain versions."""
+    import tiktoken
+
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SMALL)
-    assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() > 0
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        after = stage(spark, docs, SMALL)
-        assert after.columns == corpus_pipeline.COLUMNS and after.dtypes == docs.select(*corpus_pipeline.COLUMNS).dtypes, name
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
-        before = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert ids <= before and (len(ids) < len(before)) == (k < 2)
-        docs = after
+    quality_of, rows = {}, []
+    tables = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SMALL)
+        docs = docs.cache()
+        tables.append((name, before, docs))
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert docs.columns == corpus_pipeline.COLUMNS and docs.dtypes == before.select(*corpus_pipeline.COLUMNS).dtypes, name
+    row = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    # quality: the margin by explicit pairs, for the words and statistics of each text
+    _, before, after = tables[0]
+    model = quality.fit_quality(spark, before, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    for r in before.collect():
+        idx, x = quality.features(r.text, r.n_chars, quality._Buckets())
+        v = model.v[idx] * x[:, None]
+        quality_of[r.doc_id] = model.b + x @ model.w[idx] + np.triu(v @ v.T, 1).sum()
+    margin = math.log(0.3 / 0.7)
+    assert min(abs(m - margin) for m in quality_of.values()) > 1e-6
+    assert row(after) == sorted((tuple(r) for r in before.collect() if quality_of[r.doc_id] >= margin), key=str)
+    # near-duplicates: all pairs
+    _, before, after = tables[1]
+    rows = sorted(before.collect(), key=lambda r: r.doc_id)
+    low = groups([minhash.exact_sets(r.text) for r in rows], 80)
+    assert row(after) == sorted((tuple(r) for i, r in enumerate(rows) if low[i] == i), key=str)
+    # repeats: every window of every text, in the order of doc_id
+    _, before, after = tables[2]
+    seen, want = set(), []
+    for r in sorted(before.collect(), key=lambda r: r.doc_id):
+        data = r.text.encode()
+        windows = [data[i : i + 50] for i in range(len(data) - 49)]
+        gone = {i + k for i, w in enumerate(windows) if w in seen for k in range(50)}
+        seen.update(windows)
+        text = bytes(b for i, b in enumerate(data) if i not in gone).decode(errors="ignore")
+        want.append((r.doc_id, text, r.lang, r.source, len(text)))
+    assert row(after) == sorted(want, key=str)
+    # mixing: no row goes, copies follow the rates
+    _, before, after = tables[3]
+    rate = {r.doc_id: r.rate for r in mixing.mix(spark, before, mixing.labelled_domains(spark, before, SMALL), mixing.tempered(0.7, True), lowest=1.0).collect()}
+    copies = {i: math.floor(x) + (zlib.crc32(f"mix/{i}".encode()) / 2**32 < x - math.floor(x)) for i, x in rate.items()}
+    assert row(after) == sorted((tuple(r) for r in before.collect() for _ in range(copies[r.doc_id])), key=str) and min(copies.values()) == 1
+    # encoding
+    _, before, after = tables[4]
+    ranks, pattern = bpe.production_codec()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in before.collect():
+        ids = np.array(own.encode_ordinary(r.text), "<u4")
+        want.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
+    assert row(after) == sorted(want, key=str) == row(corpus_pipeline.run(spark, SMALL))
