@@ -3,6 +3,8 @@ operation; Catalyst chooses how it runs."""
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ def _expr(e: str | Column) -> Column:
 
 
 class Relation:
-    def __init__(self, df: DataFrame):
-        self.df = df
+    def __init__(self, df: DataFrame, known_bytes: int | None = None):
+        """``known_bytes``: a bound of the size, where Spark has no estimate."""
+        self.df, self.known_bytes = df, known_bytes
 
     # sources
 
@@ -41,7 +44,8 @@ class Relation:
         """Inline rows; without rows, ``row_count`` rows of no column."""
         if rows is None:
             return cls(spark.range(row_count or 0).select())
-        return cls(spark.createDataFrame(rows, schema))
+        df = spark.createDataFrame(rows, schema)
+        return cls(df, len(pickle.dumps(rows)) + 16 * len(rows) * (1 + len(df.columns)))
 
     @classmethod
     def scan(cls, source: DataFrame, assignments: dict[str, str] | None = None, domains: dict[str, Domain] | None | bool = False) -> Relation:
@@ -280,7 +284,9 @@ class Relation:
 
     def small(self, limit: int = BROADCAST_BYTES) -> bool:
         """Whether Spark's estimate of the size, which without statistics is an upper one, is within ``limit`` bytes."""
-        return int(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
+        if self.known_bytes is not None:
+            return self.known_bytes <= limit
+        return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
     def scaled(self, *keys: str) -> Relation:
         """Partitions of an even size, as many as the data needs (for writers)."""

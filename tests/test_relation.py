@@ -174,3 +174,11 @@ def test_every_order_pair(spark):
         by_sort = rows(r.sort(keys))
         by_agg = rows(r.aggregate([], {"l": Agg("array_agg", ["struct(a, b)"], order_by=keys)}))[0][0]
         assert [tuple(v) for v in by_agg] == by_sort
+
+
+def test_broadcasts_are_bounded(spark):
+    little, large = Relation(spark.range(3).toDF("k")), Relation(spark.range(1 << 40).toDF("k"))
+    assert little.small() and not large.small()
+    plan = lambda r: little.join(r, "inner", [("k", "k")], distribution="REPLICATED").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(little) and "strategy=broadcast" not in plan(large) and "strategy=merge" in plan(large)
+    assert large.replicate() is large
