@@ -163,6 +163,34 @@ def test_mixing(spark, docs):
     assert np.abs((tokens * rate) @ p - want).max() < 1e-3 * want.sum()
 
 
+def memberships(spark, shares, hard):
+    rng = np.random.default_rng(1)
+    kind = np.repeat(np.arange(len(shares)), [max(3, round(30_000 * s)) for s in shares])
+    z = rng.normal(0, 1, (len(kind), len(shares))) + 8 * np.eye(len(shares))[kind] + np.log(shares)
+    post = np.eye(len(shares))[kind] if hard else np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    tokens = rng.integers(50, 500, len(kind)).astype(float)
+    return tokens, post, spark.createDataFrame([(bytearray(tokens.tobytes()), bytearray(post.tobytes()))], "tokens binary, post binary")
+
+
+@pytest.mark.parametrize("rare", [0.01, 0.001, 0.0001])
+@pytest.mark.parametrize("hard,grow_only", [(True, False), (True, True), (False, False)])
+def test_mixing_reaches_rare_domains(spark, rare, hard, grow_only):
+    tokens, post, table = memberships(spark, [0.61, 0.15, 0.14, 0.1 - rare, rare], hard)
+    lowest = 1.0 if grow_only else 0.0
+    steps, want, now = mixing.fit_rates(spark, table, list("abcde"), mixing.tempered(0.7, grow_only), lowest)
+    rate = mixing.replay(post, steps, lowest)[0]
+    assert np.abs((tokens * rate) @ post / want - 1).max() < 1e-4 and np.allclose((tokens * rate) @ post, now) and rate.min() >= lowest
+    assert np.allclose(want, mixing.tempered(0.7, grow_only)(tokens @ post))
+
+
+def test_mixing_reports_missed_targets(spark):
+    _, _, table = memberships(spark, [0.61, 0.15, 0.14, 0.09, 0.01], False)
+    with pytest.warns(mixing.TargetsMissed, match="'a'") as told:
+        _, want, now = mixing.fit_rates(spark, table, list("abcde"), mixing.tempered(0.7, True), 1.0)
+    assert "'e'" not in str(told[0].message)
+    assert np.abs(now / want - 1)[1:].max() < 1e-4 < now[0] / want[0] - 1 < 0.01
+
+
 def test_mixing_repeats(spark, docs):
     labelled = mixing.labelled_domains(spark, docs, SMALL)
     out = mixing.mixed_documents(spark, docs, labelled, mixing.tempered(0.7, True))
