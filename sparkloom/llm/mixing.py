@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sampled, ship, slices
+from .common import Scratch, ship, slices
 
 BITS = 15
 #: At most about this many labelled rows are learned from (a documented sample bound).
 SAMPLE_ROWS = 4000
+#: Of a domain at least about this many labelled rows are learned from, or all where it has fewer.
+SAMPLE_FLOOR = 200
 PASSES = 40
 #: The passes end when every domain is this close to its target, as a share of that target.
 CLOSE = 1e-4
@@ -72,33 +74,37 @@ class DomainModel:
                     self.w[u] -= rate * g / np.sqrt(acc[u])
 
 
-def fit_domains(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domain: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DomainModel:
+def fit_domains(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domain: str = "lang", sample_rows: int = SAMPLE_ROWS, floor: int = SAMPLE_FLOOR) -> DomainModel:
     """Learns domains from the documents that ``labelled(doc_id, domain)`` names.
 
-    About ``sample_rows`` labelled ids are taken, by a hash of the id. Null ids
+    Which domains there are, and how frequent, comes from all labelled rows;
+    only weights come from a sample, by a hash of the id: of each domain its
+    share of about ``sample_rows`` ids, or ``floor`` where that is more. Null ids
     and domains are left out; of several domains of an id the smallest counts.
     Without labelled rows there is one domain, the empty name.
     """
     ship(spark)
-    known = labelled.where(F.col("doc_id").isNotNull() & F.col(domain).isNotNull()).groupBy("doc_id").agg(F.min(F.col(domain).cast("string")).alias("domain"))
-    total = known.count()
-    if not total:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = labelled.where(F.col("doc_id").isNotNull() & F.col(domain).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(domain).cast("string")).alias("domain"))
+    count = dict(map(tuple, docs.select("doc_id").join(known, "doc_id").groupBy("domain").count().collect()))
+    if not count:
         return DomainModel([""], np.ones(1))
-    known = F.broadcast(known.where(sampled(F.col("doc_id").cast("long"), sample_rows, total)))
+    names, total = sorted(count), sum(count.values())
+    fine = 10**15  # a share in parts so small that one of very many rows is not rounded to none
+    share = F.create_map(*[F.lit(x) for n in names for x in (n, int(fine * min(1.0, max(floor / count[n], sample_rows / total))))])
+    known = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(fine)) < F.element_at(share, F.col("domain"))))
 
     def extract(batches):
         buckets = _Buckets()
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_indices(t, buckets).astype("<u2").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "domain", "i"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").select("doc_id", "text", "domain").mapInArrow(extract, "doc_id long, domain string, i binary").collect()
+    rows = docs.join(known, "doc_id").select("doc_id", "text", "domain").mapInArrow(extract, "doc_id long, domain string, i binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))
-    if not rows:
-        return DomainModel([""], np.ones(1))
-    names = sorted({r[1] for r in rows})
     y = np.array([names.index(r[1]) for r in rows])
     model = DomainModel(names, (np.bincount(y, minlength=len(names)) + 1.0) / (len(y) + len(names)))
     model.fit([np.frombuffer(r[2], "<u2").astype(np.int64) for r in rows], y)
+    model.b = np.log((np.array([count[n] for n in names]) + 1.0) / (total + len(names)))  # fitted at the frequencies of the sample, used at those of all rows
     return model
 
 

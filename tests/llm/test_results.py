@@ -191,6 +191,19 @@ def test_mixing_reports_missed_targets(spark):
     assert np.abs(now / want - 1)[1:].max() < 1e-4 < now[0] / want[0] - 1 < 0.01
 
 
+@pytest.mark.parametrize("rare", [3, 40])
+def test_mixing_knows_every_domain(spark, rare):
+    words = {"common": "the cat sat on a mat", "other": "le chat est sur la table", "rare": "zwei hunde laufen im wald"}
+    kinds = ["common"] * 3500 + ["other"] * 500 + ["rare"] * rare
+    df = spark.createDataFrame([(i, f"{words[n]} {i}", n) for i, n in enumerate(kinds)], "doc_id long, text string, lang string")
+    lost = spark.createDataFrame([(10**6, "gone")], "doc_id long, lang string")
+    model = mixing.fit_domains(spark, df, df.select("doc_id", "lang").unionAll(lost), sample_rows=60, floor=40)
+    prior = np.array([3501, 501, rare + 1]) / (4003 + rare)
+    assert model.names == ["common", "other", "rare"] and np.allclose(np.exp(model.b), prior)
+    post = np.array([model.posterior(mixing._indices(t, mixing._Buckets())) for t in words.values()])
+    assert post[2, 2] > 50 * prior[2] and (rare < 40 or (post.argmax(1) == [0, 1, 2]).all())
+
+
 def test_mixing_repeats(spark, docs):
     labelled = mixing.labelled_domains(spark, docs, SMALL)
     out = mixing.mixed_documents(spark, docs, labelled, mixing.tempered(0.7, True))
