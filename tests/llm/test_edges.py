@@ -182,6 +182,63 @@ def test_stages(spark, folder, which):
     assert corpus_pipeline.run(spark, f"{folder}/{which}").count() >= 0
 
 
+def test_shared_folder(spark, tmp_path):
+    class Session:
+        """A session of a given master and settings."""
+
+        def __init__(self, master, **conf):
+            self.conf = type("Conf", (), {"get": lambda _, k, d=None: conf.get(k, d), "set": lambda _, k, v: conf.__setitem__(k, v)})()
+            self.sparkContext = type("Context", (), {"master": master})()
+            self._jvm, self._jsc = spark._jvm, spark._jsc
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            common.shared_root(Session(master))
+    alone = Session("local[4]")
+    assert common.shared_root(alone).startswith("file:///") and common.shared_root(alone) == common.shared_root(alone)
+    set_ = {"spark.checkpoint.dir": f"{tmp_path}/shared"}
+    assert common.shared_root(Session("yarn", **set_)) == f"file://{tmp_path}/shared"  # the default file system here
+    assert common.shared_root(Session("yarn", **{"spark.checkpoint.dir": "hdfs://n/x"})) == "hdfs://n/x"
+
+
+def test_release(spark):
+    before = common.made()
+    scratch = common.Scratch(spark, "test")
+    path = scratch.path.removeprefix("file://")
+    scratch.write(spark.range(3), "t")
+    import os
+
+    assert os.path.isdir(path)
+    common.release(before)
+    assert not os.path.exists(path) and common.made() == before
+
+
+def test_split_joins(spark):
+    left = spark.range(30_000).selectExpr("case when id % 3 = 0 then 7 else id end as k", "id as v")
+    right = spark.range(20_000).selectExpr("id as k", "id * 2 as w")
+    hot = common.hot_keys(left, ["k"], 30_000)
+    assert [tuple(r) for r in hot] == [(7,)]
+    for how in ("inner", "left"):
+        got = common.join_split(left, right, ["k"], hot, how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_packed_arrays():
+    import numpy as np
+
+    for a in (np.zeros(0, np.int64), np.array([1, -5, 1 << 62]), np.arange(1000, dtype=np.uint32), np.array([65535], np.uint16)):
+        assert (common.expand(common.squeeze(a), a.dtype) == a).all()
+
+
+def test_components_of_a_star(spark):
+    """One node that all others hang on, as the smallest and as the largest."""
+    scratch = common.Scratch(spark, "test")
+    for hub in (0, 10**9):
+        edges = spark.range(1, 15_001).selectExpr("id as a", f"{hub}L as b")
+        got = common.components(spark, edges, scratch)
+        assert got.count() == 15_001 and [tuple(r) for r in got.select("component").distinct().collect()] == [(min(hub, 1),)]
+
+
 def test_components(spark):
     scratch = common.Scratch(spark, "test")
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (100, 95), (95, 90), (7, 7), (None, 3), (200, 201), (201, 200)] + [(300, k) for k in range(301, 360)]
