@@ -1,19 +1,24 @@
 """Operator 8: suffix-array deduplication of repeated byte passages.
 
-Every 50-byte window has a smallest 16-byte gram (its anchor); equal windows
-have equal anchors. Texts are packed into chunks. A first exchange of anchor
-hashes finds the anchors that occur in several documents. Only windows with
-such an anchor are sent on, as runs of consecutive windows, to the shard of
-their anchor. A shard sorts its distinct runs by a Larsson-Sadakane suffix array,
-takes Kasai common prefixes, and so finds the smallest document of each
-window. Windows of an anchor that many chunks hold are dealt out by a longer
-gram instead, those of an anchor that very many hold by the whole window. A shard that is larger than one suffix array should
-be is built in blocks, whose window lists are merged by binary search.
+Texts are packed into shards. Every 50-byte window has a smallest 24-byte gram,
+its anchor; equal windows have equal anchors, so a first exchange of anchor
+hashes tells which windows may occur in two documents. Each shard sorts the
+text of these by a Larsson-Sadakane suffix array, takes Kasai common prefixes,
+and so finds its equal windows and the first of them in the smallest document.
+Runs of such windows go, as sorted lists, to the bucket of their anchor. There
+the lists of all shards are merged by binary search; windows of runs that agree
+in part only are told apart by a suffix array of these runs. Each shard gets
+back the smallest document of its windows, where that is another one.
+
+Lists longer than one suffix array should be are sorted in blocks, whose window
+lists are merged by the same search. Runs of an anchor that very many shards
+hold are merged within groups of shards first, and the groups' lists after that.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +26,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, slices
+from .common import Scratch, chunk_bytes, expand, partitions, runs_of, slices, squeeze
 
-GRAM = 16
-#: Bytes of text in a chunk, and of runs in one suffix array.
-CHUNK = 2 << 20
+GRAM = 24
+#: Bytes of text in a shard (more where there are very many partitions), and of one suffix array.
+CHUNK, MOST = 2 << 20, 32 << 20
 BLOCK = 1 << 20
-#: Beyond so many chunks an anchor's windows are dealt out by their smallest gram of this many bytes less than a window.
-HOT = ((128, 8), (2048, 0))
+#: Runs of an anchor that more shards hold are merged by groups of shards first.
+HOT = 16_384
+#: Bytes of text that anchors are computed for at a time.
+PART = 2 << 20
 _FAR = np.iinfo(np.int64).max
 
 
@@ -155,65 +162,98 @@ def kasai(text: np.ndarray, sa: np.ndarray, limit: int, lanes: int = 4096) -> np
     return plcp[sa]
 
 
-def window_minima(text: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int, block: int = BLOCK) -> np.ndarray:
-    """For each window start, the smallest ``doc`` among equal windows.
-
-    ``text`` holds the runs end to end; windows lie within their run, so the
+def unify(keys: np.ndarray, cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists of distinct keys, one behind the other and cut at ``cuts``,
+    merged two by two by binary search: for each entry the entry that stands for
+    all equal ones, and these in order."""
+    same = np.arange(len(keys))
+    lists = [same[a:b].copy() for a, b in zip(cuts, cuts[1:]) if b > a]
+    while len(lists) > 1:
+        merged = []
+        for x, y in zip(lists[::2], lists[1::2]):
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            kx, ky = keys[x], keys[y]
+            p = np.searchsorted(kx, ky)
+            hit = kx[np.minimum(p, len(x) - 1)] == ky
+            same[y[hit]] = x[p[hit]]
+            merged.append(np.insert(x, p[~hit], y[~hit]))
+        lists = merged + lists[len(lists) // 2 * 2 :]
+    while True:
+        up = same[same]
+        if (up == same).all():
+            return same, lists[0] if lists else same
+        same = up
+
+
+def _keys(text: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, ahead: np.ndarray | None = None) -> np.ndarray:
+    """Strings of up to ``width`` bytes as fixed-width keys that sort like them,
+    behind 32-bit numbers ``ahead``, if given; the last two bytes are the size."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(width, np.uint8)]), width)
+    front = 0 if ahead is None else 4
+    rows = np.empty((len(start), front + width + 2), np.uint8)
+    if front:
+        rows[:, :4] = ahead.astype(">u4").view(np.uint8).reshape(-1, 4)
+    rows[:, front:-2] = view[start]
+    rows[:, front:-2] *= np.arange(width) < size[:, None]
+    rows[:, -2:] = size.astype(">u2").view(np.uint8).reshape(-1, 2)
+    return rows.view(f"S{rows.shape[1]}").ravel()
+
+
+def window_reps(text: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int, block: int = BLOCK) -> np.ndarray:
+    """For each window start, the index of the first equal window of the smallest ``doc``.
+
+    ``text`` holds runs end to end; windows lie within their run, so the
     prefixes compared never need what follows it.
     """
-    blocks, at = [], 0
-    n = len(text)
-    if n <= block:
-        return _block_minima(text, start, doc, width)[0]
     cuts = [0]
     while cuts[-1] < len(start):  # blocks of windows
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(start, start[cuts[-1]] + block))))
-    out = np.empty(len(start), np.int64)
+    rep, heads = np.empty(len(start), np.int64), []
     for s, e in zip(cuts, cuts[1:]):
         lo, hi = start[s], start[e - 1] + width
-        got, keys, low = _block_minima(text[lo:hi], start[s:e] - lo, doc[s:e], width, True)
-        out[s:e] = got
-        blocks.append((s, e, keys, low))
-    for x, (s, e, keys, low) in enumerate(blocks):  # cross-shard merge: each list is searched in the others
-        own = low.copy()
-        for y, (_, _, others, olow) in enumerate(blocks):
-            if x != y and len(others):
-                p = np.minimum(np.searchsorted(others, keys), len(others) - 1)
-                own = np.where(others[p] == keys, np.minimum(own, olow[p]), own)
-        lo = start[s]
-        p = np.searchsorted(keys, _window_keys(text, start[s:e], width))
-        out[s:e] = own[p]
-    return out
-
-
-def _window_keys(text: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """Windows as fixed-width byte strings that sort like their bytes."""
-    rows = np.zeros((len(start), width + 1), np.uint8)
-    rows[:, :width] = text[start[:, None] + np.arange(width)]
-    rows[:, width] = 1  # numpy drops trailing zero bytes in comparisons
-    return rows.view(f"S{width + 1}").ravel()
-
-
-def _block_minima(text, start, doc, width, want_keys=False):
+        got, head = _block_reps(text[lo:hi], start[s:e] - lo, doc[s:e], width)
+        rep[s:e] = got + s
+        heads.append(head + s)
+    if len(heads) < 2:
+        return rep
+    head = np.concatenate(heads)
+    keys = _keys(text, start[head], np.full(len(head), width), width)
+    same, _ = unify(keys, np.cumsum([0, *map(len, heads)]).tolist())
+    order = np.lexsort((head, doc[head], same))
+    first = order[np.concatenate([[True], same[order][1:] != same[order][:-1]])]
+    best = np.empty(len(head), np.int64)
+    best[same[first]] = head[first]
+    entry = np.empty(len(start), np.int64)
+    entry[head] = np.arange(len(head))
+    return best[same[entry[rep]]]
+
+
+def _block_reps(text, start, doc, width):
+    """Representatives of the windows, and the distinct ones of these in suffix order."""
     sa, _ = suffix_array(text, width)
     lcp = kasai(text, sa, width)
     row = np.full(len(text), -1, np.int64)
     row[start] = np.arange(len(start))
-    group = np.cumsum(lcp < width) - 1
+    group = np.cumsum(lcp < width)
     mine = row[sa]
     use = mine >= 0
     g, w = group[use], mine[use]
     cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    times = np.diff(np.append(cut, len(w)))
     low = np.minimum.reduceat(doc[w], cut)
-    out = np.empty(len(start), np.int64)
-    out[w] = np.repeat(low, np.diff(np.append(cut, len(w))))
-    if not want_keys:
-        return out, None, None
-    return out, _window_keys(text, start[w[cut]], width), low
+    head = np.minimum.reduceat(np.where(doc[w] == np.repeat(low, times), w, len(start)), cut)
+    rep = np.empty(len(start), np.int64)
+    rep[w] = np.repeat(head, times)
+    return rep, head
+
+
+def window_minima(text: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int, block: int = BLOCK) -> np.ndarray:
+    """For each window start, the smallest ``doc`` among equal windows."""
+    return doc[window_reps(text, start, doc, width, block)]
 
 
 def _pack(docs: DataFrame, rest: list[str] | None, limit: int) -> DataFrame:
-    """Rows of about ``limit`` bytes: chunk, ids (int64), lens (int64), z (texts,
+    """Rows of about ``limit`` bytes: chunk, size, ids (int64), lens (int64), z (texts,
     zstd), and rest (an Arrow stream of the columns of that list and ``text is null``)."""
 
     def run(batches):
@@ -230,23 +270,27 @@ def _pack(docs: DataFrame, rest: list[str] | None, limit: int) -> DataFrame:
                     for k in kept:
                         w.write_batch(k)
                 blobs[3] = zip_.compress(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], ["chunk", "ids", "lens", "z", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([size], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], ["chunk", "size", "ids", "lens", "z", "rest"])
 
         for part in slices(batches, 64):
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            more = None if rest is None else pa.RecordBatch.from_arrays([*part.columns[2:], part.column(1).is_null()], [f"c{k}" for k in range(part.num_columns - 1)])
+            done = 0
+            for row, (i, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist()), 1):
                 data = (t or "").encode()
                 ids.append(i)
                 raw.append(data)
                 size += len(data)
-            if rest is not None:
-                kept.append(pa.RecordBatch.from_arrays([*part.columns[2:], part.column(1).is_null()], [f"c{k}" for k in range(part.num_columns - 1)]))
-            if size >= limit:
-                yield out()
-                ids, raw, size, no, kept = [], [], 0, no + 1, []
+                if size >= limit or row == part.num_rows:
+                    if more is not None:
+                        kept.append(more.slice(done, row - done))
+                    done = row
+                if size >= limit:
+                    yield out()
+                    ids, raw, size, no, kept = [], [], 0, no + 1, []
         if ids:
             yield out()
 
-    return docs.mapInArrow(run, "chunk long, ids binary, lens binary, z binary, rest binary")
+    return docs.mapInArrow(run, "chunk long, size long, ids binary, lens binary, z binary, rest binary")
 
 
 def _texts(z: bytes, ids: bytes, lens: bytes):
@@ -256,89 +300,89 @@ def _texts(z: bytes, ids: bytes, lens: bytes):
     return text, np.repeat(np.arange(len(size), dtype=np.int32), size), np.frombuffer(ids, np.int64)
 
 
-def _runs(a: np.ndarray, use: np.ndarray, own: np.ndarray):
-    """Runs of windows in use that have one anchor and one document: start, count, anchor, document number."""
-    if not len(a):
-        e = np.zeros(0, np.int64)
-        return e, e, a, e
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (own[1 : len(a)] != own[: len(a) - 1]) | (use[1:] != use[:-1])
-    start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(a)))
-    ok = use[start]
-    start, count = start[ok], count[ok]
-    return start, count, a[start], own[start]
-
-
-def _split(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return (a % np.uint64(buckets)).astype(np.int64), ((a // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _anchored(text: np.ndarray, own: np.ndarray, width: int, buckets: int):
+    """Runs of windows that have one anchor and one document, in text order:
+    start, count, and the anchor's bucket and 32 more bits of its hash in one number."""
+    out = [[], [], []]
+    for at in range(0, len(text) - width + 1, PART):
+        a = anchors(text[at : at + PART + width - 1], width)
+        n = len(a)
+        doc = own[at : at + n]
+        use = doc == own[at + width - 1 : at + width - 1 + n]
+        new = np.ones(n, bool)
+        new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1]) | (use[1:] != use[:-1])
+        start = np.flatnonzero(new)
+        count = np.diff(np.append(start, n))
+        ok = use[start]
+        start, count = start[ok], count[ok]
+        h = a[start]
+        for x, y in zip(out, (start + at, count, ((h % np.uint64(buckets)) << np.uint64(32)) | ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)))):
+            x.append(y)
+    if not out[0]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _offer(chunks: DataFrame, buckets: int, width: int) -> DataFrame:
     """The distinct anchors of each chunk by bucket, and which of them two of its documents hold."""
 
     def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             for chunk, ids, lens, z in zip(*[b.column(c).to_pylist() for c in ("chunk", "ids", "lens", "z")]):
                 text, own, real = _texts(z, ids, lens)
-                a = anchors(text, width)
-                _, _, a, own = _runs(a, own[: len(a)] == own[width - 1 :] if len(a) else own, own)
-                doc = real[own]
-                bucket, h = _split(a, buckets)
-                order = np.lexsort((doc, h, bucket))
-                bucket, h, doc = bucket[order], h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-                at = np.flatnonzero(new)
-                last = np.append(at[1:], len(h)) - 1
-                multi = doc[at] != doc[last] if len(at) else np.zeros(0, bool)
-                bucket, h = bucket[at], h[at]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(k, h[s:e].tobytes(), np.packbits(multi[s:e]).tobytes()) for k, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-                if rows:
-                    k, x, y = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([chunk] * len(k), pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "chunk", "h", "multi"])
+                start, _, code = _anchored(text, own, width, buckets)
+                if not len(code):
+                    continue
+                doc, order = real[own[start]], np.argsort(code)
+                code, doc = code[order], doc[order]
+                at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                multi = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+                code = code[at]
+                bucket = (code >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = [*first[1:].tolist(), len(code)]
+                h = code.astype(np.uint32)
+                rows = [(squeeze(np.diff(h[s:e], prepend=np.uint32(0))), zip_(np.packbits(multi[s:e]).tobytes())) for s, e in zip(first.tolist(), ends)]
+                x, y = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([chunk] * len(x), pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "chunk", "h", "multi"])
 
     return chunks.mapInArrow(run, "bucket int, chunk long, h binary, multi binary")
 
 
-def _shared(offers: DataFrame, parts: int, hot: tuple) -> DataFrame:
-    """Per chunk and bucket, the anchors that several documents hold (x) and the heat of each (y)."""
+def _shared(offers: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Per chunk and bucket, for each anchor offered: 0 if one document only holds
+    it, 2 if more than ``hot`` chunks do, else 1. A bucket is in memory at a time."""
 
     def run(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for k, chunk, h, multi in zip(*[c.to_pylist() for c in b.columns]):
-                held.setdefault(k, []).append((chunk, np.frombuffer(h, np.uint32), multi))
-        for k in sorted(held):
-            rows = held.pop(k)
-            h = np.concatenate([r[1] for r in rows])
-            who = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-            multi = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(r[1])) for r in rows]).astype(bool)
-            order = np.argsort(h, kind="stable")
+        zip_, unzip = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        for (k,), rows in runs_of(batches, ("bucket",)):
+            parts_ = [np.cumsum(expand(r[2], np.uint32), dtype=np.uint32) for r in rows]
+            h = np.concatenate(parts_)
+            multi = np.concatenate([np.unpackbits(np.frombuffer(unzip(r[3]), np.uint8), count=len(x)) for r, x in zip(rows, parts_)]).astype(bool)
+            order = np.argsort(h)
             g = h[order]
             cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             n = np.diff(np.append(cut, len(g)))
-            ok = np.repeat((n > 1) | np.logical_or.reduceat(multi[order], cut), n)
-            flag, heat = np.zeros(len(h), bool), np.zeros(len(h), np.uint8)
-            flag[order], heat[order] = ok, np.repeat(np.searchsorted([x for x, _ in hot], n), n)
-            out = []
-            for i, r in enumerate(rows):
-                s, e = np.searchsorted(who, [i, i + 1])
-                if flag[s:e].any():
-                    out.append((r[0], k, h[s:e][flag[s:e]].tobytes(), heat[s:e][flag[s:e]].tobytes()))
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["chunk", "bucket", "x", "y"])
+            level = np.zeros(len(h), np.uint8)
+            level[order] = np.repeat(((n > 1) | np.logical_or.reduceat(multi[order], cut)) * (1 + (n > hot)), n)
+            ends = np.cumsum([len(x) for x in parts_]).tolist()
+            got = [(r[1], zip_(level[e - len(x) : e].tobytes())) for r, x, e in zip(rows, parts_, ends) if level[e - len(x) : e].any()]
+            if got:
+                c, x = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([k] * len(c), pa.int32()), pa.array(x, pa.binary()), pa.array([b""] * len(c), pa.binary())], ["chunk", "bucket", "x", "y"])
 
-    return offers.repartition(parts, "bucket").mapInArrow(run, "chunk long, bucket int, x binary, y binary")
+    rows = offers.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "chunk")
+    return rows.mapInArrow(run, "chunk long, bucket int, x binary, y binary")
 
 
 def _by_chunk(chunks: DataFrame, notes: DataFrame, parts: int) -> DataFrame:
     """Notes and then the text of each chunk, in one partition and in that order."""
-    a = notes.select("chunk", F.lit(0).alias("kind"), "bucket", "x", "y", F.lit(None).cast("binary").alias("z"), F.lit(None).cast("binary").alias("rest"))
+    none = F.lit(None).cast("binary")
+    a = notes.select("chunk", F.lit(0).alias("kind"), "bucket", "x", "y", none.alias("z"), none.alias("rest"))
     b = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.col("ids").alias("x"), F.col("lens").alias("y"), "z", "rest")
-    return a.unionAll(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    even = F.pmod(F.shiftright("chunk", 24) + 7919 * F.col("chunk").bitwiseAND((1 << 24) - 1), F.lit(parts)).cast("int")  # chunks of a partition are numbered from 0
+    return a.unionAll(b).repartitionById(parts, even).sortWithinPartitions("chunk", "kind")
 
 
 def _stream(batches):
@@ -353,138 +397,228 @@ def _stream(batches):
                 notes = []
 
 
-def _pieces(rows: DataFrame, buckets: int, width: int, heats: tuple) -> DataFrame:
-    """Distinct runs of windows with a shared anchor, by shard."""
-
+_LOCAL = -2  # in place of a bucket: what a shard found within itself
+_PIECES = "shard int, hot int, chunk long, z binary, size binary, key binary, docs binary, at binary"
+_FOUND = "chunk long, bucket int, x binary, y binary, anchor long, id long, run binary, low long"
+
+
+def chunk_pieces(chunk: int, notes: list, ids: bytes, lens: bytes, z: bytes, buckets: int, width: int, block: int, salts: int) -> Iterator[tuple]:
+    """A shard's rows of ``_PIECES``: by bucket the sorted list of the runs of its
+    representative windows, and one row that leads its other windows to these."""
+    text, own, real = _texts(z, ids, lens)
+    start, count, code = _anchored(text, own, width, buckets)
+    names, inv = np.unique(code, return_inverse=True)
+    level = np.zeros(len(names), np.uint8)
+    for bucket, x, _ in notes:
+        lo, hi = np.searchsorted(names, np.array([bucket, bucket + 1], np.uint64) << np.uint64(32))
+        level[lo:hi] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    level = level[inv]
+    use = level > 0
+    start, count, code, level = start[use], count[use], code[use], level[use]
+    if not len(start):
+        return
+    pos, run = np.repeat(start, count) + _ramp(count), np.repeat(np.arange(len(start)), count)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(pos) != 1]))  # regions of windows, end to end for the suffix array
+    n = np.diff(np.append(first, len(pos)))
+    size = n + width - 1
+    body = text[np.repeat(pos[first], size) + _ramp(size)]
+    rep = window_reps(body, np.repeat(np.cumsum(size) - size, n) + _ramp(n), real[own[pos]], width, block)
+    mine = rep == np.arange(len(pos))
+    if not mine.all():
+        p, r = pos[~mine], pos[rep[~mine]]
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(r) != 1)]))
+        local = np.stack([p[cut], np.diff(np.append(cut, len(p))), r[cut]]).astype(np.uint32)
+        yield chunk % buckets, _LOCAL, chunk, b"", squeeze(local.ravel()), b"", b"", b""
+    p, r = pos[mine], run[mine]
+    span = width - GRAM + 1
+    new = np.concatenate([[True], (np.diff(p) != 1) | (r[1:] != r[:-1])])
+    new |= (np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))) % span == 0  # a gram that comes again and again makes long runs
+    cut = np.flatnonzero(new)
+    start, n, r = p[cut], np.diff(np.append(cut, len(p))), r[cut]
+    code, hot = code[r], level[r] > 1
+    keys = _keys(text, start, n + width - 1, width + span - 1)
+    group = code | (hot.astype(np.uint64) << np.uint64(63))
+    order = np.argsort(group)
+    same = group[order][1:] == group[order][:-1]
+    tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    order[tied] = order[tied][np.lexsort((keys[order[tied]], group[order[tied]]))]
+    start, n, group, keys = start[order], n[order], group[order], keys[order]
+    docs, rows = real[own[start]], keys.view(np.uint8).reshape(len(keys), -1)[:, :-2]
+    inside = np.arange(rows.shape[1]) < (n + width - 1)[:, None]
+    part = group >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    zip_ = zstandard.ZstdCompressor(level=3).compress
+    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
+        bucket, is_hot = int(part[s]) & 0x7FFFFFFF, bool(int(part[s]) >> 31)
+        shard = (bucket + (chunk * 2654435761 >> 12) % salts * max(1, buckets // salts)) % buckets if is_hot else bucket
+        yield shard, bucket if is_hot else -1, chunk, zip_(rows[s:e][inside[s:e]].tobytes()), squeeze(n[s:e].astype(np.uint16)), squeeze(np.diff(group[s:e].astype(np.uint32), prepend=np.uint32(0))), squeeze(docs[s:e]), squeeze(start[s:e].astype(np.uint32))
+
+
+class _Lists:
+    """The runs of several shards' lists, merged: ``same`` names for each run the
+    one that stands for it, ``order`` has these sorted by anchor and bytes."""
+
+    def __init__(self, rows: list, width: int):
+        unzip, span = zstandard.ZstdDecompressor().decompress, width - GRAM + 1
+        sizes = [expand(r[4], np.uint16) for r in rows]
+        self.text = np.frombuffer(b"".join([unzip(r[3]) for r in rows]), np.uint8)
+        self.n = np.concatenate(sizes).astype(np.int64)
+        self.key = np.concatenate([np.cumsum(expand(r[5], np.uint32), dtype=np.uint32) for r in rows])
+        self.docs = np.concatenate([expand(r[6], np.int64) for r in rows])
+        self.at = np.concatenate([expand(r[7], np.uint32) for r in rows]).astype(np.int64)
+        self.who = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
+        self.size = self.n + width - 1
+        self.off = np.cumsum(self.size) - self.size
+        keys = _keys(self.text, self.off, self.size, width + span - 1, self.key)
+        self.same, self.order = unify(keys, np.cumsum([0, *map(len, sizes)]).tolist())
+        low = self.docs.copy()
+        np.minimum.at(low, self.same, self.docs)
+        self.low = low[self.order]
+
+    def bytes_of(self, runs: np.ndarray) -> np.ndarray:
+        size = self.size[runs]
+        return self.text[np.repeat(self.off[runs], size) + _ramp(size)]
+
+
+def _segments(body: np.ndarray, n: np.ndarray, low_doc: np.ndarray, width: int, block: int):
+    """Runs end to end, as (run, offset, windows, smallest document) of stretches with one answer."""
+    size = n + width - 1
+    starts = np.repeat(np.cumsum(size) - size, n) + _ramp(n)
+    low = window_minima(body, starts, np.repeat(low_doc, n), width, block)
+    row, offset = np.repeat(np.arange(len(n)), n), _ramp(n)
+    cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])]))
+    return row[cut], offset[cut], np.diff(np.append(cut, len(low))), low[cut]
+
+
+def shard_minima(rows: list, width: int, block: int) -> Iterator[tuple]:
+    """Of a bucket's lists, per chunk where the smallest document of a window is
+    another one: chunk, positions and windows, documents."""
+    m = _Lists(rows, width)
+    count, key = len(m.order), m.key[m.order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(edge[1:], count)
+    many = np.repeat(ends - edge > 1, ends - edge)
+    alone = np.flatnonzero(~many)
+    segs = [(alone, np.zeros(len(alone), np.int64), m.n[m.order[alone]], m.low[alone])]
+    rivals = np.flatnonzero(many)  # runs of one anchor that agree in part at most
+    done, stop = np.cumsum(m.size[m.order[rivals]]), np.searchsorted(rivals, ends[ends - edge > 1] - 1, "right")
+    lo = 0
+    while lo < len(rivals):  # whole anchors, as many as fit a suffix array
+        fit = stop[(stop > lo) & (done[stop - 1] <= (done[lo - 1] if lo else 0) + block)]
+        hi = int(fit[-1]) if len(fit) else int(stop[stop > lo][0])
+        pick, lo = rivals[lo:hi], hi
+        row, offset, n, low = _segments(m.bytes_of(m.order[pick]), m.n[m.order[pick]], m.low[pick], width, block)
+        segs.append((pick[row], offset, n, low))
+    run, off, length, low = (np.concatenate(x) for x in zip(*segs))
+    by = np.argsort(run, kind="stable")
+    off, length, low = off[by], length[by], low[by]
+    times = np.bincount(run, minlength=count)
+    place = np.empty(len(m.same), np.int64)
+    place[m.order] = np.arange(count)
+    mine = place[m.same]  # a run of a chunk takes the stretches of the run that stands for it
+    own = np.repeat(np.arange(len(mine)), times[mine])
+    seg = np.repeat((np.cumsum(times) - times)[mine], times[mine]) + _ramp(times[mine])
+    need = low[seg] < m.docs[own]
+    own, seg = own[need], seg[need]
+    if len(own):
+        yield from _by_owner(m.who[own], [r[2] for r in rows], m.at[own] + off[seg], length[seg], low[seg])
+
+
+def _by_owner(who: np.ndarray, names: list, pos: np.ndarray, n: np.ndarray, low: np.ndarray) -> Iterator[tuple]:
+    by = np.lexsort((pos, who))
+    at = np.flatnonzero(np.concatenate([[True], who[by][1:] != who[by][:-1]]))
+    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(by)]):
+        b = by[s:e]
+        yield names[int(who[b[0]])], squeeze(np.concatenate([pos[b], n[b]]).astype(np.uint32)), squeeze(low[b])
+
+
+def shard_combined(rows: list, width: int) -> Iterator[tuple]:
+    """Of a hot anchor's lists, each distinct run with its smallest document and
+    the chunks, places and documents that it stands for: x, y, anchor, run, low."""
+    m = _Lists(rows, width)
+    by = np.argsort(m.same, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], m.same[by][1:] != m.same[by][:-1]]))
+    place = np.empty(len(m.same), np.int64)
+    place[m.order] = np.arange(len(m.order))
+    chunk = np.array([r[2] for r in rows], np.int64)
+    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(by)]):
+        b, head = by[s:e], int(m.same[by[s]])
+        yield squeeze(np.concatenate([chunk[m.who[b]], m.docs[b]])), squeeze(m.at[b].astype(np.uint32)), rows[0][1] << 32 | int(m.key[head]), m.text[m.off[head] : m.off[head] + m.size[head]].tobytes(), int(m.low[place[head]])
+
+
+def _pieces(rows: DataFrame, *args) -> DataFrame:
     def run(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        names = [c.split()[0] for c in _PIECES.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
         for chunk, notes, ids, lens, z, _ in _stream(batches):
-            if not notes:
-                continue
-            text, own, real = _texts(z, ids, lens)
-            a = anchors(text, width)
-            known = np.concatenate([(np.uint64(k) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for k, x, _ in notes])
-            heat = np.concatenate([np.frombuffer(y, np.uint8) for _, _, y in notes])
-            order = np.argsort(known)
-            known, heat = known[order], heat[order]
-            valid = own[: len(a)] == own[width - 1 :]
-            runs = list(_runs(a, valid, own))
-            bucket, h = _split(runs[2], buckets)
-            runs[2] = (bucket.astype(np.uint64) << np.uint64(32)) | h
-            at = np.minimum(np.searchsorted(known, runs[2]), len(known) - 1)
-            shared = known[at] == runs[2]
-            level = np.where(shared, heat[at], 255)
-            todo = [[x[level == 0] for x in runs]]
-            for k, (_, less) in enumerate(heats):  # anchors that many chunks hold: longer grams
-                hot = np.zeros(len(a), bool)
-                s, n = runs[0][level == k + 1], runs[1][level == k + 1]
-                if len(s):
-                    hot[np.repeat(s, n) + _ramp(n)] = True
-                    s, n, h, d = _runs(anchors(text, width, width - less), hot, own)
-                    bucket, h = _split(h, buckets)
-                    todo.append([s, n, (bucket.astype(np.uint64) << np.uint64(32)) | h, d])
-            start, count, key, doc = (np.concatenate(x) for x in zip(*todo))
-            data = text.tobytes()
-            found: dict[tuple, list] = {}
-            for s, n, k, d in zip(start.tolist(), count.tolist(), key.tolist(), real[doc].tolist()):
-                for at in range(0, n, 4096):
-                    piece = (k, data[s + at : s + min(n, at + 4096) + width - 1])
-                    got = found.get(piece)
-                    if got is None:
-                        found[piece] = [d, s + at]
-                    else:
-                        got[0] = min(got[0], d)
-                        got.append(s + at)
-            shards: dict[int, list] = {}
-            for (k, piece), got in found.items():
-                shards.setdefault(k >> 32, []).append((k & 0xFFFFFFFF, piece, got))
-            for k, items in shards.items():
-                blobs = [zip_.compress(b"".join([x[1] for x in items])), zip_.compress(np.array([[len(x[1]), x[0], len(x[2]) - 1] for x in items], np.int64).astype(np.uint32).T.tobytes()), zip_.compress(np.array([x[2][0] for x in items], np.int64).tobytes()), zip_.compress(np.array([p for x in items for p in x[2][1:]], np.int64).astype(np.uint32).tobytes())]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64())] + [pa.array([x], pa.binary()) for x in blobs], ["shard", "chunk", "z", "meta", "docs", "at"])
-
-    return rows.mapInArrow(run, "shard int, chunk long, z binary, meta binary, docs binary, at binary")
+            got = list(chunk_pieces(chunk, notes, ids, lens, z, *args)) if notes else []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names)
+
+    return rows.mapInArrow(run, _PIECES)
 
 
 def _minima(pieces: DataFrame, parts: int, width: int, block: int) -> DataFrame:
-    """Per chunk, where the smallest document of a window may be another one: position, windows, document."""
-
-    def shard(rows):
-        unzip = zstandard.ZstdDecompressor().decompress
-        meta = np.concatenate([np.frombuffer(unzip(r[2]), np.uint32).reshape(3, -1) for r in rows], 1).astype(np.int64)
-        docs = np.concatenate([np.frombuffer(unzip(r[3]), np.int64) for r in rows])
-        at = np.concatenate([np.frombuffer(unzip(r[4]), np.uint32) for r in rows]).astype(np.int64)
-        who = np.repeat(np.arange(len(rows)), [len(unzip(r[3])) // 8 for r in rows])
-        size, key, occ = meta
-        # equal runs of different chunks are one from here on
-        seen: dict[tuple, int] = {}
-        same = np.empty(len(size), np.int64)
-        no = 0
-        for r in rows:
-            data, p = unzip(r[1]), 0
-            for n in size[no : no + len(unzip(r[3])) // 8].tolist():
-                same[no] = seen.setdefault((int(key[no]), data[p : p + n]), len(seen))
-                p += n
-                no += 1
-        texts = list(seen)
-        count = len(texts)
-        low_doc = np.full(count, _FAR)
-        np.minimum.at(low_doc, same, docs)
-        ukey = np.array([k for k, _ in texts], np.int64)
-        usize = np.array([len(t) for _, t in texts], np.int64)
-        order = np.argsort(ukey, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(ukey[order]) != 0]))
-        many = np.repeat(np.diff(np.append(edge, count)) > 1, np.diff(np.append(edge, count)))
-        alone, order = order[~many], order[many]
-        segs = [(alone, np.zeros(len(alone), np.int64), usize[alone] - width + 1, low_doc[alone])]
-        if len(order):
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(ukey[order]) != 0]))
-            done = np.cumsum(usize[order])
-            ends = np.append(edge[1:], len(order))
-        lo = 0
-        while lo < len(order):  # whole anchors, as many as fit a suffix array
-            rest = ends[ends > lo]
-            fit = rest[done[rest - 1] <= (done[lo - 1] if lo else 0) + block]
-            hi = int(fit[-1]) if len(fit) else int(rest[0])
-            pick, lo = order[lo:hi], hi
-            part = np.frombuffer(b"".join([texts[i][1] for i in pick.tolist()]), np.uint8)
-            n = usize[pick] - width + 1
-            starts = np.repeat(np.cumsum(usize[pick]) - usize[pick], n) + _ramp(n)
-            low = window_minima(part, starts, np.repeat(low_doc[pick], n), width, block)
-            row, offset = np.repeat(np.arange(len(pick)), n), _ramp(n)
-            cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])]))
-            segs.append((pick[row[cut]], offset[cut], np.diff(np.append(cut, len(low))), low[cut]))
-        piece, off, length, low = (np.concatenate(x) for x in zip(*segs))
-        by = np.argsort(piece, kind="stable")
-        piece, off, length, low = piece[by], off[by], length[by], low[by]
-        first, times = np.searchsorted(piece, np.arange(count)), np.bincount(piece, minlength=count)
-        reps = times[same]  # a run of a chunk takes the segments of its equal
-        own = np.repeat(np.arange(len(same)), reps)
-        seg = np.repeat(first[same], reps) + _ramp(reps)
-        need = (low[seg] < docs[own]) | (occ[own] > 1)
-        own, seg = own[need], seg[need]
-        if not len(own):
-            return
-        reps = occ[own]
-        pos = at[np.repeat((np.cumsum(occ) - occ)[own], reps) + _ramp(reps)] + np.repeat(off[seg], reps)
-        chunk, ln, lw = np.repeat(who[own], reps), np.repeat(length[seg], reps), np.repeat(low[seg], reps)
-        by = np.argsort(chunk, kind="stable")
-        names, starts = np.unique(chunk[by], return_index=True)
-        for i, s, e in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)]):
-            b = by[s:e]
-            yield rows[i][0], np.stack([pos[b], ln[b]], 1).astype(np.uint32).tobytes(), lw[b].tobytes()
+    """Rows of ``_FOUND``, one bucket in memory at a time: notes for the chunks, or combined runs of hot anchors."""
 
     def run(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for k, *row in zip(*[c.to_pylist() for c in b.columns]):
-                held.setdefault(k, []).append(row)
-        for k in sorted(held):
-            got = list(shard(held.pop(k)))
+        from pyspark import TaskContext
+
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        no = TaskContext.get().partitionId() << 36
+        for (shard, hot), rows in runs_of(batches, ("shard", "hot")):
+            if hot == _LOCAL:
+                got = [(r[2], _LOCAL, r[4], b"", None, None, None, None) for r in rows]
+            elif hot == -1:
+                got = [(c, shard, x, y, None, None, None, None) for c, x, y in shard_minima(rows, width, block)]
+            else:
+                got = [(None, hot, x, y, a, no + i, t, low) for i, (x, y, a, t, low) in enumerate(shard_combined(rows, width))]
+                no += len(got)
             if got:
-                c = list(zip(*got))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array([k] * len(got), pa.int32()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary())], ["chunk", "bucket", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names)
+
+    return pieces.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "hot", "chunk").mapInArrow(run, _FOUND)
+
 
-    return pieces.repartition(parts, "shard").mapInArrow(run, "chunk long, bucket int, x binary, y binary")
+def _hot_notes(hot: DataFrame, parts: int, width: int, block: int) -> DataFrame:
+    """Notes from the combined runs of hot anchors: the lists of all groups of
+    shards are compared by anchor, and every run's answer goes back to its chunks."""
+
+    def compare(batches):
+        for _, rows in runs_of(batches, ("anchor",)):
+            n = np.array([len(r[2]) - width + 1 for r in rows])
+            run, off, length, low = _segments(np.frombuffer(b"".join([r[2] for r in rows]), np.uint8), n, np.array([r[3] for r in rows], np.int64), width, block)
+            cut = np.searchsorted(run, np.arange(len(rows) + 1)).tolist()
+            got = [(r[1], squeeze(np.concatenate([off[s:e], length[s:e]]).astype(np.uint32)), squeeze(low[s:e])) for r, s, e in zip(rows, cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.binary(), pa.binary()))], ["id", "seg", "lows"])
+
+    def back(batches):
+        held: list[list] = [[], [], [], []]
+        schema = ["chunk", "bucket", "x", "y"]
+
+        def out():
+            chunk, pos, n, low = (np.concatenate(h) for h in held)
+            names, who = np.unique(chunk, return_inverse=True)
+            got = list(_by_owner(who, names.tolist(), pos, n, low))
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([0] * len(got), pa.int32()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], schema)
+
+        for b in batches:
+            for x, y, seg, lows in zip(*[b.column(c).to_pylist() for c in ("x", "y", "seg", "lows")]):
+                chunk, doc = expand(x, np.int64).reshape(2, -1)
+                at, (off, n), low = expand(y, np.uint32).astype(np.int64), expand(seg, np.uint32).astype(np.int64).reshape(2, -1), expand(lows, np.int64)
+                i, j = np.nonzero(low[None, :] < doc[:, None])
+                if len(i):
+                    for h, v in zip(held, (chunk[i], at[i] + off[j], n[j], low[j])):
+                        h.append(v)
+                if sum(map(len, held[0])) > 200_000:
+                    yield out()
+                    held = [[], [], [], []]
+        if held[0]:
+            yield out()
+
+    done = hot.select("anchor", "id", "run", "low").repartition(parts, "anchor").sortWithinPartitions("anchor", "id").mapInArrow(compare, "id long, seg binary, lows binary")
+    return hot.select("id", "x", "y").join(done.hint("merge"), "id").select("x", "y", "seg", "lows").mapInArrow(back, "chunk long, bucket int, x binary, y binary")
 
 
 def _removed(notes, ids: bytes, lens: bytes, z: bytes, width: int):
@@ -492,13 +626,25 @@ def _removed(notes, ids: bytes, lens: bytes, z: bytes, width: int):
     data = zstandard.ZstdDecompressor().decompress(z)
     real, size = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64)
     ends = np.cumsum(size)
-    mark = np.zeros(len(data) + 1, np.int32)
-    for _, x, y in notes:
-        seg, low = np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.int64), np.frombuffer(y, np.int64)
-        seg = seg[low < real[np.searchsorted(ends, seg[:, 0], "right")]]
-        np.add.at(mark, seg[:, 0], 1)
-        np.add.at(mark, seg[:, 0] + seg[:, 1] + width - 1, -1)
-    gone = np.cumsum(mark[:-1]) > 0
+    gone = np.zeros(len(data), bool)
+    if notes:
+        own = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        low, seen = np.full(len(data), _FAR), []
+        for k, x, y in sorted(notes, key=lambda n: n[0] == _LOCAL):
+            if k == _LOCAL:  # windows that equal a representative, whose own answer is there by now
+                pos, n, to = expand(x, np.uint32).astype(np.int64).reshape(3, -1)
+                at, to = np.repeat(pos, n) + _ramp(n), np.repeat(to, n) + _ramp(n)
+                low[at] = np.minimum(low[to], real[own[to]])
+            else:
+                pos, n = expand(x, np.uint32).astype(np.int64).reshape(2, -1)
+                at = np.repeat(pos, n) + _ramp(n)
+                low[at] = np.repeat(expand(y, np.int64), n)
+            seen.append(at)
+        at = np.concatenate(seen)
+        begun = np.zeros(len(data) + width, np.int32)
+        begun[at[low[at] < real[own[at]]] + width] = 1
+        np.cumsum(begun, out=begun)
+        gone = begun[width:] > begun[: len(data)]  # a removed window began within the last ``width`` bytes
     for i, e, n in zip(real.tolist(), ends.tolist(), size.tolist()):
         g = gone[e - n : e]
         part = data[e - n : e]
@@ -541,16 +687,22 @@ def _shortened(rows: DataFrame, width: int, schema, columns: list[str]) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _found(scratch: Scratch, base: DataFrame, width: int, rest: list[str] | None, sizes: tuple) -> DataFrame:
-    parts, (chunk, block, hot) = partitions(scratch.spark), sizes
+def _found(scratch: Scratch, base: DataFrame, width: int, rest: list[str] | None, sizes: tuple | None) -> DataFrame:
+    parts = partitions(scratch.spark)
+    chunk, block, hot = sizes or (chunk_bytes(parts, CHUNK, MOST, 10), BLOCK, HOT)
     chunks = scratch.write(_pack(base, rest, chunk), "chunks")
-    shared = _shared(_offer(chunks, parts, width), parts, hot)
-    pieces = _pieces(_by_chunk(chunks.withColumn("rest", F.lit(None).cast("binary")), shared, parts), parts, width, hot)
-    minima = scratch.write(_minima(pieces, parts, width, block), "minima")
-    return _by_chunk(chunks, minima, parts)
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, with_kept: bool = False, sizes: tuple = (CHUNK, BLOCK, HOT)) -> DataFrame:
+    total, count = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets, salts = max(parts, -(-total // (8 * chunk))), max(1, -(-count // hot))
+    shared = _shared(_offer(chunks, buckets, width), parts, hot)
+    pieces = _pieces(_by_chunk(chunks.withColumn("rest", F.lit(None).cast("binary")), shared, parts), buckets, width, block, salts)
+    found = scratch.write(_minima(pieces, parts, width, block), "found")
+    notes = found.where("chunk is not null").select("chunk", "bucket", "x", "y")
+    if count > hot:  # else no anchor can be hot
+        notes = notes.unionAll(_hot_notes(found.where("chunk is null"), parts, width, block))
+    return _by_chunk(chunks, notes, parts)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, with_kept: bool = False, sizes: tuple | None = None) -> DataFrame:
     """Removes bytes covered by a ``width``-byte string that also starts in a
     document of a smaller doc_id, of every whole text of ``docs(doc_id, text)``.
 
@@ -558,8 +710,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 50, with_k
     kept (binary) and spans ([start, end) pairs). Null texts count as empty;
     texts shorter than ``width`` bytes are kept whole; repeated rows of one
     doc_id do not remove each other; rows with a null doc_id are kept whole and
-    remove nothing; an empty table gives no rows. ``sizes``: bytes of a chunk and of
-    a suffix array, and the heats; they change speed and memory only.
+    remove nothing; an empty table gives no rows. ``sizes``: bytes of a shard and of
+    a suffix array, and how many shards make an anchor hot; they change speed
+    and memory only. A document is held whole.
     """
     if width < GRAM + 1:
         raise ValueError(f"width must be over {GRAM}")
@@ -582,7 +735,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, width: int = 50) -> Da
     columns = [c for c in docs.columns if c not in ("doc_id", "text")]
     whole = docs.select(*docs.columns)
     base = whole.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *columns)
-    out = _shortened(_found(scratch, base, width, columns, (CHUNK, BLOCK, HOT)), width, base.select(*docs.columns).schema, columns)
+    out = _shortened(_found(scratch, base, width, columns, None), width, base.select(*docs.columns).schema, columns)
     return out.unionByName(whole.where("doc_id is null"))
 
 
