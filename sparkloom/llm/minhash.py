@@ -1,7 +1,7 @@
 """Operator 10: MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with the same word sequence form a class, of which the smallest
-doc_id goes on. Banded MinHash signatures give buckets. Within a bucket pairs
+Documents with the same word sequence form a class, which goes on as one.
+Banded MinHash signatures give buckets of classes. Within a bucket pairs
 are compared batch by batch of the signature, and a pair is dropped once the
 posterior probability that its similarity reaches the threshold falls under
 the chosen miss probability. Survivors are verified on their full shingle
@@ -22,14 +22,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions, slices
+from .common import Scratch, components, hot_keys, join_split, partitions, slices
 
 #: Values of a signature, and how many are compared at a time.
 K, BATCH = 144, 24
 #: A pair is dropped when P(similarity >= threshold | matches so far) is below this.
 MISS = 1e-6
+#: The bands miss a pair exactly at the threshold at most this often.
+BAND_MISS = 2e-5
 #: Rows of a block; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
+#: Word sequences that a task remembers, to send the signature of each once; emptied when full.
+SEEN = 200_000
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -137,40 +141,55 @@ def _arrays(held) -> dict[str, np.ndarray]:
     out = {}
     for name in t.column_names:
         c = t.column(name)
-        out[name] = np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, K) if name == "sig" else c.to_pylist() if name == "z" else c.to_numpy()
+        if name == "sig":
+            out[name] = np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, K)
+        elif name == "bands":
+            out[name] = c.combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        else:
+            out[name] = c.to_pylist() if name == "z" else c.to_numpy()
     return out
 
 
 def band_rows(threshold: float) -> int:
-    """Rows of a band: 24 bands of 6 miss a pair at 0.85 once in 80,000 times, 28 of 5 a pair at 0.8 once in 65,000."""
-    return 6 if threshold >= 0.85 else 5 if threshold >= 0.8 else 4
+    """Rows of a band: as many as keep the share of missed pairs at the threshold within ``BAND_MISS``."""
+    for rows in range(K, 0, -1):
+        if (1 - threshold**rows) ** (K // rows) <= BAND_MISS:
+            return rows
+    raise ValueError(f"a signature of {K} values does not find pairs of similarity {threshold:g} often enough")
 
 
 def _sign(docs: DataFrame, rows: int) -> DataFrame:
+    """doc_id, k1 and k2 (a 128-bit hash of the words), n, and for the first row of
+    a word sequence in its task the signature, the keys of its bands and z (the words, zstd)."""
+
     def run(batches):
-        table = _Words()
+        table, seen, zip_ = _Words(), set(), zstandard.ZstdCompressor(level=3).compress
         for part in slices(batches):
-            k1, k2, n, sig, keys = [], [], [], [], []
-            for text in part.column(1).to_pylist():
+            k1, k2, n, sig, keys, z = [], [], [], [], [], []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 w = words_of(text)
-                d = xxhash.xxh3_128_digest(b" ".join(w)) if w else b"\0" * 16
+                joined = b" ".join(w)
+                d = xxhash.xxh3_128_digest(joined) if w else b"\0" * 16
                 a, b = np.frombuffer(d, "<i8").tolist()
-                k1.append(a)
-                k2.append(b)
                 h = shingle_hashes(w, table)
-                n.append(len(h))
-                s = signature(h) if len(h) else np.zeros(0, np.uint32)
-                sig.append((s & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-                keys.append([xxhash.xxh3_64_intdigest(s[i * rows : (i + 1) * rows].tobytes(), seed=i) - (1 << 63) for i in range(K // rows)] if len(h) else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "n", "sig", "bands"])
+                new = len(h) > 0 and doc is not None and d not in seen
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(d)
+                    s = signature(h)
+                    more = ((s & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), [xxhash.xxh3_64_intdigest(s[i * rows : (i + 1) * rows].tobytes(), seed=i) - (1 << 63) for i in range(K // rows)], zip_(joined))
+                for col, x in zip((k1, k2, n, sig, keys, z), (a, b, len(h), *(more if new else (None, None, None)))):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary())], ["doc_id", "k1", "k2", "n", "sig", "bands", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary, bands array<long>, z binary")
 
 
 def _centre_pairs(g: dict, least: list[int], ratio: float):
     """Members of a block against its centre, the row that agrees most with the
     block's most frequent signature values."""
-    sig, doc, n = g["sig"], g["doc"], g["n"]
+    sig, doc, n = g["sig"], g["c"], g["n"]
     size, c = len(doc), 0
     if size > 2:
         srt = np.sort(sig[:, ::4], axis=0)  # every fourth value suffices to find a centre
@@ -181,19 +200,19 @@ def _centre_pairs(g: dict, least: list[int], ratio: float):
             votes += sig[:, 4 * col] == mode
         c = int(np.lexsort((doc, -votes))[0])
     j = np.delete(np.arange(size), c)
-    j = j[(np.minimum(n[c], n[j]) >= ratio * np.maximum(n[c], n[j])) & (doc[j] != doc[c])]
+    j = j[np.minimum(n[c], n[j]) >= ratio * np.maximum(n[c], n[j])]
     i, j, _ = _surviving(sig, np.full(len(j), c), j, least)
     return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
 
 
-def _cross_links(g: dict, least: list[int], ratio: float, num: int, den: int, rows: int):
+def _cross_links(g: dict, least: list[int], ratio: float, num: int, den: int):
     """Links between different components of a block or pair of blocks.
 
-    A pair is looked at in the first band that it shares. Survivors of the
+    A pair is looked at in the first bucket that it shares. Survivors of the
     pruning are verified on their words, the likeliest first, unless links
     found here already join their components: a link less changes nothing.
     """
-    sig, doc, n, own, z = g["sig"], g["doc"], g["n"], g["comp"], g["z"]
+    sig, doc, n, own, z, keys = g["sig"], g["c"], g["n"], g["comp"], g["z"], g["bands"]
     blk, bi, bj, band = g["block"], g["bi"][0], g["bj"][0], int(g["band"][0])
     left = np.flatnonzero(blk == bi)
     right = left if bi == bj else np.flatnonzero(blk == bj)
@@ -207,7 +226,7 @@ def _cross_links(g: dict, least: list[int], ratio: float, num: int, den: int, ro
         x, y = np.nonzero(ok)
         i, j, got = _surviving(sig, part[x], right[y], least)
         if band and len(i):
-            new = ~(sig[i, : band * rows] == sig[j, : band * rows]).reshape(len(i), band, rows).all(2).any(1)
+            new = ~(keys[i, :band] == keys[j, :band]).any(1)
             i, j, got = i[new], j[new], got[new]
         if len(i):
             found.append((i, j, got))
@@ -248,7 +267,7 @@ def _in_buckets(rows: DataFrame, work) -> DataFrame:
 
     def run(batches):
         out_a, out_b = [], []
-        for held in _groups(batches, ("key", "bi", "bj")):
+        for held in _groups(batches, ("key", "bi", "bj", "band")):
             if sum(b.num_rows for b in held) < 2:
                 continue
             a, b = work(_arrays(held))
@@ -265,16 +284,18 @@ def _in_buckets(rows: DataFrame, work) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose full shingle sets reach num/den, on the words themselves."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-    rows = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "za", "zb")
+    total = pairs.count()
+    rows = pairs
+    for end in ("b", "a"):  # a centre may be in very many pairs
+        rows = join_split(rows, texts.select(F.col("c").alias(end), F.col("z").alias(f"z{end}")), [end], hot_keys(pairs, [end], total))
+    rows = rows.select("a", "b", "za", "zb")
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor().decompress
         last, kept = None, frozenset()
         for part in slices(batches, 128):
             ok = []
-            for a, za, zb in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+            for za, zb in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 if za != last:
                     last, kept = za, exact_sets(unzip(za).decode())
                 other = exact_sets(unzip(zb).decode())
@@ -285,6 +306,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _of_one_id(linkable: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between the classes of a doc_id that has several texts, if there is any."""
+    ends = [f(k).alias(f"{n}{k}") for k in ("k1", "k2") for n, f in (("lo", F.min), ("hi", F.max))]
+    many = scratch.write(linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), *ends).where("lok1 <> hik1 or lok2 <> hik2").select("doc_id", "rows"), "ids")
+    total = many.agg(F.sum("rows")).first()[0]
+    if not total:
+        return None
+    hot = hot_keys(many, ["doc_id"], total, F.col("rows"))
+    rows = join_split(linkable.select("doc_id", "k1", "k2"), many.select("doc_id"), ["doc_id"], hot).distinct()
+    rows = scratch.write(rows.join(classes.select("k1", "k2", "c").hint("merge"), ["k1", "k2"]).select("doc_id", "c"), "classes-of-ids")
+    first = rows.groupBy("doc_id").agg(F.min("c").alias("b"))
+    return scratch.write(join_split(rows, first, ["doc_id"], hot).select(F.col("c").alias("a"), "b"), "same-id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``.
 
@@ -294,65 +329,63 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     of fewer words is one shingle; repeated rows give repeated rows; rows of
     one doc_id with different texts share that id's component; rows with a
     null doc_id link with nothing and are kept; an empty table gives no rows.
+    ValueError for a threshold too low for the signature (under about 0.08).
     """
+    per_band = band_rows(num / den)
     scratch = Scratch(spark, "minhash")
-    least, ratio, parts, per_band = need(num / den), num / den, partitions(spark), band_rows(num / den)
+    least, ratio, parts, bands = need(num / den), num / den, partitions(spark), K // per_band
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.write(_sign(base, per_band), "signed")
     linkable = signed.where("n > 0 and doc_id is not null")
-    classes = scratch.write(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top").select("k1", "k2", "rep"), "classes")
-    members = scratch.write(signed.select("doc_id", "k1", "k2", "n").join(classes.hint("merge"), ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
-    reps = linkable.join(classes.hint("merge"), ["k1", "k2"], "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("doc"), "n", "sig", "bands")
-    reps = scratch.write(reps, "reps")
-    scratch.drop("signed")
-    rows = reps.select("doc", F.posexplode("bands").alias("band", "key"))
+    # a class is a word sequence; its number is fixed when the table is written
+    classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"), F.any_value("sig", True).alias("sig"), F.any_value("bands", True).alias("bands"))
+    classes = scratch.write(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("c", F.posexplode("bands").alias("band", "key"))
     full = scratch.write(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    inside = scratch.write(rows.join(full.hint("merge"), ["band", "key"]), "inside")
-    texts = _texts(spark, base, inside.select(F.col("doc").alias("doc_id")).distinct(), scratch)
+    hot = hot_keys(full, ["band", "key"], bands * classes.count(), F.col("size"))
+    inside = scratch.write(join_split(rows, full, ["band", "key"], hot), "inside")
+    wanted = inside.select("c").distinct().join(classes.select("c", "k1", "k2").hint("merge"), "c")
+    texts = signed.where("z is not null").select("k1", "k2", "z").join(wanted.hint("merge"), ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("c").alias("c"), F.any_value("z").alias("z"))
+    texts = scratch.write(texts.select("c", "z"), "texts")
 
     def dealt(part: DataFrame, own: Column, rest: Column, *more: str) -> DataFrame:
         """Rows by pairs of blocks of their bucket. The first ``own`` rows of a
         bucket meet all of it, the other ``rest`` rows meet those only."""
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         first, more_ = blocks(own), blocks(rest)
-        at = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(n, F.lit(1))).cast("int")
+        at = lambda n: F.pmod(F.xxhash64("c"), F.greatest(n, F.lit(1))).cast("int")
         part = part.withColumn("block", F.when(F.col("meets_all"), at(first)).otherwise(first + at(more_)))
         if more:
             part = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("meets_all"), first + more_).otherwise(first) - 1)))
             part = part.withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o"))
         else:
             part = part.withColumn("bi", F.col("block")).withColumn("bj", F.col("block"))
-        part = part.select("band", "key", "bi", "bj", "block", "doc", "n", "sig", *more)
-        return part.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        part = part.select("band", "key", "bi", "bj", "block", "c", "n", "sig", *more)
+        return part.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "band")
 
-    sigs = reps.select("doc", "n", "sig")
-    first = scratch.write(_in_buckets(dealt(inside.join(sigs.hint("merge"), "doc").withColumn("meets_all", F.lit(True)), F.col("size"), F.lit(0)), lambda g: _centre_pairs(g, least, ratio)), "first")
+    sigs = classes.select("c", "n", "sig")
+    first = scratch.write(_in_buckets(dealt(inside.join(sigs.hint("merge"), "c").withColumn("meets_all", F.lit(True)), F.col("size"), F.lit(0)), lambda g: _centre_pairs(g, least, ratio)), "first")
     links = scratch.write(_verify(first, texts, num, den), "links1")
+    same = _of_one_id(linkable, classes, scratch)
+    links = links if same is None else links.unionAll(same)
     comp = scratch.write(components(spark, links, scratch), "comp1")
-    now = inside.join(comp.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    now = inside.join(comp.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
     now = scratch.write(now, "now")
     per = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     open_ = scratch.write(open_.select("band", "key", F.col("main.comp").alias("main"), F.col("main.n").alias("rest"), (F.col("size") - F.col("main.n")).alias("own")), "open")
-    both = sigs.join(texts.withColumnRenamed("doc_id", "doc").hint("merge"), "doc")
-    rest = now.drop("size").join(open_.hint("merge"), ["band", "key"]).withColumn("meets_all", F.col("comp") != F.col("main")).join(both.hint("merge"), "doc")
-    more = scratch.write(_in_buckets(dealt(rest, F.col("own"), F.col("rest"), "comp", "z"), lambda g: _cross_links(g, least, ratio, num, den, per_band)), "links2")
-    comp = scratch.write(components(spark, links.unionAll(more), scratch), "comp2").withColumnRenamed("node", "rep")
-    done = members.join(comp.hint("merge"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    done = done.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _texts(spark: SparkSession, base: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """Compressed texts of the documents that share a bucket with another one."""
-
-    def run(batches):
-        zip_ = zstandard.ZstdCompressor(level=3).compress
-        for part in slices(batches, 512):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zip_((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
-
-    packed = base.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, z binary")
-    return scratch.write(packed.join(ids.hint("merge"), "doc_id").select("doc_id", "z"), "texts")
+    both = classes.select("c", "n", "sig", "bands").join(texts.hint("merge"), "c")
+    rest = join_split(now.drop("size"), open_, ["band", "key"], hot).withColumn("meets_all", F.col("comp") != F.col("main")).join(both.hint("merge"), "c")
+    more = scratch.write(_in_buckets(dealt(rest, F.col("own"), F.col("rest"), "comp", "bands", "z"), lambda g: _cross_links(g, least, ratio, num, den)), "links2")
+    comp = scratch.write(components(spark, links.unionAll(more), scratch), "comp2")
+    named = classes.select("c", "k1", "k2", "rep", "rows").join(comp.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("g", F.coalesce("component", "c"))
+    named = scratch.write(named.select("k1", "k2", "g", "rep", "rows"), "named")
+    low = named.groupBy("g").agg(F.min("rep").alias("component_id"))
+    total = signed.count()
+    named = scratch.write(join_split(named, low, ["g"], hot_keys(named, ["g"], total)).select("k1", "k2", "component_id", "rows"), "components")
+    done = join_split(linkable.select("doc_id", "k1", "k2", "n"), named.drop("rows"), ["k1", "k2"], hot_keys(named, ["k1", "k2"], total, F.col("rows"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return done.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
