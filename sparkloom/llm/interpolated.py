@@ -20,11 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, slices
+from .common import Scratch, chunk_bytes, expand, partitions, runs_of, slices, squeeze
 
-CHUNK = 5 << 20
+#: Bytes of text in a chunk; more where there are very many partitions.
+CHUNK, MOST = 5 << 20, 40 << 20
 ROUNDS = 60
-_NULL = -(1 << 63)
 _END = np.uint64(0x5851F42D4C957F2D)
 #: Context-frequency classes: 0 for unseen, else 1 + floor(log2(count)), at most this.
 CLASSES = 40
@@ -40,15 +40,17 @@ class _Words(dict):
         return h
 
 
-def held_out(doc_id: int) -> bool:
-    return doc_id != _NULL and zlib.crc32(str(doc_id).encode()) % 10 == 0
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def learns(doc_id: int) -> bool:
-    return doc_id != _NULL and zlib.crc32(str(doc_id).encode()) % 10 != 0
+def learns(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 != 0
 
 
-def _pack(docs: DataFrame) -> DataFrame:
+def _pack(docs: DataFrame, limit: int) -> DataFrame:
+    """Rows of about ``limit`` bytes: chunk, size, ids (a list), lens (int64) and z (texts, zstd)."""
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -56,21 +58,21 @@ def _pack(docs: DataFrame) -> DataFrame:
         ids, raw, size, no = [], [], 0, TaskContext.get().partitionId() << 24
 
         def out():
-            cols = [pa.array([no], pa.int64())] + [pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array([len(r) for r in raw], np.int64).tobytes(), zip_.compress(b"".join(raw)))]
-            return pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "lens", "z"])
+            cols = [pa.array([no], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64()))] + [pa.array([x], pa.binary()) for x in (np.array([len(r) for r in raw], np.int64).tobytes(), zip_.compress(b"".join(raw)))]
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "size", "ids", "lens", "z"])
 
         for part in slices(batches, 64):
             for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids.append(_NULL if i is None else i)
+                ids.append(i)
                 raw.append((t or "").encode())
                 size += len(raw[-1])
-                if size >= CHUNK:
+                if size >= limit:
                     yield out()
                     ids, raw, size, no = [], [], 0, no + 1
         if ids:
             yield out()
 
-    return docs.mapInArrow(run, "chunk long, ids binary, lens binary, z binary")
+    return docs.mapInArrow(run, "chunk long, size long, ids array<long>, lens binary, z binary")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,15 +81,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _Chunk:
-    """Tokens of a chunk and its distinct n-grams, sorted by bucket and hash.
+def bounds(buckets: int) -> np.ndarray:
+    """Where each bucket of 64-bit hashes begins."""
+    return np.array([-(-(k << 64) // buckets) for k in range(buckets)], np.uint64)
 
-    An n-gram is known by its bucket and 48 more bits of a 64-bit hash.
-    """
 
-    def __init__(self, ids: bytes, lens: bytes, z: bytes, buckets: int, table: _Words):
+class _Chunk:
+    """Tokens of a chunk and its distinct n-grams in the order of their hashes,
+    of which the buckets are ranges. An n-gram is known by 64 bits."""
+
+    def __init__(self, ids: list, lens: bytes, z: bytes, starts: np.ndarray, table: _Words):
         data = zstandard.ZstdDecompressor().decompress(z)
-        self.ids = np.frombuffer(ids, np.int64)
+        self.ids = ids
         ends = np.cumsum(np.frombuffer(lens, np.int64)).tolist()
         parts, count, at = [], [], 0
         for e in ends:
@@ -106,65 +111,51 @@ class _Chunk:
         before[self.first] = _END
         two = _mix(before * np.uint64(0xD6E8FEB86659FD93) + one)
         one, before = _mix(one), None
-        train = np.array([learns(i) for i in self.ids.tolist()], bool)
-        self.train = train
-        self.held = np.array([held_out(i) for i in self.ids.tolist()], bool)
-        self.grams = [self._distinct(x, buckets, np.repeat(train, self.count)) for x in (one, two)]
+        self.train = np.array([learns(i) for i in ids], bool)
+        self.held = np.array([held_out(i) for i in ids], bool)
+        self.grams = [self._distinct(x, starts, np.repeat(self.train, self.count)) for x in (one, two)]
 
     @staticmethod
-    def _distinct(key: np.ndarray, buckets: int, train: np.ndarray):
-        short = ((key % np.uint64(buckets)) << np.uint64(48)) | ((key // np.uint64(buckets)) & np.uint64((1 << 48) - 1))
-        u, inv = np.unique(short, return_inverse=True)
+    def _distinct(key: np.ndarray, starts: np.ndarray, train: np.ndarray):
+        u, inv = np.unique(key, return_inverse=True)
         inv = inv.astype(np.int32)
         local = np.bincount(inv, train, minlength=len(u)).astype(np.int64)
-        cut = np.searchsorted(u, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(48))
-        return u, inv, local, cut
+        return u, inv, local, np.append(np.searchsorted(u, starts), len(u))
 
     def counts(self, notes: list, kind: int) -> np.ndarray:
         """Global training counts of the chunk's distinct n-grams of a kind."""
         _, _, local, cut = self.grams[kind]
         total = local.copy()
-        unzip = zstandard.ZstdDecompressor().decompress
-        for bucket, k, x, y in notes:
+        for bucket, k, x in notes:
             if k == kind:
-                total[cut[bucket] + np.frombuffer(unzip(x), np.uint32)] += np.frombuffer(unzip(y), np.int64)
+                total[cut[bucket] : cut[bucket + 1]] += expand(x, np.int64)
         return total
 
 
 def _offers(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
-        table, zip_ = _Words(), zstandard.ZstdCompressor(level=1).compress
+        table, starts = _Words(), bounds(buckets)
         for b in batches:
-            for chunk, ids, lens, z in zip(*[c.to_pylist() for c in b.columns]):
-                c = _Chunk(ids, lens, z, buckets, table)
+            for chunk, ids, lens, z in zip(*[b.column(c).to_pylist() for c in ("chunk", "ids", "lens", "z")]):
+                c = _Chunk(ids, lens, z, starts, table)
                 for kind, (u, _, local, cut) in enumerate(c.grams):
-                    rows = []
-                    for k, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                        if e > s:
-                            h = u[s:e]
-                            rows.append((k, zip_(np.diff((h >> np.uint64(32)).astype(np.uint16), prepend=np.uint16(0)).tobytes()), h.astype(np.uint32).tobytes(), zip_(local[s:e].astype(np.uint32).tobytes())))
+                    rows = [(k, squeeze(np.diff(u[s:e], prepend=starts[k])), squeeze(local[s:e].astype(np.uint32))) for k, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
                     if rows:
-                        cols = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([chunk] * len(rows), pa.int64())] + [pa.array(x, pa.binary()) for x in cols[1:]], ["bucket", "kind", "chunk", "high", "low", "n"])
+                        k, h, n = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([kind] * len(k), pa.int32()), pa.array([chunk] * len(k), pa.int64()), pa.array(h, pa.binary()), pa.array(n, pa.binary())], ["bucket", "kind", "chunk", "h", "n"])
 
-    return chunks.mapInArrow(run, "bucket int, kind int, chunk long, high binary, low binary, n binary")
+    return chunks.mapInArrow(run, "bucket int, kind int, chunk long, h binary, n binary")
 
 
 def _extras(offers: DataFrame, parts: int) -> DataFrame:
-    """What other chunks add to each chunk's counts; per bucket a row of chunk
-    null with the number of distinct training n-grams and of training tokens."""
+    """What other chunks add to each chunk's counts, one bucket in memory at a
+    time; per bucket a row of chunk null with the number of distinct training
+    n-grams and of training tokens."""
 
     def run(batches):
-        zip_, unzip = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-        held: dict[tuple, list] = {}
-        for b in batches:
-            for k, kind, chunk, high, low, n in zip(*[c.to_pylist() for c in b.columns]):
-                held.setdefault((k, kind), []).append((chunk, high, low, n))
-        for k, kind in sorted(held):
-            rows = held.pop((k, kind))
-            lows = [np.frombuffer(r[2], np.uint32) for r in rows]
-            h = np.concatenate([(np.cumsum(np.frombuffer(unzip(r[1]), np.uint16), dtype=np.uint16).astype(np.uint64) << np.uint64(32)) | x for r, x in zip(rows, lows)])
-            n = np.concatenate([np.frombuffer(unzip(r[3]), np.uint32) for r in rows]).astype(np.int64)
+        for (k, kind), rows in runs_of(batches, ("bucket", "kind")):
+            hs = [np.cumsum(expand(r[3], np.uint64), dtype=np.uint64) for r in rows]
+            h, n = np.concatenate(hs), np.concatenate([expand(r[4], np.uint32) for r in rows]).astype(np.int64)
             order = np.argsort(h)
             g = h[order]
             cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
@@ -172,34 +163,35 @@ def _extras(offers: DataFrame, parts: int) -> DataFrame:
             more = np.empty(len(h), np.int64)
             more[order] = np.repeat(total, np.diff(np.append(cut, len(g))))
             more -= n
-            out, at = [(None, k, kind, zip_(b""), np.array([(total > 0).sum(), total.sum()], np.int64).tobytes())], 0
-            for r, x in zip(rows, lows):
+            out, at = [(None, b"", int((total > 0).sum()), int(total.sum()))], 0
+            for r, x in zip(rows, hs):
                 part = more[at : at + len(x)]
                 at += len(x)
-                pick = np.flatnonzero(part)
-                if len(pick):
-                    out.append((r[0], k, kind, zip_(pick.astype(np.uint32).tobytes()), zip_(part[pick].tobytes())))
-            c = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], ["chunk", "bucket", "kind", "x", "y"])
+                if part.any():
+                    out.append((r[2], squeeze(part), None, None))
+            c, x, v, n = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([k] * len(c), pa.int32()), pa.array([kind] * len(c), pa.int32()), pa.array(x, pa.binary()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["chunk", "bucket", "kind", "x", "distinct", "tokens"])
 
-    return offers.repartition(parts, "bucket").mapInArrow(run, "chunk long, bucket int, kind int, x binary, y binary")
+    rows = offers.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind", "chunk")
+    return rows.mapInArrow(run, "chunk long, bucket int, kind int, x binary, distinct long, tokens long")
 
 
 def _stream(batches):
     notes: list = []
     for b in batches:
-        for chunk, last, bucket, kind, x, y, z in zip(*[c.to_pylist() for c in b.columns]):
+        for chunk, last, bucket, kind, x, ids, z in zip(*[c.to_pylist() for c in b.columns]):
             if last == 0:
-                notes.append((bucket, kind, x, y))
+                notes.append((bucket, kind, x))
             else:
-                yield notes, x, y, z
+                yield notes, ids, x, z
                 notes = []
 
 
 def _together(chunks: DataFrame, extras: DataFrame, parts: int) -> DataFrame:
-    a = extras.where("chunk is not null").select("chunk", F.lit(0).alias("last"), "bucket", "kind", "x", "y", F.lit(None).cast("binary").alias("z"))
-    b = chunks.select("chunk", F.lit(1).alias("last"), F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("ids").alias("x"), F.col("lens").alias("y"), "z")
-    return a.unionAll(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "last")
+    a = extras.where("chunk is not null").select("chunk", F.lit(0).alias("last"), "bucket", "kind", "x", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("z"))
+    b = chunks.select("chunk", F.lit(1).alias("last"), F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("lens").alias("x"), "ids", "z")
+    even = F.pmod(F.shiftright("chunk", 24) + 7919 * F.col("chunk").bitwiseAND((1 << 24) - 1), F.lit(parts)).cast("int")  # chunks of a partition are numbered from 0
+    return a.unionAll(b).repartitionById(parts, even).sortWithinPartitions("chunk", "last")
 
 
 def context_class(count: np.ndarray) -> np.ndarray:
@@ -221,9 +213,9 @@ def _histogram(rows: DataFrame, buckets: int, n_all: int, v_all: int) -> DataFra
     predicted without its own document."""
 
     def run(batches):
-        table = _Words()
+        table, starts = _Words(), bounds(buckets)
         for notes, ids, lens, z in _stream(batches):
-            c = _Chunk(ids, lens, z, buckets, table)
+            c = _Chunk(ids, lens, z, starts, table)
             use = np.repeat(c.train, c.count)
             if not use.any():
                 continue
@@ -267,9 +259,9 @@ def mixture_weights(codes: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> n
 
 def _scores(rows: DataFrame, buckets: int, n_all: int, v_all: int, weights: np.ndarray) -> DataFrame:
     def run(batches):
-        table = _Words()
+        table, starts = _Words(), bounds(buckets)
         for notes, ids, lens, z in _stream(batches):
-            c = _Chunk(ids, lens, z, buckets, table)
+            c = _Chunk(ids, lens, z, starts, table)
             (_, i1, *_), (_, i2, *_) = c.grams
             c1, c2 = c.counts(notes, 0)[i1], c.counts(notes, 1)[i2]
             ctx = np.empty_like(c1)
@@ -279,7 +271,7 @@ def _scores(rows: DataFrame, buckets: int, n_all: int, v_all: int, weights: np.n
             p = lam[:, 0] * (c2 / np.maximum(ctx, 1)) + lam[:, 1] * (c1 / max(n_all, 1)) + lam[:, 2] / (v_all + 1)
             base = np.log10((c1 + 0.1) / (n_all + 0.1 * (v_all + 1)))
             add = lambda x: np.add.reduceat(x, c.first)
-            yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=c.ids == _NULL), pa.array(c.held), pa.array(c.count), pa.array(add((c1 > 0).astype(np.int64))), pa.array(np.full(len(c.ids), n_all)), pa.array(add(base)), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.count), pa.array(add((c1 > 0).astype(np.int64))), pa.array(np.full(len(c.ids), n_all)), pa.array(add(base)), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -293,12 +285,13 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
     """
     scratch, parts = Scratch(spark, "lm"), partitions(spark)
-    buckets = 2 * parts  # halves what a task of the sums holds at a time
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = scratch.write(_pack(base), "chunks")
+    limit = chunk_bytes(parts, CHUNK, MOST, 16)
+    chunks = scratch.write(_pack(base, limit), "chunks")
+    total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(2 * parts, -(-total // (4 * limit)))  # a task sums up one at a time
     extras = scratch.write(_extras(_offers(chunks, buckets), parts), "extras")
-    sums = [np.frombuffer(r[0], np.int64) for r in extras.where("chunk is null and kind = 0").select("y").collect()]
-    v_all, n_all = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    v_all, n_all = extras.where("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     cells = _histogram(_together(chunks, extras, parts), buckets, n_all, v_all).collect()
     weights = mixture_weights(np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], np.int64))
     return _scores(_together(chunks, extras, parts), buckets, n_all, v_all, weights)
