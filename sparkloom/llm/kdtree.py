@@ -4,29 +4,33 @@ Vectors are dealt into shards of bounded size. Each shard is a KD-tree with
 median splits and tight boxes, built once and kept in a written table. Queries
 come in blocks of bounded size. A query walks each tree best-first by the
 largest inner product its box allows, and stops at a box that cannot reach the
-kth score found so far; that score is carried from a first pilot shard to all
-tasks, and from shard to shard within a task.
+kth score found so far. That score comes from a pilot shard first, which every
+block meets, and is carried from shard to shard within a task: a task holds a
+few shards, and the blocks of queries stream past them.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 from .vectors import matrices
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 256
-#: Queries in a broadcast block.
+#: Queries in a block, and shards that a task holds at most.
 QUERY_ROWS = 2048
+HELD = 8
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
-_FOUND = "q int, query_id long, vec_id long, score long"
+_FOUND = "block long, q int, query_id long, vec_id long, score long"
+_TREE = ("dim", "ids", "points", "nodes", "low", "high")
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -67,7 +71,7 @@ def dot(points: np.ndarray, q: np.ndarray) -> list[int]:
     return [max(-_LONG - 1, min(_LONG, sum(int(a) * b for a, b in zip(row, big)))) for row in points.tolist()]
 
 
-def search(tree, q: np.ndarray, own: int, best: list, k: int, floor: float) -> None:
+def search(tree, q: np.ndarray, own: int, best: list, k: int, floor: int) -> None:
     """Best-first walk; ``best`` is a heap of (score, -id) and is updated in place."""
     ids, points, nodes, low, high = tree
     up, down = np.maximum(q, 0), np.minimum(q, 0)
@@ -98,7 +102,7 @@ def search(tree, q: np.ndarray, own: int, best: list, k: int, floor: float) -> N
 
 
 def _pack(vectors: DataFrame, rows: int, tree: bool) -> DataFrame:
-    """Rows of up to ``rows`` vectors of one dimension: dim, ids, points (and nodes, low, high)."""
+    """Rows of about ``rows`` vectors of one dimension: dim, ids, points (and nodes, low, high)."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -106,8 +110,9 @@ def _pack(vectors: DataFrame, rows: int, tree: bool) -> DataFrame:
         def out(d):
             ids = np.concatenate([x[0] for x in held[d]])
             points = np.concatenate([x[1] for x in held.pop(d)])
-            for s in range(0, len(ids), rows):
-                i, p = ids[s : s + rows], points[s : s + rows]
+            cut = np.linspace(0, len(ids), max(1, round(len(ids) / rows)) + 1).astype(int).tolist()
+            for s, e in zip(cut, cut[1:]):
+                i, p = ids[s:e], points[s:e]
                 more = [b"", b"", b""]
                 if tree:
                     order, nodes, low, high = build(p)
@@ -145,40 +150,59 @@ def top_k(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: int
     """
     scratch = Scratch(spark, "kdtree")
     slim = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    shards_n = max(1, -(-candidates.count() // SHARD_ROWS))
-    shards = scratch.write(_pack(slim(candidates).repartition(shards_n), SHARD_ROWS, True), "shards")
-    blocks = scratch.write(_pack(slim(queries).repartition(max(1, -(-queries.count() // QUERY_ROWS))), QUERY_ROWS, False).withColumn("block", F.monotonically_increasing_id()), "queries")
-    found = spark.createDataFrame([], f"{_FOUND}, block long")
-    for no in [r[0] for r in blocks.select("block").orderBy("block").toLocalIterator()]:
-        block = blocks.where(F.col("block") == no).first()
-        d = block["dim"]
-        mine = shards.where(F.col("dim") == d)
-        sent = spark.sparkContext.broadcast((bytes(block["ids"]), bytes(block["points"])))
-        pilot = mine.limit(1).mapInArrow(_searcher(sent, d, k, None), _FOUND)
-        kth = {r[0]: r[1] for r in pilot.groupBy("q").agg(F.min("score"), F.count(F.lit(1)).alias("n")).where(f"n = {k}").collect()}
-        floors = spark.sparkContext.broadcast(kth)
-        rows = mine.mapInArrow(_searcher(sent, d, k, floors), _FOUND).withColumn("block", F.lit(no))
-        scratch.write(rows, f"found/{no}")
-        found = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(f"{scratch.path}/found")  # one table, however many blocks
+    deal = lambda df, rows: slim(df).repartition(max(1, -(-df.count() // rows)))
+    shards = scratch.write(_pack(deal(candidates, SHARD_ROWS), SHARD_ROWS, True).withColumn("no", F.monotonically_increasing_id()), "shards")
+    blocks = scratch.write(_pack(deal(queries, QUERY_ROWS), QUERY_ROWS, False).select("dim", "ids", "points", F.monotonically_increasing_id().alias("no")), "queries")
+    pilots = [r[1] for r in shards.groupBy("dim").agg(F.min("no"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").select("dim", "min(no)").limit(HELD).collect()]  # of the most frequent lengths
+    sent = spark.sparkContext.broadcast([tuple(r) for r in shards.where(F.col("no").isin(pilots)).select(*_TREE).collect()] if pilots else [])
+    blocks = scratch.write(blocks.repartition(partitions(spark), "no").mapInArrow(_pilot(sent, k), "dim int, ids binary, points binary, no long, floor binary"), "floors")
+    count = shards.count()
+    groups = max(1, -(-count // HELD), min(count, partitions(spark)))
+    none = F.lit(None).cast("binary")
+    trees = shards.select(F.pmod(F.shiftright("no", 33) + F.col("no").bitwiseAND((1 << 33) - 1), F.lit(groups)).cast("int").alias("part"), F.lit(0).alias("kind"), "no", *_TREE, none.alias("floor"))
+    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(1).alias("kind"), "no", "dim", "ids", "points", none.alias("nodes"), none.alias("low"), none.alias("high"), "floor")
+    found = trees.unionAll(asked).repartitionById(groups, F.col("part")).sortWithinPartitions("kind", "no").mapInArrow(_searcher(k), _FOUND)
     order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searcher(sent, d: int, k: int, floors):
+def _walk(trees: list, d: int, ids: bytes, points: bytes, k: int, floor: np.ndarray | None) -> Iterator[tuple[int, int, list]]:
+    """(number, id, heap of the best) of each query of a block, over all trees of its length."""
+    mine = [t for t in trees if t[1].shape[1] == d]
+    points = np.frombuffer(points, np.float64).reshape(-1, d)
+    for i, own in enumerate(np.frombuffer(ids, np.int64).tolist()):
+        best: list = []
+        for tree in mine:
+            search(tree, points[i], own, best, k, -_LONG - 1 if floor is None else int(floor[i]))
+        yield i, own, best
+
+
+def _pilot(sent, k: int):
+    """Adds to each block of queries the kth score that a pilot shard gives each of them."""
+
+    def run(batches):
+        trees = [_load(*r) for r in sent.value]
+        for b in batches:
+            for d, ids, points, no in zip(*[b.column(c).to_pylist() for c in ("dim", "ids", "points", "no")]):
+                floor = np.array([best[0][0] if len(best) == k else -_LONG - 1 for _, _, best in _walk(trees, d, ids, points, k, None)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids], pa.binary()), pa.array([points], pa.binary()), pa.array([no], pa.int64()), pa.array([floor.tobytes()], pa.binary())], ["dim", "ids", "points", "no", "floor"])
+
+    return run
+
+
+def _searcher(k: int):
     def run(batches):
-        ids, points = sent.value
-        ids, points = np.frombuffer(ids, np.int64), np.frombuffer(points, np.float64).reshape(-1, d)
-        floor = floors.value if floors is not None else {}
-        best: list[list] = [[] for _ in ids]
+        trees: list = []
         for b in batches:
-            for row in zip(*[b.column(c).to_pylist() for c in ("dim", "ids", "points", "nodes", "low", "high")]):
-                tree = _load(*row)
-                for i, own in enumerate(ids.tolist()):
-                    search(tree, points[i], own, best[i], k, floor.get(i, float("-inf")))
-        rows = [(i, q, -v, s) for i, q in enumerate(ids.tolist()) for s, v in best[i]]
-        if rows:
-            c = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32())] + [pa.array(x, pa.int64()) for x in c[1:]], ["q", "query_id", "vec_id", "score"])
+            for kind, no, floor, *tree in zip(*[b.column(c).to_pylist() for c in ("kind", "no", "floor", *_TREE)]):
+                if kind == 0:  # the task's shards come before the queries
+                    trees.append(_load(*tree))
+                    continue
+                d, ids, points = tree[:3]
+                rows = [(no, i, own, -v, s) for i, own, best in _walk(trees, d, ids, points, k, np.frombuffer(floor, np.int64)) for s, v in best]
+                if rows:
+                    c = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32())] + [pa.array(x, pa.int64()) for x in c[2:]], ["block", "q", "query_id", "vec_id", "score"])
 
     return run
 
