@@ -1,6 +1,8 @@
 """Operator 2: deterministic sharded WARC writer and reader.
 
-Pages are dealt to shards by ranges of page_id, sorted within each shard and
+Pages are dealt to shards by ranges of page_id of about equal bytes (found by
+exact histograms that are refined where they are heavy, so that they depend on
+the pages only), sorted within each shard, a shard to a task, and
 written as gzip members; a file is rolled once its compressed size is reached.
 Headers and digests are regenerated from the content, so that the same pages
 give the same bytes. A file is written under a temporary name, renamed when it
@@ -14,6 +16,8 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +28,11 @@ from .common import Scratch, partitions
 ROLL_BYTES = 16 << 20
 #: Smallest payload that may be stored as a revisit of an equal one.
 REVISIT_BYTES = 100
+#: Bytes of a shard; more where there would be more than ``SHARDS`` shards.
 SHARD_BYTES = 16 << 20
-#: Ranges of page_id that the shards are made of; at most so many shards.
-RANGES = 16_384
+SHARDS = 65_536
+#: Ranges that a shard is made of, at least.
+FINE = 4
 _NS = uuid.UUID("6f1c7a52-5a0c-5b7e-9a51-4a2f0b6f8d11")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,42 +73,91 @@ def _digests(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """page_id, payload_digest, refers_to of the pages that revisit another one.
+def revisits(slim: DataFrame) -> DataFrame:
+    """page_id, payload_digest, refers_to of the pages that revisit another one,
+    from their page_id, payload_bytes and payload_digest.
 
     The response of equal payloads of at least REVISIT_BYTES is the one with
     the smallest page_id (rows that share it are all responses; a null page_id
     refers to the smallest non-null one, if there is any). Only ids and digests
     are moved for this, and only digests of several ids are joined back.
     """
-    slim = _digests(pages).where(F.col("payload_bytes") >= REVISIT_BYTES)
+    slim = slim.where(F.col("payload_bytes") >= REVISIT_BYTES)
     groups = slim.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
     found = slim.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     return found.select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
 
 
+def _even_ranges(sizes: DataFrame, want: int) -> list[tuple[int, int]]:
+    """Where ranges of ``sizes(key, size)`` start, and their bytes: none has more
+    than ``want`` / ``FINE`` unless it is a single key. Each round counts the parts
+    of the heavy ranges, of which there are at most ``FINE`` x total / ``want``."""
+    lo, hi, total = sizes.agg(F.min("key"), F.max("key"), F.sum("size")).first()
+    whole, heavy = [], [] if lo is None else [(lo, hi, total)]
+    while heavy:
+        parts = []
+        for first, last, size in sorted(heavy):
+            n, k = last - first + 1, min(last - first + 1, FINE * max(2, -(-size // want)))
+            parts += [(first + n * i // k, first + n * (i + 1) // k - 1) for i in range(k)]
+        starts, ends = (np.array(x, np.int64) for x in zip(*parts))
+
+        @F.pandas_udf("int")
+        def number(x: pd.Series) -> pd.Series:
+            i = np.searchsorted(starts, x.to_numpy(), "right") - 1
+            return pd.Series(np.where((i >= 0) & (x.to_numpy() <= ends[i]), i, -1))
+
+        got = dict(map(tuple, sizes.groupBy(number("key").alias("r")).agg(F.sum("size")).collect()))
+        parts = [(a, b, got.get(i, 0)) for i, (a, b) in enumerate(parts)]
+        heavy = [p for p in parts if p[2] * FINE > want and p[1] > p[0]]
+        whole += [p for p in parts if not (p[2] * FINE > want and p[1] > p[0])]
+    return [(a, n) for a, _, n in sorted(whole)]
+
+
+def _filled(ranges: list[tuple], want: int) -> list:
+    """Where shards start: neighbouring ranges make up a shard until it has its share of the bytes."""
+    starts, run = [], want
+    for first, size in ranges:
+        if run >= want or run and run + size > 2 * want:
+            starts.append(first)
+            run = 0
+        run += size
+    return starts
+
+
 def shard_of(slim: DataFrame) -> tuple[Column, int]:
-    """The shard of a page_id as a column, and the number of shards.
+    """The shard of a page (by ``page_id`` and ``payload_digest``) as a column, and
+    the number of shards; ``slim`` has these two and ``size``.
 
-    Page ids fall into RANGES equal ranges; neighbouring ranges make up a shard
-    until it has its share of the bytes, by an exact histogram (at most RANGES
-    rows). A range is found by a division and its shard by one array access.
+    Shards are ranges of page_id; pages without one come first. Rows of one
+    page_id, or of none, that have more than two shards' bytes are dealt by
+    ranges of their digests.
     """
-    lo, hi, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    if lo is None or not total or lo == hi:
-        return F.lit(0), 1
-    want = max(-(-total // SHARD_BYTES), 8)
-    width = -(-(hi - lo + 1) // RANGES)
-    number = F.floor((F.col("page_id") - F.lit(lo)) / F.lit(width)).cast("int")
-    sizes = dict(map(tuple, slim.where("page_id is not null").groupBy(number.alias("r")).agg(F.sum("size").alias("size")).collect()))
-    shards, run, no = [], 0, 0
-    for r in range((hi - lo) // width + 1):
-        shards.append(no)
-        run += sizes.get(r, 0)
-        if run * want >= total * (no + 1) and no < want - 1:
-            no += 1
-    table = F.split(F.lit(",".join(map(str, shards))), ",").cast("array<int>")  # folded to a constant
-    return F.when(F.col("page_id").isNull(), 0).otherwise(F.get(table, number)).cast("int"), no + 1
+    none, total = (x or 0 for x in slim.agg(F.sum(F.when(F.col("page_id").isNull(), F.col("size"))), F.sum("size")).first())
+    want = max(1, min(SHARD_BYTES, total // 8), -(-total // SHARDS))
+    ranges = _even_ranges(slim.where("page_id is not null").select(F.col("page_id").alias("key"), "size"), want)
+    heavy = [a for a, n in ranges if n > 2 * want]  # fewer than half as many as there are shards
+    even = [((1, a, 0), n) for a, n in ranges if n <= 2 * want] + [((1, a, 0), 0) for a in heavy] + [((0, 0, 0), 0 if none > 2 * want else none)]
+    digest = F.conv(F.substring("payload_digest", 1, 8), 16, 10).cast("long")
+    if none > 2 * want:
+        even += [((0, 0, d), n) for d, n in _even_ranges(slim.where("page_id is null").select(digest.alias("key"), "size"), want)]
+    if heavy:
+        which = F.broadcast(slim.sparkSession.createDataFrame(list(zip(heavy, range(len(heavy)))), "page_id long, h long"))
+        inner = slim.join(which, "page_id").select((F.shiftleft("h", 32) + digest).alias("key"), "size")
+        even += [((1, heavy[k >> 32], k & 0xFFFFFFFF), n) for k, n in _even_ranges(inner, want)]
+    starts = _filled(sorted(even), want)
+    names = np.unique(np.array([a for known, a, _ in starts if known], np.int64))
+    place = lambda known, a: known * (1 + int(np.searchsorted(names, a)))
+    edges = np.array([place(known, a) << 33 | d for known, a, d in starts], np.int64)
+
+    @F.pandas_udf("int")
+    def find(known: pd.Series, page: pd.Series, d: pd.Series) -> pd.Series:
+        x = page.to_numpy()
+        i = np.searchsorted(names, x, "right")  # the last name that isn't after the page, from 1
+        here = (i > 0) & (names[np.maximum(i, 1) - 1] == x) if len(names) else np.zeros(len(x), bool)
+        at = np.where(known.to_numpy(), (i << 33) | np.where(here, d.to_numpy(), 1 << 32), d.to_numpy())
+        return pd.Series(np.searchsorted(edges, at, "right") - 1)
+
+    return find(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), digest), len(starts)
 
 
 def _sweep(spark: SparkSession, target: str) -> None:
@@ -121,11 +176,12 @@ def write_archives(spark: SparkSession, pages: DataFrame, target: str, manifest:
     url leaves out the header, null page_ids come first; columns of other names
     are ignored; an empty table gives an empty manifest.
     """
-    shard, shards = shard_of(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 400).cast("long").alias("size")))
+    slim = Scratch(spark, "warc-pages").write(_digests(pages), "slim")
+    shard, shards = shard_of(slim.select("page_id", "payload_digest", (F.col("payload_bytes") + 400).alias("size")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha2(F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8"), 256).alias("payload_digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"))
-    notes = revisits(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_digest", F.lit(0).alias("kind"), "refers_to")
+    notes = revisits(slim).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "payload_digest", F.lit(0).alias("kind"), "refers_to")
     plan = rows.unionAll(notes).withColumn("shard", shard)
-    plan = plan.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "kind", "url")
+    plan = plan.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "payload_digest", "kind", "url")
 
     def run(batches):
         store, root = _store(target)
