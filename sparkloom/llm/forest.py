@@ -4,8 +4,9 @@ Equal vectors form a class. Each tree splits at the median of a random
 projection; vectors near a split go to both sides. Vectors are compared within
 the leaves of every tree. A pair is counted in the first leaf that both share,
 which each vector knows from its list of leaves; so a leaf returns sums of
-links and a few edges per vector instead of pairs. Splits are fitted on a
-bounded sample, every vector is routed through them.
+links and a few edges per vector instead of pairs. The upper splits are fitted
+on a bounded sample, and every vector is routed through them; where they leave
+too many vectors in a leaf, each leaf is split on by its own vectors.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions, sampled
-from .vectors import matrices
+from .common import Scratch, components, hot_keys, join_split, partitions, runs_of, sampled
+from .vectors import matrices, units
 
 TREES = 6
 #: Half width of the band around a split that goes to both sides (unit vectors).
 SPILL = 0.025
-#: Vectors of a leaf that the fit aims at, rows of the sample, and rows of a block of an oversized leaf.
+#: Vectors of a leaf that splits aim at, and of a block of a leaf that cannot be split.
 LEAF_ROWS = 1024
-SAMPLE_ROWS = 20_000
 BLOCK = 1024
+#: Rows of the sample, or one of SAMPLE_SHARE vectors where that is more, but at most SAMPLE_MOST.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_MOST = 20_000, 1000, 200_000
+#: Sampled rows in a leaf of the upper splits at least, where vectors are very many.
+LEAST = 8
 
 
 def fit_tree(x: np.ndarray, rng: np.random.Generator, leaf: int) -> list:
@@ -72,61 +76,112 @@ def _classes(vectors: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(0)
             for _, at, m in matrices(ids, b.column(1)):
-                norm = np.sqrt((m * m).sum(1))
-                ok = np.isfinite(norm) & (norm > 0)
+                ok, unit = units(m)
                 at, m = at[ok], m[ok] + 0.0
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in m), "<i8").reshape(-1, 2) if len(m) else np.zeros((0, 2), np.int64)
-                unit = m / norm[ok][:, None]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array([r.tobytes() for r in unit], pa.binary())], ["vec_id", "k1", "k2", "v"])
 
     return vectors.mapInArrow(run, "vec_id long, k1 long, k2 long, v binary")
 
 
-def _route_all(reps: DataFrame, sent) -> DataFrame:
-    """A row per vector and leaf (or pair of blocks): leaf, bi, bj, block, class, weight, leaves, v."""
+def _wide(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors as rows of one width, longer ones cut, shorter ones filled with zeros."""
+    x = np.zeros((len(raw), dim))
+    for i, r in enumerate(raw):
+        r = np.frombuffer(r, np.float64)[:dim]
+        x[i, : len(r)] = r
+    return x
+
+
+def _leaves(x: np.ndarray, forest: list, base: list) -> list[list]:
+    own: list[list] = [[] for _ in x]
+    for t, nodes in enumerate(forest):
+        for leaf, rows in route(x, nodes):
+            for i in rows.tolist():
+                own[i].append(base[t] + leaf)
+    return own
+
+
+def _dealt(cid: list, mult: list, raw: list, own: list[list], blocks: list[dict]):
+    """A row per vector and leaf (or pair of blocks): leaf, dim, bi, bj, block, c, mult, leaves, v."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["leaf", "dim", "bi", "bj", "block", "c", "mult", "leaves", "v"])
+
+    out: list[list] = [[] for _ in range(9)]
+    for c, m, v, leaves, sizes in zip(cid, mult, raw, own, blocks):
+        leaves.sort()
+        packed = np.array(leaves, np.int64).tobytes()
+        for leaf in leaves:
+            n = sizes.get(leaf, 1)
+            mine = c % n
+            for o in range(n):
+                for col, val in zip(out, (leaf, len(v) // 8, min(mine, o), max(mine, o), mine, c, m, packed, v)):
+                    col.append(val)
+        if len(out[0]) > 4000:
+            yield batch()
+            out = [[] for _ in range(9)]
+    if out[0]:
+        yield batch()
+
+
+_DEALT = "leaf long, dim int, bi int, bj int, block int, c long, mult long, leaves binary, v binary"
+
 
+def _route_all(reps: DataFrame, sent) -> DataFrame:
     def run(batches):
         forest, base, blocks, dim = sent.value
         for b in batches:
-            cid, mult = b.column("c").to_numpy(), b.column("mult").to_numpy()
             raw = b.column("v").to_pylist()
-            x = np.zeros((len(raw), dim))
-            for i, r in enumerate(raw):
-                r = np.frombuffer(r, np.float64)[:dim]
-                x[i, : len(r)] = r
-            size = np.array([len(r) // 8 for r in raw], np.int64)
-            own: list[list] = [[] for _ in raw]
-            for t, nodes in enumerate(forest):
-                for leaf, rows in route(x, nodes):
-                    for i in rows.tolist():
-                        own[i].append(base[t] + leaf)
-            out: list[list] = [[] for _ in range(9)]
-            for i, leaves in enumerate(own):
-                leaves.sort()
-                packed = np.array(leaves, np.int32).tobytes()
-                for leaf in leaves:
-                    n = blocks.get(leaf, 1)
-                    mine = int(cid[i]) % n
-                    for o in range(n):
-                        for col, val in zip(out, (leaf, int(size[i]), min(mine, o), max(mine, o), mine, int(cid[i]), int(mult[i]), packed, raw[i])):
-                            col.append(val)
-                if len(out[0]) > 4000:
-                    yield _batch(out)
-                    out = [[] for _ in range(9)]
-            if out[0]:
-                yield _batch(out)
-
-    def _batch(out):
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["leaf", "dim", "bi", "bj", "block", "c", "mult", "leaves", "v"])
+            own = _leaves(_wide(raw, dim), forest, base)
+            yield from _dealt(b.column("c").to_pylist(), b.column("mult").to_pylist(), raw, own, [blocks] * len(raw))
+
+    return reps.mapInArrow(run, _DEALT)
+
+
+def split_leaf(x: np.ndarray, seed: int, leaf: int) -> list[np.ndarray]:
+    """Rows of the leaves of one more tree, grown on the vectors themselves."""
+    nodes = fit_tree(x, np.random.default_rng(seed), leaf)
+    return [rows for _, rows in sorted(route(x, nodes), key=lambda r: r[0])]
+
+
+def _route_on(reps: DataFrame, sent, parts: int, leaf_rows: int) -> DataFrame:
+    """Like ``_route_all`` where the upper splits leave more vectors in a leaf than
+    one should have: these meet in a task and are split on. Leaves that even a
+    sample could not split stay as they are, in blocks."""
+
+    def upper(batches):
+        forest, base, blocks, dim = sent.value
+        for b in batches:
+            raw, cid = b.column("v").to_pylist(), b.column("c").to_pylist()
+            rows = [(leaf, c, None if leaf in blocks else v, blocks.get(leaf, 0)) for c, v, leaves in zip(cid, raw, _leaves(_wide(raw, dim), forest, base)) for leaf in leaves]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int32()))], ["leaf", "c", "v", "n"])
+
+    def lower(batches):
+        dim = sent.value[3]
+        for (leaf,), rows in runs_of(batches, ("leaf",)):
+            cid = np.array([r[1] for r in rows], np.int64)
+            for no, at in enumerate(split_leaf(_wide([r[2] for r in rows], dim), leaf, leaf_rows)):
+                n = -(-len(at) // BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(np.full(len(at), leaf << 32 | no)), pa.array(np.full(len(at), n, np.int32))], ["c", "leaf", "n"])
+
+    def deal(batches):
+        for b in batches:
+            own, sizes = b.column("leaf").to_pylist(), b.column("n").to_pylist()
+            yield from _dealt(b.column("c").to_pylist(), b.column("mult").to_pylist(), b.column("v").to_pylist(), own, [dict(zip(a, n)) for a, n in zip(own, sizes)])
 
-    return reps.mapInArrow(run, "leaf int, dim int, bi int, bj int, block int, c long, mult long, leaves binary, v binary")
+    routed = reps.select("c", "v").mapInArrow(upper, "leaf long, c long, v binary, n int")
+    split = routed.where("n = 0").select("leaf", "c", "v").repartition(parts, "leaf").sortWithinPartitions("leaf", "c").mapInArrow(lower, "c long, leaf long, n int")
+    all_ = split.unionAll(routed.where("n > 0").select("c", F.shiftleft("leaf", 32).alias("leaf"), "n"))
+    lists = all_.groupBy("c").agg(F.collect_list(F.struct("leaf", "n")).alias("l"))  # some leaves per tree
+    return reps.join(lists.hint("merge"), "c").select("c", "mult", "v", F.col("l.leaf").alias("leaf"), F.col("l.n").alias("n")).mapInArrow(deal, _DEALT)
 
 
 def _earlier(leaves: list[bytes], leaf: int) -> np.ndarray:
     """Which leaves before ``leaf`` each row is in: rows by such leaves, ones and zeros."""
-    size = np.array([len(v) // 4 for v in leaves])
-    ids, row = np.frombuffer(b"".join(leaves), np.int32), np.repeat(np.arange(len(leaves)), size)
+    size = np.array([len(v) // 8 for v in leaves])
+    ids, row = np.frombuffer(b"".join(leaves), np.int64), np.repeat(np.arange(len(leaves)), size)
     before = ids < leaf
     names, col = np.unique(ids[before], return_inverse=True)
     out = np.zeros((len(leaves), len(names)), np.float32)
@@ -201,40 +256,44 @@ def _compare(rows: DataFrame, parts: int, threshold: float) -> DataFrame:
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "c long, links long, to long")
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, trees: int = TREES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Links of ``vectors(vec_id, embedding)`` with cosine >= threshold.
 
     Returns vec_id, n_links, component_id and kept per row. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing,
     nor do vectors of different lengths; repeated rows link with each other; a
     row with a null vec_id links with nothing and is kept; an empty table gives
-    no rows.
+    no rows. A leaf of the upper splits is held in one task.
     """
     scratch, parts = Scratch(spark, "forest"), partitions(spark)
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     keyed = scratch.write(_classes(base), "keyed")
-    classes = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.any_value("v").alias("v")).select(F.xxhash64("k1", "k2").alias("c"), "k1", "k2", "rep", "mult", "v"), "classes")
-    total = classes.count()
-    sample = [np.frombuffer(r[0], np.float64) for r in classes.where(sampled(F.col("c"), sample_rows, total)).orderBy("c").select("v").collect()]
+    classes = scratch.write(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.any_value("v").alias("v")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    total, rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("mult"), F.lit(0))).first()
+    sample_rows = max(sample_rows, min(SAMPLE_MOST, total // SAMPLE_SHARE))
+    sample = [np.frombuffer(r[0], np.float64) for r in classes.where(sampled(F.struct("k1", "k2"), sample_rows, total)).orderBy("k1", "k2").select("v").collect()]
     dim = max([len(v) for v in sample], default=1)
     x = np.zeros((len(sample), dim))
     for i, v in enumerate(sample):
         x[i, : len(v)] = v
-    leaf = max(8, int(LEAF_ROWS * len(sample) / max(1, total)))
+    leaf = max(LEAST, int(leaf_rows * len(sample) / max(1, total)))
     rng = np.random.default_rng(41)
     forest = [fit_tree(x, rng, leaf) for _ in range(trees)]
     base_no = np.cumsum([0, *[len(t) for t in forest]]).tolist()
     scale = total / max(1, len(sample))
-    blocks = {base_no[t] + i: n for t, nodes in enumerate(forest) for i, node in enumerate(nodes) if node[0] is None and (n := -(-int(node[1] * scale) // BLOCK)) > 1}
+    on = leaf * scale > 2 * leaf_rows  # the sample is too small for leaves of that size
+    blocks = {base_no[t] + i: n for t, nodes in enumerate(forest) for i, node in enumerate(nodes) if node[0] is None and (n := -(-int(node[1] * scale) // BLOCK)) > 1 and not (on and node[1] <= leaf)}
     sent = spark.sparkContext.broadcast((forest, base_no, blocks, dim))
-    found = scratch.write(_compare(_route_all(classes.select("c", "mult", "v"), sent), parts, threshold), "found")
+    reps = classes.select("c", "mult", "v")
+    routed = _route_on(reps, sent, parts, leaf_rows) if on else _route_all(reps, sent)
+    found = scratch.write(_compare(routed, parts, threshold), "found")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     comp = scratch.write(components(spark, found.where("c <> to").select(F.col("c").alias("a"), F.col("to").alias("b")), scratch), "comp")
-    named = classes.select("c", "k1", "k2", "rep", "mult").join(links, "c", "left").join(comp, classes.c == comp.node, "left").withColumn("g", F.coalesce("component", "c"))
-    named = scratch.write(named.select("k1", "k2", "g", "rep", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
-    low = scratch.write(named.groupBy("g").agg(F.min("rep").alias("component_id")), "low")
-    named = scratch.write(named.join(low, "g").select("k1", "k2", "n_links", "component_id"), "result")
-    linked = keyed.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    named = classes.select("c", "k1", "k2", "rep", "mult").join(links, "c", "left").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
+    named = scratch.write(named.select("k1", "k2", "g", "rep", "mult", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    low = named.groupBy("g").agg(F.min("rep").alias("component_id"))
+    named = scratch.write(join_split(named, low, ["g"], hot_keys(named, ["g"], total)).select("k1", "k2", "n_links", "component_id", "mult"), "result")
+    linked = join_split(keyed.select("vec_id", "k1", "k2"), named.drop("mult"), ["k1", "k2"], hot_keys(named, ["k1", "k2"], rows, F.col("mult"))).select("vec_id", "n_links", "component_id")
     alone = _invalid(base).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -244,8 +303,7 @@ def _invalid(base: DataFrame) -> DataFrame:
         for b in batches:
             rest = np.ones(b.num_rows, bool)
             for _, at, m in matrices(b.column(0), b.column(1)):
-                norm = np.sqrt((m * m).sum(1))
-                rest[at[np.isfinite(norm) & (norm > 0)]] = False
+                rest[at[units(m)[0]]] = False
             yield b.filter(pa.array(rest)).select(["vec_id"])
 
     return base.mapInArrow(run, "vec_id long")

@@ -26,3 +26,12 @@ def matrices(ids: pa.Array, lists: pa.Array):
     for d in np.unique(size[ok]).tolist():
         rows = np.flatnonzero(ok & (size == d))
         yield d, rows, value[start[rows][:, None] + np.arange(d)]
+
+
+def units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are not zero, and these at length one; scaled first, so that
+    squares of very large or small components neither overflow nor vanish."""
+    top = np.abs(m).max(1, initial=0)
+    ok = top > 0
+    x = m[ok] / top[ok][:, None]
+    return ok, x / np.sqrt((x * x).sum(1))[:, None]
