@@ -6,8 +6,9 @@ expected tokens of each domain (rate x tokens x posterior, summed over all
 documents) match its target, by accelerated projected-gradient least squares.
 Steps are scaled by the inverse Gram matrix of the domains, so that a rare
 domain moves as fast as a frequent one. A gradient is one vector with an entry
-per domain, so that no pass stores rates: each pass replays the steps so far
-over the table of posteriors and returns the domain totals.
+per domain: a pass replays the steps since rates were last stored, over the
+table of posteriors, and returns the domain totals. The fit ends where every
+domain is at its target, or where no step changes the totals any more.
 """
 
 from __future__ import annotations
@@ -27,9 +28,14 @@ BITS = 15
 SAMPLE_ROWS = 4000
 #: Of a domain at least about this many labelled rows are learned from, or all where it has fewer.
 SAMPLE_FLOOR = 200
-PASSES = 40
-#: The passes end when every domain is this close to its target, as a share of that target.
+#: A fit that has not settled after so many passes is an error.
+PASSES = 2000
+#: Rates are stored after so many passes, so that a pass replays fewer steps than that.
+STORED = 10
+#: The passes end when every domain is this close to its target, as a share of that target,
 CLOSE = 1e-4
+#: or when a step without momentum moves no domain by more than this share of it.
+STILL = 1e-5
 
 
 class _Buckets(dict):
@@ -54,22 +60,28 @@ class DomainModel:
         self.w = np.zeros((1 << BITS, len(names)))
 
     def posterior(self, idx: np.ndarray) -> np.ndarray:
-        z = self.b + (self.w[idx].sum(0) / np.sqrt(len(idx)) if len(idx) else 0)
+        return self._soft(self.w[idx].sum(0) / np.sqrt(len(idx)) if len(idx) else 0)
+
+    def _soft(self, z) -> np.ndarray:
+        z = self.b + z
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.3, batch: int = 64) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.3, batch: int = 64) -> None:
+        """AdaGrad on rows of (distinct buckets, their counts); the rows' order fixes the result."""
         rng = np.random.default_rng(5)
         acc = np.full(self.w.shape, 1e-4)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
-                pick = [i for i in order[at : at + batch] if len(rows[i])]
-                for i in pick:
-                    p = self.posterior(rows[i])
+                for i in order[at : at + batch]:
+                    u, c = rows[i]
+                    if not len(u):
+                        continue
+                    x = c / np.sqrt(c.sum())
+                    p = self._soft(x @ self.w[u])
                     p[y[i]] -= 1
-                    u, c = np.unique(rows[i], return_counts=True)
-                    g = (c / np.sqrt(len(rows[i])))[:, None] * p[None, :] + 1e-4 * self.w[u]
+                    g = x[:, None] * p[None, :] + 1e-4 * self.w[u]
                     acc[u] += g * g
                     self.w[u] -= rate * g / np.sqrt(acc[u])
 
@@ -97,13 +109,15 @@ def fit_domains(spark: SparkSession, docs: DataFrame, labelled: DataFrame, domai
     def extract(batches):
         buckets = _Buckets()
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_indices(t, buckets).astype("<u2").tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "domain", "i"])
+            got = [np.unique(_indices(t, buckets), return_counts=True) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([u.astype("<u2").tobytes() for u, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], ["doc_id", "domain", "i", "n"])
 
-    rows = docs.join(known, "doc_id").select("doc_id", "text", "domain").mapInArrow(extract, "doc_id long, domain string, i binary").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
+    one = docs.join(known, "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of several texts of an id, one
+    rows = one.select("doc_id", "text", "domain").mapInArrow(extract, "doc_id long, domain string, i binary, n binary").collect()  # at most 2^BITS words each
+    rows.sort(key=lambda r: (r[0], r[1]))
     y = np.array([names.index(r[1]) for r in rows])
     model = DomainModel(names, (np.bincount(y, minlength=len(names)) + 1.0) / (len(y) + len(names)))
-    model.fit([np.frombuffer(r[2], "<u2").astype(np.int64) for r in rows], y)
+    model.fit([(np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<u4").astype(float)) for r in rows], y)
     model.b = np.log((np.array([count[n] for n in names]) + 1.0) / (total + len(names)))  # fitted at the frequencies of the sample, used at those of all rows
     return model
 
@@ -139,10 +153,14 @@ class TargetsMissed(UserWarning):
     """The fitted rates do not bring every domain to its target."""
 
 
-def replay(post: np.ndarray, steps: list[tuple[np.ndarray, float]], lowest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps, and the point at which the next gradient is taken."""
-    rate = np.full(len(post), max(1.0, lowest))
-    ahead = rate
+def start_rates(n: int, lowest: float) -> tuple[np.ndarray, np.ndarray]:
+    rate = np.full(n, max(1.0, lowest))
+    return rate, rate
+
+
+def replay(post: np.ndarray, steps: list[tuple[np.ndarray, float]], lowest: float, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps, from a state or the start, and the point at which the next gradient is taken."""
+    rate, ahead = state or start_rates(len(post), lowest)
     for s, momentum in steps:
         new = np.maximum(lowest, ahead - post @ s)
         ahead = np.maximum(lowest, new + momentum * (new - rate))
@@ -157,48 +175,74 @@ def _inverse(gram: np.ndarray) -> np.ndarray:
     return (v / np.maximum(e, e[-1] * 1e-8)) @ v.T / np.outer(d, d)
 
 
-def fit_rates(spark: SparkSession, table: DataFrame, names: list[str], target, lowest: float = 0.0, passes: int = PASSES):
+def _state(row: dict, lowest: float) -> tuple[np.ndarray, np.ndarray]:
+    """The stored state of a row of memberships: all start from rate 1, or ``lowest`` where that is more."""
+    if row.get("rate") is None:
+        return start_rates(len(row["tokens"]) // 8, lowest)
+    return np.frombuffer(row["rate"], np.float64), np.frombuffer(row["ahead"], np.float64)
+
+
+def fit_rates(spark: SparkSession, table: DataFrame, names: list[str], target, lowest: float = 0.0, passes: int = PASSES, stored: int = STORED):
     """Steps (each with its momentum) of the fit over a table of memberships, and
     the targets and the totals reached, by domain.
 
     ``target`` turns the current expected tokens of the domains into those
     wanted. The norm weights a document by its tokens, so that a step changes
     rates by posteriors only; errors are measured by the inverse Gram matrix,
-    in which a step of length one never overshoots. Warns of the domains that
-    are not within ``CLOSE`` of their own targets when the passes end: some
-    targets cannot be met, as when no rate may be under 1 and a domain that
-    shares documents with growing ones is to stay as it is.
+    in which a step of length one never overshoots. Some targets cannot be met,
+    as when no rate may be under 1 and a domain that shares documents with
+    growing ones is to stay as it is; the fit then ends at the least squares,
+    where no step moves the totals, and warns of the domains that are not
+    within ``CLOSE`` of their targets. RuntimeError if ``passes`` do not settle it.
     """
     k = len(names)
+    scratch = Scratch(spark, "rates")
 
     def sums(f):
         def run(batches):
             for b in batches:
-                for tokens, post in zip(b.column("tokens").to_pylist(), b.column("post").to_pylist()):
-                    t, p = np.frombuffer(tokens, np.float64), np.frombuffer(post, np.float64).reshape(-1, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v := f(t, p).ravel())), pa.int64()), pa.array(v)], ["i", "v"])
+                for row in b.to_pylist():
+                    t, p = np.frombuffer(row["tokens"], np.float64), np.frombuffer(row["post"], np.float64).reshape(-1, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v := f(t, p, row).ravel())), pa.int64()), pa.array(v)], ["i", "v"])
 
         got = dict(map(tuple, table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v")).collect()))
         return np.array([got[i] for i in sorted(got)]) if got else None
 
-    gram = sums(lambda t, p: np.vstack([(p * t[:, None]).T @ p, max(1.0, lowest) * (t @ p), t @ p]))
+    def store(steps, name):
+        def run(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    got = replay(np.frombuffer(row["post"], np.float64).reshape(-1, k), steps, lowest, _state(row, lowest))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (row["tokens"], row["post"], *[x.tobytes() for x in got])], ["tokens", "post", "rate", "ahead"])
+
+        return scratch.write(table.mapInArrow(run, "tokens binary, post binary, rate binary, ahead binary"), name)
+
+    gram = sums(lambda t, p, _: np.vstack([(p * t[:, None]).T @ p, max(1.0, lowest) * (t @ p), t @ p]))
     if gram is None or not gram.sum():
         return [], np.zeros(k), np.zeros(k)
     gram, start, now = gram[: k * k].reshape(k, k), gram[k * k : -k], gram[-k:]
     want = np.asarray(target(now), float)
     scale = _inverse(gram)
-    steps: list[tuple[np.ndarray, float]] = []
-    now, ahead, pace, before = start, start, 1.0, np.inf
-    near = CLOSE * want + 1e-9 * want.sum()
-    while np.any(np.abs(now - want) > near) and len(steps) < passes:
+    steps: list[tuple[np.ndarray, float]] = []  # all of them; the table is as far as the first ``done``
+    now, ahead, pace, before, done = start, start, 1.0, np.inf, 0
+    near, still = CLOSE * want + 1e-9 * want.sum(), STILL * want + 1e-11 * want.sum()
+    while np.any(np.abs(now - want) > near):
+        if len(steps) == passes:
+            raise RuntimeError(f"rates did not settle in {passes} passes: {now.tolist()} of {want.tolist()} tokens")
         error = (now - want) @ scale @ (now - want)
         pace = 1.0 if error > before else pace  # momentum starts anew when it led away
         before, last, pace = error, pace, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        if len(steps) - done == stored:
+            table, old, done = store(steps[done:], f"after-{len(steps)}"), done, len(steps)
+            scratch.drop(f"after-{old}")
         steps.append((scale @ (ahead - want), (last - 1) / pace))
-        now, ahead = sums(lambda t, p: np.vstack([(t * r) @ p for r in replay(p, steps, lowest)])).reshape(2, k)
+        origin = ahead
+        now, ahead = sums(lambda t, p, row: np.vstack([(t * r) @ p for r in replay(p, steps[done:], lowest, _state(row, lowest))])).reshape(2, k)
+        if np.all(np.abs(now - origin) <= still):
+            break
     off = [f"{n!r} {x:.0f} of {w:.0f}" for n, x, w, m in zip(names, now, want, near) if abs(x - w) > m]
     if off:
-        warnings.warn(f"targets not met within {CLOSE:g} after {len(steps)} passes, tokens reached: {', '.join(off)}", TargetsMissed, stacklevel=2)
+        warnings.warn(f"targets not met within {CLOSE:g} where {len(steps)} passes have settled, tokens reached: {', '.join(off)}", TargetsMissed, stacklevel=2)
     return steps, want, now
 
 
