@@ -22,8 +22,9 @@ from .common import ship, slices
 
 _M = (1 << 64) - 1
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Entries of the pre-token memo of a worker; it is emptied when full.
-MEMO = 250_000
+#: Entries of the pre-token memo of a worker. When it is full a new one is begun,
+#: and the old one is asked for what the new one lacks.
+MEMO = 300_000
 
 
 def _slot(h: int, d: int, n: int) -> int:
@@ -63,6 +64,15 @@ class PerfectHash:
                 self.disp[i] = -s - 1
                 self.keys[s], self.rank[s] = byb[i][0][1], ranks[byb[i][0][1]]
 
+    def __getstate__(self):  # as arrays, which workers read faster than lists
+        return self.n, self.buckets, b"".join(self.keys), *[np.array(x, np.int64) for x in ([len(k) for k in self.keys], self.disp, self.rank)]
+
+    def __setstate__(self, state):
+        self.n, self.buckets, keys, size, disp, rank = state
+        ends = np.cumsum(size).tolist()
+        self.keys = [keys[e - k : e] for e, k in zip(ends, size.tolist())]
+        self.disp, self.rank = disp.tolist(), rank.tolist()
+
     def get(self, key: bytes) -> int:
         """The rank of ``key``, or -1."""
         h = xxhash.xxh3_64_intdigest(key)
@@ -93,10 +103,11 @@ class Codec:
         text = self.pattern.replace(r"[^\s", "[^" + white).replace(r"(?!\S)", f"(?![^{white}])").replace(r"\s", f"[{white}]")
         self.split = regex.compile(text).findall
         self.memo: dict[str, bytes] = {}
-        self.near: dict[bytes, int] = {}
+        self.aged: dict[str, bytes] = {}
+        self.parts = {k: r for r, k in enumerate(self.words) if k}  # for the many lookups within a merge
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "near")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo", "aged", "parts")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -104,21 +115,10 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """Heap merge: lowest rank first, ties to the left."""
-        near, table, n = self.near, self.table.get, len(data)
-        if len(near) > MEMO:
-            near.clear()
-
-        def get(part: bytes) -> int:
-            r = near.get(part)
-            if r is None:
-                r = table(part)
-                if len(part) <= 16:
-                    near[part] = r
-            return r
-
+        get, n = self.parts.get, len(data)
         end = list(range(1, n + 1))  # a part at i spans data[i:end[i]]; dead parts have end 0
         prev = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) >= 0]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, to = heapq.heappop(heap)
@@ -128,35 +128,44 @@ class Codec:
             end[i], end[mid] = to, 0
             if to < n:
                 prev[to] = i
-                if (r := get(data[i : end[to]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[to]))
-            if (p := prev[i]) >= 0 and (r := get(data[p:to])) >= 0:
+                stop = end[to]
+                if (r := get(data[i:stop])) is not None:
+                    heapq.heappush(heap, (r, i, stop))
+            if (p := prev[i]) >= 0 and (r := get(data[p:to])) is not None:
                 heapq.heappush(heap, (r, p, to))
         out, i = [], 0
         while i < n:
-            out.append(get(data[i : end[i]]))
+            out.append(get(data[i : end[i]], -1))
             i = end[i]
         return out
 
     def word(self, token: str) -> bytes:
-        data = token.encode()
-        r = self.table.get(data)
-        got = [r] if r >= 0 else self.merge(data)
-        ids = struct.pack(f"<{len(got)}I", *got)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
+        ids = self.aged.get(token)
+        if ids is None:
+            data = token.encode()
+            r = self.table.get(data)
+            got = [r] if r >= 0 else self.merge(data)
+            ids = struct.pack(f"<{len(got)}I", *got)
         if len(token) <= 64:
+            if len(self.memo) >= MEMO:
+                self.aged, self.memo = self.memo, {}
             self.memo[token] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        memo, word = self.memo.get, self.word
-        return b"".join([memo(t) or word(t) for t in self.split(text)])
+        memo, word = self.memo, self.word
+        out = []
+        for t in self.split(text):
+            ids = memo.get(t)
+            if ids is None:
+                ids = word(t)
+                memo = self.memo
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        words = self.words
-        return b"".join([words[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
