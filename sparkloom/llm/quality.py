@@ -145,6 +145,8 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_
             out = [features(t, c, buckets) for t, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([a.astype("<i4").tobytes() for a, _ in out], pa.binary()), pa.array([b.astype("<f4").tobytes() for _, b in out], pa.binary())], ["doc_id", "y", "i", "x"])
 
+    # of several texts of an id one, and of a text at most 2^BITS hashed words
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by(F.struct("text", "n_chars"), F.xxhash64("text", "n_chars")).alias("row")).select("doc_id", "row.text", "row.n_chars", "y")
     got = sorted(rows.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, i binary, x binary").collect(), key=lambda r: (r[0], r[2], r[3], r[1]))
     if not got:
         return model
