@@ -31,7 +31,7 @@ MISS = 1e-6
 #: The bands miss a pair exactly at the threshold at most this often.
 BAND_MISS = 2e-5
 #: Rows of a block; larger buckets are dealt out as pairs of blocks.
-BLOCK = 512
+BLOCK = 384
 #: Word sequences that a task remembers, to send the signature of each once; emptied when full.
 SEEN = 200_000
 _RNG = np.random.default_rng(20240229)
@@ -353,7 +353,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
         bucket meet all of it, the other ``rest`` rows meet those only."""
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         first, more_ = blocks(own), blocks(rest)
-        at = lambda n: F.pmod(F.xxhash64("c"), F.greatest(n, F.lit(1))).cast("int")
+        at = lambda n: F.pmod(F.xxhash64("c", "band"), F.greatest(n, F.lit(1))).cast("int")  # noqa: E731  other blocks in every band
         part = part.withColumn("block", F.when(F.col("meets_all"), at(first)).otherwise(first + at(more_)))
         if more:
             part = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("meets_all"), first + more_).otherwise(first) - 1)))
