@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents. ``run`` writes and rereads the documents between stages.
+
+Null and empty texts and null ids go through every stage as its operator says:
+they are scored as empty, link with nothing, lose nothing and are not repeated.
+Repeated rows stay where a stage keeps one of them. Columns of other names are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, minhash, mixing, quality, suffix
-from sparkloom.llm.common import Scratch
+from sparkloom.llm.common import Scratch, made, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,7 +65,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for no, (_, stage) in enumerate(STAGES):
+        before = made()
         docs = stage(spark, docs, sf_dir)
         if no < len(STAGES) - 1:
             docs = scratch.write(docs, f"stage-{no}")
+            release(before)  # the stage's own tables
+            if no:
+                scratch.drop(f"stage-{no - 1}")
     return docs

@@ -2,8 +2,8 @@
 
 A name may carry a qualifier (``catalog.schema.name``) and the operator mark
 ``$operator$``; both are taken off and the rest is lower-cased. What Spark has
-under another name, or with other semantics, is mapped here; every other name
-is Spark's own built-in.
+under another name, or with other semantics, is mapped here and in ``dialect``
+and ``collected``; every other name is Spark's own built-in.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .collected import COLLECTED
+from .dialect import SCALARS
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -91,36 +94,6 @@ def _case(items) -> Column:
     return out.otherwise(rest[0]) if rest else out
 
 
-#: Scalars whose name or arguments differ from Spark's.
-SCALARS: dict[str, Callable[..., Column]] = {
-    "random": lambda *a: F.rand(*a),
-    "rand": lambda *a: F.rand(*a),
-    "strpos": lambda s, t: F.call_function("locate", t, s),
-    "substr": lambda *a: F.call_function("substring", *a),
-    "cardinality": lambda a: F.when(a.isNotNull(), F.size(a)),
-    "array_agg": lambda a: F.collect_list(a),
-    "bitwise_and": lambda a, b: a.bitwiseAND(b),
-    "bitwise_or": lambda a, b: a.bitwiseOR(b),
-    "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
-    "bitwise_not": lambda a: F.bitwise_not(a),
-    "bitwise_left_shift": lambda a, b: F.call_function("shiftleft", a, b),
-    "bitwise_right_shift": lambda a, b: F.call_function("shiftright", a, b),
-    "regexp_like": lambda a, b: F.regexp_like(a, b),
-    "json_extract_scalar": lambda a, b: F.call_function("get_json_object", a, b),
-    "contains": lambda a, b: F.array_contains(a, b),
-    "map": lambda k, v: F.map_from_arrays(k, v),
-    "reduce": lambda a, init, step, *end: F.aggregate(a, init, step, *end),
-    "to_utf8": lambda a: F.encode(a, "UTF-8"),
-    "from_utf8": lambda a: F.decode(a, "UTF-8"),
-    "sha256": lambda a: F.unhex(F.sha2(a, 256)),
-    "is_nan": lambda a: F.isnan(a),
-    "truncate": lambda a: F.when(a < 0, F.ceil(a)).otherwise(F.floor(a)),
-    "date_diff": lambda a, b: F.date_diff(a, b),
-    "day_of_week": lambda a: F.weekday(a) + 1,
-    "day_of_year": lambda a: F.dayofyear(a),
-    "arbitrary": lambda a: F.any_value(a),
-}
-
 #: Aggregates whose name differs from Spark's.
 AGGREGATES: dict[str, str] = {
     "arbitrary": "any_value",
@@ -136,15 +109,33 @@ AGGREGATES: dict[str, str] = {
 }
 
 
+#: Operators that give NULL where the plain one raises.
+_SAFE = {"add": "try_add", "plus": "try_add", "subtract": "try_subtract", "minus": "try_subtract", "multiply": "try_multiply", "modulus": "try_mod", "mod": "try_mod", "subscript": "try_element_at"}
+
+
+def attempt(df: DataFrame, name: str, *args: Column | str) -> Column:
+    """``try`` around one function or operator: NULL where it would raise."""
+    name = normalise(name)
+    cols = [F.expr(a) if isinstance(a, str) else a for a in args]
+    if name == "divide":
+        return F.when(cols[1] != 0, call(df, name, cols[0], F.nullif(cols[1], F.lit(0))))
+    return F.call_function(_SAFE.get(name, f"try_{name}"), *cols)
+
+
 def call(df: DataFrame, name: str, *args: Column | str) -> Column:
-    """A function or operator by name over columns (or SQL text) of ``df``."""
+    """A function or operator by name over columns (or SQL text) of ``df``.
+
+    ``try`` takes the name of another one and its arguments.
+    """
     name = normalise(name)
+    if name == "try":
+        return attempt(df, *args)
     cols = [F.expr(a) if isinstance(a, str) else a for a in args]
     if name in OPERATORS:
         kinds = [f.dataType for f in df.select(*[c.alias(f"_{i}") for i, c in enumerate(cols)]).schema.fields] if name == "divide" else []
         return OPERATORS[name](kinds, *cols)
     if name in SCALARS:
         return SCALARS[name](*cols)
-    if name == "geometric_mean":
-        return F.exp(F.avg(F.ln(cols[0])))
+    if name in COLLECTED:
+        return COLLECTED[name](None, *cols)
     return F.call_function(AGGREGATES.get(name, name), *cols)

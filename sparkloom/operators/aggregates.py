@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import NotSupported
+from ..functions.collected import COLLECTED
 from ..functions.registry import AGGREGATES, normalise
 from .ordering import Keys, comparator
 
@@ -34,8 +36,10 @@ class Agg:
         if self.order_by:
             return self._ordered(name, where)
         args = ", ".join(self.args) or ("*" if name == "count" else "")
-        if name == "geometric_mean":
-            return F.expr(f"exp(avg({'DISTINCT ' * self.distinct}ln({args})){where})")
+        if name in COLLECTED and not (name in ("min", "max") and len(self.args) == 1):
+            if self.distinct:
+                raise NotSupported(f"{name} of distinct values")
+            return COLLECTED[name](F.expr(" AND ".join(conditions)) if conditions else None, *map(F.expr, self.args))
         return F.expr(f"{AGGREGATES.get(name, name)}({'DISTINCT ' * self.distinct}{args}){where}")
 
     def _ordered(self, name: str, where: str) -> Column:

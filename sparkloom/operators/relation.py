@@ -4,6 +4,7 @@ operation; Catalyst chooses how it runs."""
 from __future__ import annotations
 
 import pickle
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,9 +34,10 @@ def _expr(e: str | Column) -> Column:
 
 
 class Relation:
-    def __init__(self, df: DataFrame, known_bytes: int | None = None):
-        """``known_bytes``: a bound of the size, where Spark has no estimate."""
-        self.df, self.known_bytes = df, known_bytes
+    def __init__(self, df: DataFrame, known_bytes: int | None = None, marks: dict[str, list[str]] | None = None):
+        """``known_bytes``: a bound of the size, where Spark has no estimate.
+        ``marks``: which columns a marker of distinct rows is about."""
+        self.df, self.known_bytes, self.marks = df, known_bytes, marks or {}
 
     # sources
 
@@ -113,11 +115,20 @@ class Relation:
         """
         if pre_grouped and not set(pre_grouped) <= set(keys):
             raise ValueError("pre-grouped symbols must be grouping keys")
-        cols = aggregate_columns(aggs or {})
+        cols = aggregate_columns({out: self._unmasked(a, keys) for out, a in (aggs or {}).items()})
         if not cols:
             return Relation(self.df.select(*keys).distinct())
         return Relation(self.df.groupBy(*keys).agg(*cols) if keys else self.df.agg(*cols))
 
+    def _unmasked(self, agg: Agg | str, keys: list[str]) -> Agg | str:
+        """Over the first row of each (keys, argument) is over the distinct
+        arguments of the keys: no row need be marked, and counts are combined."""
+        if isinstance(agg, str) or agg.mask not in self.marks or agg.filter or agg.order_by or len(agg.args) != 1:
+            return agg
+        if set(self.marks[agg.mask]) != {*keys, *agg.args}:
+            return agg
+        return replace(agg, mask=None, distinct=True)
+
     def group_id(self, sets: list[list[str]], columns: dict[str, str], arguments: list[str], group_id: str) -> Relation:
         """Each row once per grouping set, in one pass and without a shuffle:
         grouping columns (output to input) that the set lacks are NULL;
@@ -135,7 +146,11 @@ class Relation:
         cols = aggregate_columns(aggs)
         parts = []
         some = [(i, s) for i, s in enumerate(sets) if s]
-        if some:
+        if some and len({frozenset(s) for _, s in some}) == len(some) and not set(keys) & set(aggs):
+            grouped = self.df.groupingSets([[F.col(k) for k in s] for _, s in some], *keys).agg(*cols, F.grouping_id(*keys).alias("_mask"))
+            masks = [F.lit(x) for i, s in some for x in (sum(1 << (len(keys) - 1 - j) for j, k in enumerate(keys) if k not in s), i)]
+            parts.append(grouped.select(*keys, F.element_at(F.create_map(*masks), F.col("_mask").cast("int")).cast("long").alias(gid), *aggs))
+        elif some:  # a set that comes twice counts twice: rows are expanded by ordinals
             hidden = {k: f"_key_{k}" for k in keys}
             df = self.df.withColumns({h: F.col(k) for k, h in hidden.items()})
             versions = F.array(*[F.struct(F.lit(i).cast("long").alias("g"), *[(F.col(hidden[k]) if k in s else F.lit(None).cast(self.df.schema[k].dataType)).alias(k) for k in keys]) for i, s in some])
@@ -159,9 +174,34 @@ class Relation:
         return self.grouping_sets(sets, aggs, group_id)
 
     def mark_distinct(self, marker: str, columns: list[str]) -> Relation:
-        """A boolean column that is true for one row of each combination of values."""
+        """A boolean column that is true for one row of each combination of values.
+
+        An aggregate over it becomes one of DISTINCT values where it is the
+        same; the column itself, where it is used, takes a sort by the values.
+        """
         w = Window.partitionBy(*columns).orderBy(F.lit(1))
-        return Relation(self.df.withColumn(marker, F.row_number().over(w) == 1))
+        return Relation(self.df.withColumn(marker, F.row_number().over(w) == 1), marks={**self.marks, marker: columns})
+
+    # windows
+
+    def window(self, functions: dict[str, str | Column], partition_by: list[str], order_by: Keys | None = None, frame: tuple[str, object, object] | None = None) -> Relation:
+        """Window functions (SQL text or columns) as more columns. ``frame`` is
+        ``rows`` or ``range`` with two ends: None is unbounded, 0 the current row."""
+        w = Window.partitionBy(*partition_by)
+        if order_by:
+            w = w.orderBy(*sort_columns(order_by))
+        if frame:
+            kind, low, high = frame
+            if kind not in ("rows", "range"):
+                raise NotSupported(f"frames are of rows or range, not {kind!r}")
+            ends = Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high
+            w = w.rowsBetween(*ends) if kind == "rows" else w.rangeBetween(*ends)
+        return Relation(self.df.withColumns({out: _expr(f).over(w) for out, f in functions.items()}))
+
+    def top_n_per_group(self, count: int, partition_by: list[str], order_by: Keys, rank: str, ties: bool = False) -> Relation:
+        """The first rows of each group and their rank; groups are cut before the shuffle."""
+        rows = self.window({rank: "rank()" if ties else "row_number()"}, partition_by, order_by)
+        return Relation(rows.df.filter(F.col(rank) <= _rows(count)).withColumn(rank, F.col(rank).cast("long")))
 
     # order and limits
 
@@ -203,16 +243,24 @@ class Relation:
 
     # joins
 
-    def join(self, other: Relation, how: str, criteria: list[tuple[str, str]], residual: str | Column | None = None, left_output: list[str] | None = None, right_output: list[str] | None = None, distribution: str | None = None) -> Relation:
+    def join(self, other: Relation, how: str, criteria: list[tuple[str, str]], residual: str | Column | None = None, left_output: list[str] | None = None, right_output: list[str] | None = None, distribution: str | None = None, skip_duplicates: bool = False) -> Relation:
         """Equi-join with an optional residual condition, which belongs to the
         join (an outer row whose partners all fail it is kept).
 
+        With ``skip_duplicates`` the reader does not mind how often a row comes:
+        an inner join that gives columns of one side only is a semi join then.
+
         Without criteria and residual an inner join is a cross join.
         ``distribution`` REPLICATED hints a broadcast of the right side as long
         as that is ``small``, PARTITIONED a shuffle; None leaves it to statistics.
         """
         if how not in _JOINS:
             raise ValueError(f"join types are {list(_JOINS)}, not {how!r}")
+        if skip_duplicates and how == "inner" and (criteria or residual is not None):
+            if right_output == []:
+                how = "semi"
+            elif left_output == [] and residual is None:
+                return other.join(self, "semi", [(b, a) for a, b in criteria], None, right_output, distribution=distribution)
         left, right = self.df.alias("l"), other.df.alias("r")
         if distribution == "REPLICATED":
             right = right.hint("broadcast" if other.small() else "merge")
@@ -239,6 +287,54 @@ class Relation:
     def merge_join(self, other: Relation, how: str, criteria: list[tuple[str, str]], **more) -> Relation:
         return self.join(other, how, criteria, distribution="MERGE", **more)
 
+    def range_join(self, other: Relation, point: str, low: str, high: str, width: float, residual: str | Column | None = None, left_output: list[str] | None = None, right_output: list[str] | None = None) -> Relation:
+        """Inner join where a number of the left lies between two of the right,
+        both included. Numbers are cut into bins of ``width``; a right row goes
+        to every bin that it reaches into, so choose a width near their length.
+        """
+        bins = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+        left = Relation(self.df.withColumn("_bin", bins(point)))
+        right = Relation(other.df.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(bins(low), bins(high)))))
+        inside = F.col(f"l.`{point}`").between(F.col(f"r.`{low}`"), F.col(f"r.`{high}`"))
+        on = inside if residual is None else inside & _expr(residual)
+        return left.join(right, "inner", [("_bin", "_bin")], on, self.df.columns if left_output is None else left_output, other.df.columns if right_output is None else right_output)
+
+    def asof_join(self, other: Relation, time: str, other_time: str, keys: list[tuple[str, str]], right_output: list[str], bucket: str | None = None) -> Relation:
+        """Each row with the last row of the right, of equal keys, at or before
+        its time; NULLs if there is none. Of right rows at one time the one with
+        the largest output columns counts.
+
+        Both sides are sorted together by key and time. ``bucket`` is SQL text
+        over ``_time`` that grows with it (say, its day): a key's rows are then
+        dealt by bucket, with the last row of the buckets before carried on.
+        """
+        names = [f"_k{i}" for i in range(len(keys))]
+        left = self.df.select(*[F.col(a).alias(n) for n, (a, _) in zip(names, keys)], F.col(time).alias("_time"), F.lit(1).alias("_side"), F.struct(*self.df.columns).alias("_row"), F.lit(None).alias("_right"))
+        right = other.df.where(F.col(other_time).isNotNull()).select(*[F.col(b).alias(n) for n, (_, b) in zip(names, keys)], F.col(other_time).alias("_time"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(*right_output).alias("_right"))
+        rows = left.unionAll(right)
+        order = [F.col("_time").asc_nulls_first(), F.col("_side").asc(), F.col("_right").asc()]
+        before = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last("_right", ignorenulls=True)
+        if bucket is None:
+            rows = rows.withColumn("_last", last.over(before))
+        else:
+            rows = rows.withColumn("_bucket", F.expr(bucket))
+            ends = rows.where("_side = 0").groupBy(*names, "_bucket").agg(F.max(F.struct("_time", "_right"))["_right"].alias("_end"))
+            spans = rows.select(*names, "_bucket").distinct().join(ends.select(*[F.col(n).alias(f"e{n}") for n in names], F.col("_bucket").alias("_b"), "_end"), [*[F.col(n).eqNullSafe(F.col(f"e{n}")) for n in names], F.col("_bucket").eqNullSafe(F.col("_b"))], "left")
+            carried = spans.withColumn("_carry", last_before(names)).select(*[F.col(n).alias(f"e{n}") for n in names], F.col("_bucket").alias("_b"), "_carry")
+            own = Window.partitionBy(*names, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            rows = rows.withColumn("_last", last.over(own))
+            rows = rows.join(carried, [*[F.col(n).eqNullSafe(F.col(f"e{n}")) for n in names], F.col("_bucket").eqNullSafe(F.col("_b"))], "left").withColumn("_last", F.coalesce("_last", "_carry"))
+        known = F.lit(True)
+        for n in names:
+            known = known & F.col(n).isNotNull()
+        found = rows.where("_side = 1").withColumn("_last", F.when(known & F.col("_time").isNotNull(), F.col("_last")))
+        return Relation(found.select("_row.*", *[F.col(f"_last.`{c}`").alias(c) for c in right_output]))
+
+    def sample(self, share: float, seed: int) -> Relation:
+        """A sampling operator: each row with the given probability."""
+        return Relation(self.df.sample(False, share, seed))
+
     # sets
 
     def union_all(self, *others: Relation, inputs: list[list[str]] | None = None, outputs: list[str] | None = None) -> Relation:
@@ -264,12 +360,44 @@ class Relation:
     # exchanges
 
     def gather(self) -> Relation:
-        return Relation(self.df.coalesce(1))
+        """All rows in one partition; what comes before stays in as many tasks as it was."""
+        return Relation(self.df.repartition(1))
 
-    def hash_partition(self, keys: list[str | Column], partitions: int | None = None) -> Relation:
-        """By columns and constants."""
+    def hash_partition(self, keys: list[str | Column], partitions: int | None = None, replicate_nulls_and_any: bool = False, bucket_to_partition: list[int] | None = None) -> Relation:
+        """By columns and constants.
+
+        ``bucket_to_partition`` says which partition each bucket goes to (one
+        bucket per entry). With ``replicate_nulls_and_any`` rows with a NULL key
+        go to every partition, as does one other row: a reader of one partition
+        then knows whether there are any rows, and any NULLs.
+        """
         cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-        return Relation(self.df.repartition(partitions, *cols) if partitions else self.df.repartition(*cols))
+        if not replicate_nulls_and_any and bucket_to_partition is None:
+            return Relation(self.df.repartition(partitions, *cols) if partitions else self.df.repartition(*cols))
+        buckets = len(bucket_to_partition) if bucket_to_partition else partitions
+        if not buckets:
+            raise ValueError("the number of partitions must be given")
+        count = max(bucket_to_partition) + 1 if bucket_to_partition else buckets
+        number = F.pmod(F.hash(*cols), F.lit(buckets))
+        if bucket_to_partition:
+            number = F.get(F.array(*[F.lit(i) for i in bucket_to_partition]), number)
+        rows = self.df
+        if replicate_nulls_and_any:
+            null = F.lit(False)
+            for c in cols:
+                null = null | c.isNull()
+            everywhere = F.sequence(F.lit(0), F.lit(count - 1))
+            kept = rows.select("*", F.explode(F.when(null, everywhere).otherwise(F.array(number))).alias("_partition"))
+            one = rows.where(~null).limit(1)
+            others = one.select("*", F.explode(F.filter(everywhere, lambda i: i != number)).alias("_partition"))
+            rows = kept.unionAll(others)
+        else:
+            rows = rows.withColumn("_partition", number)
+        return Relation(rows.repartitionById(count, F.col("_partition")).drop("_partition"))
+
+    def bucket_partition(self, columns: list[str], buckets: int) -> Relation:
+        """As bucketed tables are: partition i has the rows of bucket i."""
+        return self.hash_partition(columns, buckets, bucket_to_partition=list(range(buckets)))
 
     def round_robin(self, partitions: int) -> Relation:
         return Relation(self.df.repartition(partitions))
@@ -292,8 +420,20 @@ class Relation:
         """Partitions of an even size, as many as the data needs (for writers)."""
         return Relation(self.df.hint("rebalance", *keys))
 
-    def cached(self) -> Relation:
-        return Relation(self.df.persist(StorageLevel.MEMORY_AND_DISK))
+    def cached(self, disk: bool = True) -> Relation:
+        """Kept by the executors once read, in memory and, if asked, on disk."""
+        return Relation(self.df.persist(StorageLevel.MEMORY_AND_DISK if disk else StorageLevel.MEMORY_ONLY), self.known_bytes, self.marks)
+
+    def released(self) -> Relation:
+        """No longer kept."""
+        self.df.unpersist()
+        return self
+
+
+def last_before(names: list[str]) -> Column:
+    """The last known end of the buckets before this one."""
+    w = Window.partitionBy(*names).orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last("_end", ignorenulls=True).over(w)
 
 
 def _item_type(df: DataFrame, column: Column) -> T.DataType:

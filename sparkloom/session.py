@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -41,3 +44,19 @@ def apply_session_properties(spark: SparkSession, properties: dict[str, str], ti
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name where all executors can read and write: under
+    ``spark.checkpoint.dir``, on the session's default file system where that
+    names none. A session on one machine may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        root = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    if "://" not in root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{root}/sparkloom-{label}-{uuid.uuid4().hex}"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .readers import plain_uri
+
 
 def require_not_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fails on the first NULL in one of the columns."""
@@ -47,22 +49,111 @@ def write_files(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     (writer.partitionBy(*partitioned_by) if partitioned_by else writer).save(path)
 
 
-def write_with_result(df: DataFrame, path: str, format: str = "parquet", not_null: list[str] | None = None, **more) -> DataFrame:
-    """Writes and returns what a writer reports: fragment (file) and its row count."""
-    write_files(require_not_null(df, not_null or []), path, format, **more)
-    back = df.sparkSession.read.format(format).schema(df.schema).load(path)
-    return back.groupBy(F.col("_metadata.file_name").alias("fragment")).agg(F.count(F.lit(1)).alias("rows"))
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _rename(fs, source, target) -> bool:
+    return fs.rename(source, target)
+
+
+def _files(fs, folder) -> list[tuple[str, object]]:
+    """Data files below a folder: their path within it, and as they are."""
+    out, found, root = [], fs.listFiles(folder, True), fs.makeQualified(folder).toString()
+    while found.hasNext():
+        path = found.next().getPath()
+        if not path.getName().startswith(("_", ".")):
+            out.append((path.toString()[len(root) :].lstrip("/"), path))
+    return sorted(out, key=lambda f: f[0])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files below a folder."""
+    fs, at = _fs(spark, path)
+    return [f.toString() for _, f in _files(fs, at)]
+
+
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows that are counted (``rows``) as they are written, without another pass."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def write_with_result(df: DataFrame, path: str, format: str = "parquet", not_null: list[str] | None = None, mode: str = "error", partitioned_by: list[str] | None = None, **more) -> DataFrame:
+    """Writes and returns what a writer reports: each file of this write
+    (``fragment``) and its row count; one row of no fragment for an empty write.
+
+    Files are written to a staging folder, counted there (by their footers,
+    where the format has any) and then moved: an append reports its own rows.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fs, target = _fs(spark, path)
+    if mode not in ("error", "append", "overwrite"):
+        raise ValueError(f"unknown write mode {mode!r}")
+    if mode == "error" and fs.exists(target):
+        raise FileExistsError(path)
+    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    here = _fs(spark, stage)[1]
+    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    try:
+        write_files(require_not_null(df, not_null or []), stage, format, partitioned_by=partitioned_by, **more)
+        schema = T.StructType([f for f in df.schema.fields if f.name not in (partitioned_by or [])])
+        names = _files(fs, here)
+        rows: dict[str, int] = {}
+        if names:
+            back = spark.read.format(format).schema(schema).option("recursiveFileLookup", True).load(stage)
+            rows = dict(map(tuple, back.groupBy(plain_uri(F.col("_metadata.file_path"))).agg(F.count(F.lit(1))).collect()))
+        if mode == "overwrite" or not fs.exists(target):
+            _swap(spark, path, stage)
+        else:
+            moved = []
+            for name, file in names:
+                to = Path(f"{path}/{name}")
+                if not fs.mkdirs(to.getParent()) or not _rename(fs, file, to) or not fs.exists(to):
+                    for done in moved:
+                        fs.delete(done, False)
+                    raise OSError(f"{name} could not be moved to {path}, which is as it was")
+                moved.append(to)
+    finally:
+        fs.delete(here, True)
+    spark.catalog.refreshByPath(path)
+    done = [(name, rows.get(plain_uri(file.toUri().toString()), 0)) for name, file in names]
+    return spark.createDataFrame([r for r in done if r[1]] or [(None, 0)], "fragment string, rows long")
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back a table that a driver lost between the two steps of a swap."""
+    fs, target = _fs(spark, path.rstrip("/"))
+    old = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-*")) or []
+    return not fs.exists(target) and len(old) == 1 and _rename(fs, old[0].getPath(), target)
 
 
 def _swap(spark: SparkSession, path: str, fresh: str) -> None:
-    """Puts a written folder in the place of another one."""
-    jvm = spark._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    fs.rename(target, old)
-    fs.rename(source, target)
-    fs.delete(old, True)
+    """Puts a written folder in the place of another one, if there is one.
+
+    The old folder is set aside first and goes only once the new one is in its
+    place; where that fails it is put back and OSError is raised.
+    """
+    fs, target = _fs(spark, path)
+    source, old = _fs(spark, fresh)[1], _fs(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+    if not fs.exists(source):
+        raise OSError(f"{fresh} was not written")
+    had = fs.exists(target)
+    if had and (not _rename(fs, target, old) or fs.exists(target)):
+        raise OSError(f"{path} could not be set aside and is as it was")
+    if not _rename(fs, source, target) or not fs.exists(target):
+        if had and not _rename(fs, old, target):
+            raise OSError(f"{path} could not be replaced; its rows are in {old.toString()}, new ones in {fresh}")
+        raise OSError(f"{path} could not be replaced and is as it was; new rows are in {fresh}")
+    if had:
+        fs.delete(old, True)
 
 
 def _rewrite(spark: SparkSession, path: str, format: str, df: DataFrame, partitioned_by: list[str] | None) -> None:
@@ -94,15 +185,7 @@ def optimize(spark: SparkSession, path: str, format: str = "parquet", partitione
 
 def refresh_view(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Replaces the stored rows of a derived table."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write_files(df, fresh, format)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        _swap(spark, path.rstrip("/"), fresh)
-    else:
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
+    _rewrite(df.sparkSession, path, format, df, None)
 
 
 STATISTICS = ("min", "max", "ndv", "ndv_summary", "non_null", "true_count", "max_size", "total_size")

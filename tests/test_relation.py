@@ -182,3 +182,49 @@ def test_broadcasts_are_bounded(spark):
     plan = lambda r: little.join(r, "inner", [("k", "k")], distribution="REPLICATED").df._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(little) and "strategy=broadcast" not in plan(large) and "strategy=merge" in plan(large)
     assert large.replicate() is large
+
+
+def test_masks_over_first_rows_become_distinct(spark):
+    """The marker is never sorted for where the aggregate is one of distinct values."""
+    df = spark.range(1000).selectExpr("id % 3 as g", "id % 7 as v")
+    marked = Relation(df).mark_distinct("first", ["g", "v"])
+    out = marked.aggregate(["g"], {"n": Agg("count", ["v"], mask="first"), "s": Agg("sum", ["v"], mask="first")}).df
+    assert {tuple(r) for r in out.collect()} == {(g, 7, 21) for g in range(3)} and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    plain = marked.aggregate([], {"n": Agg("count", ["v"], mask="first")}).df  # other keys: the marker itself
+    assert plain.first()[0] == 21
+
+
+def test_grouping_sets_are_expanded_by_spark(spark):
+    df = spark.range(100).selectExpr("id % 2 as a", "id % 5 as b")
+    out = Relation(df).grouping_sets([["a", "b"], ["a"], ["b"]], {"n": "count(1)"}, "g").df
+    assert "Expand" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.g, r.n) for r in out.collect()} == {(0, 10), (1, 50), (2, 20)}
+
+
+def test_gather_keeps_tasks_before_it(spark):
+    plan = Relation(spark.range(100).repartition(3)).gather().df._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "SinglePartition" in plan
+
+
+def test_skipped_duplicates_are_semi_joins(spark):
+    a, b = Relation(spark.range(5).withColumnRenamed("id", "x")), Relation(spark.range(10).selectExpr("id % 3 as y"))
+    semi = a.join(b, "inner", [("x", "y")], None, ["x"], [], skip_duplicates=True)
+    assert sorted(r.x for r in semi.df.collect()) == [0, 1, 2] and "LeftSemi" in semi.df._jdf.queryExecution().optimizedPlan().toString()
+    other = a.join(b, "inner", [("x", "y")], None, [], ["y"], skip_duplicates=True)
+    assert sorted(r.y for r in other.df.collect()) == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
+    assert a.join(b, "inner", [("x", "y")], None, ["x"], []).df.count() == 10
+
+
+def test_partitions_are_pruned_by_the_other_side(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 10 as p").write.partitionBy("p").parquet(f"{tmp_path}/p")
+    few = Relation(spark.range(10).selectExpr("id as k", "id * 2 as w")).filter("w = 8")
+    out = Relation(spark.read.parquet(f"{tmp_path}/p")).join(few, "inner", [("p", "k")], None, ["id"], [])
+    assert out.df.count() == 100 and "dynamicpruning" in out.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_asof_join_edges(spark):
+    left = Relation(spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (2, 7, "c"), (None, 7, "d"), (1, None, "e")], "k int, t int, x string"))
+    right = Relation(spark.createDataFrame([(1, 5, "r5"), (1, 5, "s5"), (1, 9, "r9"), (2, 8, "late"), (None, 1, "n"), (1, None, "m")], "k int, t int, y string"))
+    for bucket in (None, "floor(_time / 3)"):
+        got = {r.x: r.y for r in left.asof_join(right, "t", "t", [("k", "k")], ["y"], bucket).df.collect()}
+        assert got == {"a": "r9", "b": "s5", "c": None, "d": None, "e": None}

@@ -87,6 +87,77 @@ def test_rewrites(spark, df, tmp_path):
     assert report.agg(F.sum("rows")).first()[0] == 4
 
 
+@pytest.mark.parametrize("broken", [1, 2])
+def test_failing_renames_lose_nothing(spark, df, tmp_path, monkeypatch, broken):
+    path, calls, plain = f"{tmp_path}/t", [], sinks._rename
+    sinks.write_files(df, path)
+
+    def rename(fs, a, b):
+        calls.append(1)
+        return False if len(calls) == broken else plain(fs, a, b)
+
+    monkeypatch.setattr(sinks, "_rename", rename)
+    for change in (lambda: sinks.delete_rows(spark, path, "k = 1"), lambda: sinks.update_rows(spark, path, "k = 1", {"v": "9"}), lambda: sinks.optimize(spark, path), lambda: sinks.refresh_view(df.limit(1), path)):
+        calls.clear()
+        with pytest.raises(OSError, match="as it was"):
+            change()
+        assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == sorted(ROWS, key=str)
+        assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+
+
+def test_half_done_swap_is_recovered(spark, df, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.write_files(df, path)
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    assert sinks.recover(spark, path) and spark.read.parquet(path).count() == 4 and not sinks.recover(spark, path)
+
+
+def test_failing_append_leaves_the_table(spark, df, tmp_path, monkeypatch):
+    path, plain = f"{tmp_path}/t", sinks._rename
+    sinks.write_files(df, path)
+    calls = []
+    monkeypatch.setattr(sinks, "_rename", lambda fs, a, b: calls.append(1) or (len(calls) < 2 and plain(fs, a, b)))
+    with pytest.raises(OSError, match="as it was"):
+        sinks.write_with_result(df.repartition(2), path, mode="append")
+    assert spark.read.parquet(path).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_writer_reports_its_own_rows(spark, df, tmp_path):
+    path = f"{tmp_path}/t"
+    told = lambda rows, **m: [(r.fragment is not None, r.rows) for r in sinks.write_with_result(rows, path, **m).collect()]
+    first = told(df)
+    assert sum(n for _, n in first) == 4 and all(named and n for named, n in first)
+    assert sum(r.rows for r in sinks.write_with_result(df.limit(3), path, mode="append").collect()) == 3
+    assert told(df.limit(0), mode="append") == [(False, 0)] and spark.read.parquet(path).count() == 7
+    with pytest.raises(FileExistsError):
+        sinks.write_with_result(df, path)
+    assert sum(r.rows for r in sinks.write_with_result(df, path, mode="overwrite", partitioned_by=["k"]).collect()) == 4 and spark.read.parquet(path).count() == 4
+
+
+def test_one_read_for_all_splits(spark, df, tmp_path):
+    for k in range(30):
+        sinks.write_files(df.limit(1), f"{tmp_path}/s{k}")
+    got = readers.read_splits(spark, [readers.Split(f"{tmp_path}/s{k}", {"p": str(k)}) for k in range(30)], "PARQUET", df.schema, {"p": T.IntegerType()})
+    assert sorted(r.p for r in got.collect()) == list(range(30))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    with pytest.raises(Exception, match="another bucket"):
+        readers.read_splits(spark, [readers.Split(f"{tmp_path}/s1", bucket=3)], "PARQUET", df.schema, {}).collect()
+    with pytest.raises(NotSupported):
+        readers.Catalog("c", {"connector.name": "tpch"})
+
+
+def test_shared_folder(spark, monkeypatch):
+    from sparkloom.session import shared_folder
+
+    class Cluster:
+        conf = type("Conf", (), {"get": lambda _, key, default=None: default})()
+        sparkContext = type("Context", (), {"master": "yarn"})()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Cluster(), "x")
+    assert shared_folder(spark, "x").startswith("file:/")
+
+
 def test_statistics(df):
     s = sinks.column_statistics(df.withColumn("flag", F.col("k") > 2)).first().asDict()
     assert s["rows"] == 4 and s["k$min"] == 1 and s["k$max"] == 4 and s["k$ndv"] == 4 and s["s$non_null"] == 3 and s["s$max_size"] == 1 and s["s$total_size"] == 2 and s["flag$true_count"] == 2 and s["k$ndv_summary"] is not None
@@ -114,8 +185,18 @@ def test_declared_plans(spark, df, tmp_path):
     assert run({"@type": ".DistinctLimitNode", "source": union, "limit": 9, "distinctSymbols": ["y"]}).__len__() == 2
     write = {"@type": "tableWriter", "source": values, "columns": ["x"], "columnNames": ["id"], "notNullColumnSymbols": ["x"], "target": {"path": f"{tmp_path}/out"}, "rowCountSymbol": "rows", "fragmentSymbol": "fragment"}
     assert sum(r[0] for r in run(write)) == 2 and spark.read.parquet(f"{tmp_path}/out").columns == ["id"]
+    steps = {"@type": ".AggregationNode", "source": scan, "groupingSets": [["b"]], "aggregations": {"n": {"function": "count"}}}
+    with pytest.raises(NotSupported, match="partial"):
+        run({**steps, "step": "FINAL", "aggregations": {"m": {"function": "count", "arguments": ["n"]}}})
+    with pytest.raises(ValueError):
+        run({**steps, "step": "HALF"})
+    with pytest.raises(NotSupported):
+        run({"@type": "remoteSource", "sourceFragmentIds": ["1"], "exchangeType": "SPOOLING"}, fragments={"1": values})
+    for bad in ({"@type": "special", "form": "MAYBE", "arguments": []}, {"@type": "guess"}):
+        with pytest.raises(NotSupported):
+            run({"@type": "filter", "source": scan, "predicate": bad})
     with pytest.raises(NotSupported):
-        run({"@type": "window"})
+        run({"@type": "patternRecognition"})
     with pytest.raises(ValueError):
         run({**join, "type": "SIDEWAYS"})
 

@@ -80,7 +80,8 @@ def test_legacy_timestamps(spark):
 
 def test_units():
     assert parse_size("1.5kB") == 1536 and parse_size("2 GB") == 2 << 30 and parse_duration("1.5m") == 90 and abs(parse_duration("3ns") - 3e-9) < 1e-18
-    for bad in ("5", "5 XB", "-1s"):
+    assert parse_duration(" 250 ms ") == 0.25 and parse_size("10B") == 10
+    for bad in ("5", "5 XB", "-1s", "1_0 s", "nan s", "", "kB"):
         with pytest.raises(ValueError):
             parse_size(bad)
 
