@@ -69,12 +69,12 @@ def _lists(spark):
     return spark.createDataFrame([(1, [3, 1, 3, 2]), (2, [5]), (3, [])], "id int, l array<int>")
 
 
-@query(f"select id, list_sort(l) as so, list_reverse_sort(l) as sd, list_sort(list_distinct(l)) as di, list_contains(l, 3) as co, cast(coalesce(list_position(l, 3), 0) as bigint) as po, cast(coalesce(list_sum(l), 0) as bigint) as su, list_avg(l) as av, list_concat(l, [9]) as ca, l[1:2] as sl, list_reverse(l) as re, list_filter(l, lambda x: x <> 3) as rm, list_transform(l, lambda x: x * 2) as tr, list_filter(l, lambda x: x > 1) as fi, array_to_string(l, '-') as jo, len(list_filter(l, lambda x: x > 4)) > 0 as an, len(list_filter(l, lambda x: x > 0)) = len(l) as al, len(list_filter(l, lambda x: x > 9)) = 0 as no, list_has_any(l, [1, 5]) as ov, list_sort(list_intersect(l, [1, 2, 3, 9])) as it, [id, id, id] as rp, case id when 1 then [3] else cast([] as integer[]) end as du, case id when 1 then [[3, 1], [1, 3], [3, 2]] else [l] end as ng, generate_series(1, id) as se, flatten([l, l]) as fl, cast(len(l) as integer) as ca2, list_first(list_filter(l, lambda x: x < 3)) as ff, case id when 1 then [3, 1, 3] else [] end as ta from {_LISTS_SQL}")
+@query(f"select id, list_sort(l) as so, list_reverse_sort(l) as sd, list_sort(list_distinct(l)) as di, list_contains(l, 3) as co, cast(coalesce(list_position(l, 3), 0) as bigint) as po, cast(coalesce(list_sum(l), 0) as bigint) as su, list_avg(l) as av, list_concat(l, [9]) as ca, l[1:2] as sl, list_reverse(l) as re, list_filter(l, lambda x: x <> 3) as rm, list_transform(l, lambda x: x * 2) as tr, list_filter(l, lambda x: x > 1) as fi, array_to_string(l, '-') as jo, len(list_filter(l, lambda x: x > 4)) > 0 as an, len(list_filter(l, lambda x: x > 0)) = len(l) as al, len(list_filter(l, lambda x: x > 9)) = 0 as no, list_has_any(l, [1, 5]) as ov, list_sort(list_intersect(l, [1, 2, 3, 9])) as it, [id, id, id] as rp, case id when 1 then [3] else cast([] as integer[]) end as du, cast(to_json(case id when 1 then [[3, 1], [1, 3], [3, 2]] else [l] end) as varchar) as ng, generate_series(1, id) as se, flatten([l, l]) as fl, cast(len(l) as integer) as ca2, list_first(list_filter(l, lambda x: x < 3)) as ff, case id when 1 then [3, 1, 3] else [] end as ta from {_LISTS_SQL}")
 def array_dialect(spark, d):
     df = _lists(spark)
     f = _caller(df)
     ints = lambda c: c.cast("array<int>")
-    return df.select("id", f("array_sort", "l").alias("so"), f("array_sort_desc", "l").alias("sd"), f("array_sort", f("array_distinct", "l")).alias("di"), f("contains", "l", "3").alias("co"), f("array_position", "l", "3").alias("po"), f("array_sum", "l").alias("su"), f("array_average", "l").alias("av"), f("concat", "l", "array(9)").alias("ca"), f("slice", "l", "1", "2").alias("sl"), f("reverse", "l").alias("re"), f("array_remove", "l", "3").alias("rm"), F.transform("l", lambda x: x * 2).alias("tr"), F.filter("l", lambda x: x > 1).alias("fi"), f("array_join", "l", "'-'").alias("jo"), call(df, "any_match", "l", lambda x: x > 4).alias("an"), call(df, "all_match", "l", lambda x: x > 0).alias("al"), call(df, "none_match", "l", lambda x: x > 9).alias("no"), f("arrays_overlap", "l", "array(1, 5)").alias("ov"), f("array_sort", f("array_intersect", "l", "array(1, 2, 3, 9)")).alias("it"), f("repeat", "id", "3").alias("rp"), f("array_duplicates", "l").alias("du"), f("ngrams", "l", "2").alias("ng"), f("sequence", "1L", "cast(id as long)").alias("se"), f("flatten", "array(l, l)").alias("fl"), f("cardinality", "l").alias("ca2"), call(df, "find_first", "l", lambda x: x < 3).alias("ff"), ints(F.when(F.size("l") > 1, f("trim_array", "l", "1")).otherwise(F.array().cast("array<int>"))).alias("ta"))
+    return df.select("id", f("array_sort", "l").alias("so"), f("array_sort_desc", "l").alias("sd"), f("array_sort", f("array_distinct", "l")).alias("di"), f("contains", "l", "3").alias("co"), f("array_position", "l", "3").alias("po"), f("array_sum", "l").alias("su"), f("array_average", "l").alias("av"), f("concat", "l", "array(9)").alias("ca"), f("slice", "l", "1", "2").alias("sl"), f("reverse", "l").alias("re"), f("array_remove", "l", "3").alias("rm"), F.transform("l", lambda x: x * 2).alias("tr"), F.filter("l", lambda x: x > 1).alias("fi"), f("array_join", "l", "'-'").alias("jo"), call(df, "any_match", "l", lambda x: x > 4).alias("an"), call(df, "all_match", "l", lambda x: x > 0).alias("al"), call(df, "none_match", "l", lambda x: x > 9).alias("no"), f("arrays_overlap", "l", "array(1, 5)").alias("ov"), f("array_sort", f("array_intersect", "l", "array(1, 2, 3, 9)")).alias("it"), f("repeat", "id", "3").alias("rp"), f("array_duplicates", "l").alias("du"), F.to_json(f("ngrams", "l", "2")).alias("ng"), f("sequence", "1L", "cast(id as long)").alias("se"), f("flatten", "array(l, l)").alias("fl"), f("cardinality", "l").alias("ca2"), call(df, "find_first", "l", lambda x: x < 3).alias("ff"), ints(F.when(F.size("l") > 1, f("trim_array", "l", "1")).otherwise(F.array().cast("array<int>"))).alias("ta"))
 
 
 @query("select n_nationkey, map_keys(m) as ks, map_values(m) as vs, cast(cardinality(m) as bigint) as n, m['key'] as k, m['none'] as missing, map_entries(m)[1].value as first, map_values(map_concat(m, map {'z': 1})) as joined, n_nationkey > 5 as big, [n_nationkey * 2, n_regionkey * 2] as doubled, [n_regionkey] as subset, [n_nationkey + n_regionkey] as zipped, ['KEY', 'REGION'] as upper, [greatest(n_nationkey, n_regionkey)] as top from (select n_nationkey, n_regionkey, map {'key': n_nationkey, 'region': n_regionkey} as m from nation)")
@@ -84,7 +84,7 @@ def map_dialect(spark, d):
     return df.select("n_nationkey", f("map_keys", "m").alias("ks"), f("map_values", "m").alias("vs"), f("cardinality", "m").cast("long").alias("n"), f("element_at", "m", "'key'").alias("k"), f("element_at", "m", "'none'").alias("missing"), F.get(f("map_entries", "m"), F.lit(0))["value"].alias("first"), f("map_values", f("map_concat", "m", "map('z', 1)")).alias("joined"), (F.size(F.map_filter(m, lambda k, v: (k == "key") & (v > 5))) > 0).alias("big"), f("map_values", F.transform_values(m, lambda k, v: v * 2)).alias("doubled"), f("map_values", f("map_subset", "m", "array('region', 'q')")).alias("subset"), f("map_values", F.map_zip_with(f("map", "array('a')", "array(n_nationkey)"), f("map_from_entries", "array(struct('a', n_regionkey))"), lambda k, a, b: a + b)).alias("zipped"), f("map_keys", F.transform_keys(m, lambda k, v: F.upper(k))).alias("upper"), f("map_values", f("map_top_n", "m", "1")).alias("top"))
 
 
-@query("select event_id, props->>'$.k' as sc, props->'$.k' as ex, cast(json_array_length('[1, [2], {\"a\": 3}]') as integer) as al, cast('[1, [2], {\"a\": 3}]'->>'$[2].a' as bigint) as de, cast(1 as bigint) as si, '3' as ge, true as co, cast(props->>'$.k' as bigint) as va, '{\"a\":1,\"b\":[2]}' as fo, cast(props->>'$.k' as integer) as fr, ['a', 'b'] as ke, '{\"k\":' || cast(event_id as varchar) || '}' as tj from events")
+@query("select event_id, props->>'$.k' as sc, cast(props->'$.k' as varchar) as ex, cast(json_array_length('[1, [2], {\"a\": 3}]') as integer) as al, cast('[1, [2], {\"a\": 3}]'->>'$[2].a' as bigint) as de, cast(1 as bigint) as si, '3' as ge, true as co, cast(props->>'$.k' as bigint) as va, '{\"a\":1,\"b\":[2]}' as fo, cast(props->>'$.k' as integer) as fr, ['a', 'b'] as ke, '{\"k\":' || cast(event_id as varchar) || '}' as tj from events")
 def json_dialect(spark, d):
     df = rel(spark, d, "events").df
     f, text = _caller(df), F.lit('[1, [2], {"a": 3}]')
@@ -109,14 +109,14 @@ def literal_types(spark, d):
     return spark.range(1).select(*[literal(v, k).cast("string").alias(n) for n, v, k in kinds], nulls.alias("nothing"), literal("AB", "varbinary").cast("string").alias("bn"), (F.extract(F.lit("DAY"), span) * 86400 + F.extract(F.lit("HOUR"), span) * 3600 + F.extract(F.lit("MINUTE"), span) * 60 + F.extract(F.lit("SECOND"), span)).cast("int").alias("iv"))
 
 
-@query("select o_orderstatus, map_from_entries(list_sort(list(distinct {'k': o_orderpriority, 'v': length(o_orderpriority)}))) as ma, (select map_from_entries(list_sort(list({'k': o_orderpriority, 'v': n}))) from (select o_orderpriority, count(*) as n from orders i where i.o_orderstatus = o.o_orderstatus group by 1)) as hi, list_sort(list(distinct o_orderpriority)) as su, round(exp(avg(ln(o_totalprice))), 4) as gm, list_sort(list(o_custkey), 'DESC')[1:3] as t3, list_sort(list(o_custkey))[1:3] as b3, round(entropy_of, 6) as en, true as ck from orders o join (select o_orderstatus as st, log2(sum(n)) - sum(n * log2(n)) / sum(n) as entropy_of from (select o_orderstatus, cast(o_orderkey % 5 + 1 as double) as n from orders) group by 1) e on e.st = o.o_orderstatus group by o_orderstatus, entropy_of")
+@query("select o_orderstatus, list_sort(list(distinct o_orderpriority)) as mk, list_transform(list_sort(list(distinct o_orderpriority)), lambda x: cast(length(x) as integer)) as mv, (select list(n order by o_orderpriority) from (select o_orderpriority, count(*) as n from orders i where i.o_orderstatus = o.o_orderstatus group by 1)) as hv, list_sort(list(distinct o_orderpriority)) as su, round(exp(avg(ln(o_totalprice))), 4) as gm, list_sort(list(o_custkey), 'DESC')[1:3] as t3, list_sort(list(o_custkey))[1:3] as b3, round(entropy_of, 6) as en, true as ck from orders o join (select o_orderstatus as st, log2(sum(n)) - sum(n * log2(n)) / sum(n) as entropy_of from (select o_orderstatus, cast(o_orderkey % 5 + 1 as double) as n from orders) group by 1) e on e.st = o.o_orderstatus group by o_orderstatus, entropy_of")
 def agg_dialect(spark, d):
     rows = rel(spark, d, "orders")
     both = rows.df.withColumn("w", F.expr("cast(o_orderkey % 5 + 1 as double)"))
     out = Relation(both).aggregate(["o_orderstatus"], {"ma": Agg("map_agg", ["o_orderpriority", "length(o_orderpriority)"]), "hi": Agg("histogram", ["o_orderpriority"]), "su": Agg("set_union", ["array(o_orderpriority)"]), "gm": Agg("geometric_mean", ["o_totalprice"]), "t3": Agg("max", ["o_custkey", "3"]), "b3": Agg("min", ["o_custkey", "3"]), "en": Agg("entropy", ["w"]), "c1": Agg("checksum", ["o_orderkey"])})
     again = Relation(both.orderBy(F.desc("o_orderkey"))).aggregate(["o_orderstatus"], {"c2": Agg("checksum", ["o_orderkey"])})
     pairs = out.join(again, "inner", [("o_orderstatus", "o_orderstatus")], None, None, ["c2"])
-    return pairs.project({"o_orderstatus": "o_orderstatus", "ma": "ma", "hi": "transform_values(hi, (k, v) -> cast(v as bigint))", "su": "array_sort(su)", "gm": "round(gm, 4)", "t3": "t3", "b3": "b3", "en": "round(en, 6)", "ck": "c1 = c2 and octet_length(c1) = 8"}).df
+    return pairs.project({"o_orderstatus": "o_orderstatus", "mk": "map_keys(ma)", "mv": "map_values(ma)", "hv": "transform(map_values(hi), v -> cast(v as bigint))", "su": "array_sort(su)", "gm": "round(gm, 4)", "t3": "t3", "b3": "b3", "en": "round(en, 6)", "ck": "c1 = c2 and octet_length(c1) = 8"}).df
 
 
 @query("select n_regionkey, list_sort(list(n_name)) as names, cast(sum(n_nationkey) as double) as total, count(*) as kept from nation where n_nationkey > 2 group by 1")
@@ -127,7 +127,7 @@ def agg_maps(spark, d):
     return rows.project({"n_regionkey": "n_regionkey", "names": "array_sort(mm[n_regionkey])", "total": "ms[n_regionkey]", "kept": "cast(size(mu) as bigint)"}).df
 
 
-@query("select l_returnflag, round(stddev_pop(l_quantity), 6) as sp, round(var_samp(l_quantity), 6) as vs, round(covar_samp(l_quantity, l_tax), 6) as cs, round(regr_slope(l_extendedprice, l_quantity), 4) as rs, round(regr_intercept(l_extendedprice, l_quantity), 2) as ri, round(regr_r2(l_extendedprice, l_quantity), 6) as rr, regr_count(l_extendedprice, l_quantity) as rc, quantile_cont(l_quantity, 0.25) as q1, any_value(l_returnflag) as av, bool_and(l_quantity > 0) as ev, string_agg(distinct l_linestatus, ',' order by l_linestatus) as li, cast(mode(l_linenumber) as integer) as mo, round(kurtosis_pop(l_quantity), 4) as ku from lineitem group by 1")
+@query("select l_returnflag, round(stddev_pop(l_quantity), 6) as sp, round(var_samp(l_quantity), 6) as vs, round(covar_samp(l_quantity, l_tax), 6) as cs, round(regr_slope(l_extendedprice, l_quantity), 4) as rs, round(regr_intercept(l_extendedprice, l_quantity), 2) as ri, round(regr_r2(l_extendedprice, l_quantity), 6) as rr, cast(regr_count(l_extendedprice, l_quantity) as bigint) as rc, quantile_cont(l_quantity, 0.25) as q1, any_value(l_returnflag) as av, bool_and(l_quantity > 0) as ev, string_agg(distinct l_linestatus, ',' order by l_linestatus) as li, cast(mode(l_linenumber) as integer) as mo, round(kurtosis_pop(l_quantity), 4) as ku from lineitem group by 1")
 def agg_more(spark, d):
     aggs = {"sp": "round(stddev_pop(l_quantity), 6)", "vs": "round(var_samp(l_quantity), 6)", "cs": "round(covar_samp(l_quantity, l_tax), 6)", "rs": "round(regr_slope(l_extendedprice, l_quantity), 4)", "ri": "round(regr_intercept(l_extendedprice, l_quantity), 2)", "rr": "round(regr_r2(l_extendedprice, l_quantity), 6)", "rc": "regr_count(l_extendedprice, l_quantity)", "q1": "percentile(l_quantity, 0.25)", "av": Agg("arbitrary", ["l_returnflag"]), "ev": Agg("every", ["l_quantity > 0"]), "li": "array_join(array_sort(collect_set(l_linestatus)), ',')", "mo": "mode(l_linenumber, true)", "ku": "round(kurtosis(l_quantity), 4)"}
     return rel(spark, d, "lineitem").aggregate(["l_returnflag"], aggs).df

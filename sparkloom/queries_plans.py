@@ -118,7 +118,7 @@ def plan_changes(spark, d):
     return spark.read.parquet(path)
 
 
-@query("select o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as rn, sum(o_orderkey) over (partition by o_custkey order by o_orderkey rows between 1 preceding and 1 following) as near from orders")
+@query("select o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as rn, cast(sum(o_orderkey) over (partition by o_custkey order by o_orderkey rows between 1 preceding and 1 following) as bigint) as near from orders")
 def plan_window(spark, d):
     spec = {"partitionBy": ["c"], "orderingScheme": {"orderBy": ["k"], "orderings": {"k": "ASC_NULLS_LAST"}}}
     first = {"@type": ".WindowNode", "source": _scan("orders", k="o_orderkey", c="o_custkey"), "specification": spec, "windowFunctions": {"rn": "row_number()"}}

@@ -109,7 +109,7 @@ def write_scaled(spark, d):
     return spark.read.parquet(path).select(*_COLUMNS)
 
 
-@query("select count(*) as rows, min(value) as lo, max(value) as hi, count(props) as present, count_if(value > 50) as high, cast(max(octet_length(encode(props))) as bigint) as longest, cast(sum(octet_length(encode(props))) as bigint) as bytes, true as close, true as sketched from events")
+@query("select count(*) as rows, min(value) as lo, max(value) as hi, count(props) as present, cast(count_if(value > 50) as bigint) as high, cast(max(octet_length(encode(props))) as bigint) as longest, cast(sum(octet_length(encode(props))) as bigint) as bytes, true as close, true as sketched from events")
 def write_all_stats(spark, d):
     df = rel(spark, d, "events").project({"value": "value", "props": "props", "high": "value > 50", "user_id": "user_id"}).df
     s = sinks.column_statistics(df).crossJoin(df.agg(F.countDistinct("user_id").alias("exact")))
