@@ -228,3 +228,18 @@ def test_asof_join_edges(spark):
     for bucket in (None, "floor(_time / 3)"):
         got = {r.x: r.y for r in left.asof_join(right, "t", "t", [("k", "k")], ["y"], bucket).df.collect()}
         assert got == {"a": "r9", "b": "s5", "c": None, "d": None, "e": None}
+
+
+def test_distinct_beside_wide_states(spark):
+    """Sketches and percentiles are not kept once per distinct value."""
+    r = Relation(spark.range(1000).selectExpr("if(id % 4 = 3, null, id % 4) as k", "id as v"))
+    aggs = {"m": "median(v)", "d": Agg("count", ["v"], distinct=True), "s": "hll_sketch_estimate(hll_sketch_agg(v))", "e": "count(distinct v % 10)", "n": "count(1)"}
+    one = r.aggregate([], aggs)
+    assert one.df.columns == list(aggs) and rows(one)[0][0] == 499.5 and rows(one)[0][1] == 1000 and rows(one)[0][3:] == (10, 1000)
+    single = r.aggregate([], {x: aggs[x] for x in "mds"})
+    states = [x for x in plan(single).split("Physical Plan")[1].splitlines() if "keys=[v" in x]
+    assert states and not any("median" in x or "percentile" in x or "hll" in x for x in states)
+    each = {x[0]: (x[1], x[2], x[4], x[5]) for x in rows(r.aggregate(["k"], aggs))}
+    assert each == {k: (i + 498.0, 250, 5, 250) for i, k in enumerate((0, 1, 2, None))}
+    assert rows(Relation(r.df.limit(0)).aggregate([], aggs))[0][1] == 0
+    assert "Join" not in plan(r.aggregate(["k"], {"d": "count(distinct v)", "n": "round(avg(v), 2)"}))
