@@ -97,6 +97,26 @@ def test_joins(spark):
         left.join(right, "left", [])
 
 
+@pytest.mark.parametrize("residual", [None, "l.x < r.y"])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_dealt_joins(spark, monkeypatch, how, residual):
+    """Hot keys, NULLs, equal rows and rows of no partner, over many cells."""
+    monkeypatch.setattr("sparkloom.operators.relation.CELL_ROWS", 8)
+    left = Relation(spark.range(400).selectExpr("cast(if(id % 10 = 0, id % 3, if(id % 10 = 1, null, 1)) as int) as k", "if(id % 7 = 0, null, id % 50) as x"))
+    right = Relation(spark.range(300).selectExpr("if(id % 9 = 0, id % 4, if(id % 9 = 1, null, 1)) as j", "id % 40 as y"))
+    plain, dealt = (left.join(right, how, [("k", "j")], residual, distribution=d) for d in (None, "DEALT"))
+    assert dealt.df.schema.simpleString() == plain.df.schema.simpleString()
+    want = sorted(rows(plain), key=str)
+    assert sorted(rows(dealt), key=str) == want and len(want) > 10_000
+
+
+def test_dealt_joins_spread_one_key(spark):
+    """One key's pairs are not one task's."""
+    left, right = Relation(spark.range(30_000).selectExpr("id % 1 as k", "id as x")), Relation(spark.range(5_000).selectExpr("id % 1 as j", "id as y"))
+    per = [r[1] for r in left.join(right, "inner", [("k", "j")], distribution="DEALT").df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).collect()]
+    assert sum(per) == 150_000_000 and len(per) > 8 and max(per) < sum(per) / 4
+
+
 def test_grouping_sets(spark):
     r = Relation.values(spark, [(1, "a", 2), (1, "b", 3), (2, "a", 4), (None, "a", 5)], "k int, s string, v int")
     got = sorted(rows(r.grouping_sets([["k"], ["k"], [], ["k", "s"]], {"t": "sum(v)"}, "g")), key=str)
