@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def windowed(stream: DataFrame, time: str, length: str, aggs: dict[str, Column], keys: list[str] | None = None, slide: str | None = None, late: str = "0 seconds") -> DataFrame:
     """Tumbling windows, or sliding ones with ``slide``; rows later than ``late`` go."""
@@ -46,10 +47,22 @@ def keep_latest(stream: DataFrame, key: str, time: str, value: str) -> DataFrame
 
 
 def run_available(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns the result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there now and returns the result table.
+
+    Executors write each batch to a folder of its own, so the result is never
+    in the driver; a complete result is the last batch. State is checkpointed
+    where all executors find it, unless ``checkpoint`` names another place.
+    """
+    spark = stream.sparkSession
+    path, done = shared_folder(spark, "stream"), []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{batch}")
+        if batch not in done:
+            done.append(batch)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    query.option("checkpointLocation", checkpoint or f"{path}/state").start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/{b}" for b in (done[-1:] if mode == "complete" else done)])

@@ -263,3 +263,18 @@ def test_distinct_beside_wide_states(spark):
     assert each == {k: (i + 498.0, 250, 5, 250) for i, k in enumerate((0, 1, 2, None))}
     assert rows(Relation(r.df.limit(0)).aggregate([], aggs))[0][1] == 0
     assert "Join" not in plan(r.aggregate(["k"], {"d": "count(distinct v)", "n": "round(avg(v), 2)"}))
+
+
+def test_streams_leave_their_result_with_the_executors(spark, tmp_path):
+    """A result table is files, the last batch of a complete one and all of others."""
+    from sparkloom.streaming import deduplicate, run_available, windowed
+
+    days = spark.range(4000).selectExpr("timestamp_seconds(id * 60) as ts", "id % 5 as u")
+    days.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = run_available(windowed(stream(), "ts", "1 day", {"n": F.count(F.lit(1))}, ["u"], late="9 days"))
+    assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.select("u", "n").collect()) == sorted((u, n) for n in (288, 288, 224) for u in range(5))
+    assert sorted(r.u for r in run_available(deduplicate(stream(), "ts", ["u"], "9 days"), "append").collect()) == list(range(5))
+    (tmp_path / "none").mkdir()
+    assert run_available(spark.readStream.schema(days.schema).parquet(f"{tmp_path}/none"), "append").count() == 0
