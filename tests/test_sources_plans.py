@@ -212,3 +212,22 @@ def test_streams(spark, tmp_path):
     assert sorted(r.u for r in once.collect()) == [1, 2]
     last = run_available(keep_latest(stream(), "u", "t", "v"), "update")
     assert {r.u: r.v for r in last.collect()} == {1: 2.0, 2: 9.0}
+
+
+def test_compaction_goes_by_bytes(spark, tmp_path, monkeypatch):
+    """Neither cores nor the planner's wish for small partitions make more files."""
+    rows = spark.range(400_000).selectExpr("id", "uuid() as text")
+    path = f"{tmp_path}/t"
+    sinks.write_files(rows.repartition(6), path)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.optimize(spark, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(sinks.files_of(spark, path)) == 1 and spark.read.parquet(path).agg({"id": "sum"}).first()[0] == 400_000 * 399_999 // 2
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    monkeypatch.setattr(sinks, "FILE_BYTES", size // 3 + 1)
+    sinks.write_files(rows.repartition(5), f"{tmp_path}/u")
+    sinks.optimize(spark, f"{tmp_path}/u")
+    assert len(sinks.files_of(spark, f"{tmp_path}/u")) in (3, 4) and spark.read.parquet(f"{tmp_path}/u").count() == 400_000
