@@ -117,6 +117,29 @@ def test_dealt_joins_spread_one_key(spark):
     assert sum(per) == 150_000_000 and len(per) > 8 and max(per) < sum(per) / 4
 
 
+def test_range_join_dealt(spark, monkeypatch):
+    """A hot bin, NULLs, equal rows, empty bands and bands over several bins, over many cells."""
+    monkeypatch.setattr("sparkloom.operators.relation.CELL_ROWS", 8)
+    monkeypatch.setattr("sparkloom.operators.relation.TASK_ROWS", 64)
+    left = Relation(spark.range(500).selectExpr("if(id % 11 = 0, null, if(id % 3 = 0, 5D, id % 97 - 20D)) as p", "if(id % 7 = 0, null, id % 50) as x"))
+    right = Relation(spark.range(200).selectExpr("if(id % 13 = 0, null, id % 60 - 25D) as low", "id % 60 - 25D + id % 9 * 4 - 2 as high", "id % 40 as y"))
+    for residual, more in ((None, ""), ("l.x < r.y", " and x < y")):
+        want = sorted(rows(Relation(left.df.crossJoin(right.df).where("p between low and high" + more))), key=str)
+        assert sorted(rows(left.range_join(right, "p", "low", "high", 10, residual)), key=str) == want and len(want) > 5_000
+    assert rows(left.range_join(Relation(right.df.limit(0)), "p", "low", "high", 10)) == []
+
+
+def test_range_join_is_stored_small(spark, tmp_path):
+    """Pairs come by point and low end in tasks of even size: a file of them has far under a byte a pair."""
+    left = Relation(spark.range(0, 20_000, 1, 1).selectExpr("id as k", "cast(id * 7919 % 20000 as double) as p"))
+    right = Relation(spark.range(0, 2_000, 1, 1).selectExpr("id as j", "cast(id * 1201 % 2000 * 10 as double) as low").selectExpr("*", "low + 900 as high"))
+    out = left.range_join(right, "p", "low", "high", 900, None, ["k"], ["j"]).df
+    out.write.parquet(str(tmp_path / "pairs"))
+    per = [r[0] for r in spark.read.parquet(str(tmp_path / "pairs")).groupBy(F.input_file_name()).agg(F.count(F.lit(1))).select("count(1)").collect()]
+    assert sum(per) == sum(min(901, 20_000 - low) for low in range(0, 20_000, 10)) and max(per) < sum(per) / 4
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * sum(per)
+
+
 def test_grouping_sets(spark):
     r = Relation.values(spark, [(1, "a", 2), (1, "b", 3), (2, "a", 4), (None, "a", 5)], "k int, s string, v int")
     got = sorted(rows(r.grouping_sets([["k"], ["k"], [], ["k", "s"]], {"t": "sum(v)"}, "g")), key=str)
